@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import SparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,7 +128,7 @@ def read_parts_relaxed(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", "*.parquet")
     try:
         return reader.option("mergeSchema", True).parquet(path)
-    except SparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE" not in str(error):
             raise
     files = [
