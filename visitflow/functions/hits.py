@@ -20,42 +20,73 @@ PURCHASE = "6"
 REVENUE_KEYS = ["transactionRevenue", "totalTransactionRevenue", "productRevenue"]
 
 
-def products_of(hits: Column) -> Column:
-    """All entries of the ``product`` lists of the hits."""
-    return F.flatten(
-        F.transform(
-            hits, lambda h: F.coalesce(F.try_variant_get(h, "$.product", "array<variant>"), empty_list())
-        )
+# What the metrics read of a hit. The cast gives null wherever a part has another
+# shape: no object, no list, an entry that is no object.
+PRODUCTS = "array<struct<productPrice:string,localProductPrice:string,v2ProductCategory:string>>"
+HIT_FIELDS = f"array<struct<product:{PRODUCTS},eCommerceAction:struct<action_type:string>>>"
+# Texts whose meaning depends on the type they were parsed from.
+TYPED_TEXTS = ["0", "0.0", "-0.0", "false", "true", "[]", "{}"]
+
+
+def hit_fields(cell: Column) -> Column:
+    return F.try_variant_get(cell, "$", HIT_FIELDS)
+
+
+def products_of(fields: Column) -> Column:
+    """All entries of the ``product`` lists; null for an entry that is no object."""
+    listed = F.flatten(F.array_compact(fields["product"]))
+    return F.coalesce(listed, F.array().cast(PRODUCTS))
+
+
+def _float_of(text: Column, v: Column) -> Column:
+    """Float of a parsed value whose text is ``text``: null when blank, 0 when no number."""
+    boolean = text.isin("true", "false") & (variant_type(v) == "BOOLEAN")
+    return (
+        F.when(boolean, (text == "true").cast("double"))
+        .when(trim_ws(text) != "", float_or_zero(text))
     )
 
 
-def product_rows(products: Column) -> Column:
-    """Fields of the entries that are objects; other entries are left out."""
-    fields = "struct<productPrice:variant,localProductPrice:variant,v2ProductCategory:string>"
-    rows = F.transform(products, lambda p: F.try_variant_get(p, "$", fields))
-    return F.filter(rows, lambda p: p.isNotNull())
+def _first_truthy(source: Column, first: str, second: str) -> Column:
+    """Float of ``first``, or of ``second`` when the first is missing, empty or 0."""
 
+    def field(name: str) -> tuple[Column, Column]:
+        value = F.try_variant_get(source, f"$.{name}", "variant")
+        return variant_text(value), value
 
-def _float_of(v: Column) -> Column:
-    def value(text: Column) -> Column:
-        boolean = text.isin("true", "false") & (variant_type(v) == "BOOLEAN")
-        return F.when(boolean, (text == "true").cast("double")).otherwise(float_or_zero(text))
+    return F.when(is_truthy(*field(first)), _float_of(*field(first))).otherwise(
+        _float_of(*field(second))
+    )
 
-    return let(variant_text(v), value)
 
+def prices_usd(cell: Column, products: Column) -> Column:
+    """Prices of the products; blank, negative and NaN prices are left out.
 
-def _first_truthy(first: Column, second: Column) -> Column:
-    return F.when(is_truthy(first), first).otherwise(second)
+    Texts decide, except in sessions with a text such as ``0`` or ``true``:
+    those look at the parsed types again.
+    """
+    texts = F.concat(products["productPrice"], products["localProductPrice"])
+    depends = F.arrays_overlap(texts, F.array(*[F.lit(t) for t in TYPED_TEXTS]))
+    by_text = F.transform(products, _price_of_texts)
+    prices = F.when(F.coalesce(depends, F.lit(False)), _typed_prices(cell)).otherwise(by_text)
+    return F.filter(prices, lambda x: (x >= 0) & ~F.isnan(x))
 
 
-def prices_usd(rows: Column) -> Column:
-    """Prices of the products; blank, negative and NaN prices are left out."""
+def _price_of_texts(product: Column) -> Column:
+    first, second = product["productPrice"], product["localProductPrice"]
+    text = F.when(first != "", first).otherwise(second)
+    return let(text, lambda t: F.when(trim_ws(t) != "", float_or_zero(t))) / MICROS
 
-    def price(raw: Column) -> Column:
-        return F.when(trim_ws(variant_text(raw)) != "", _float_of(raw) / MICROS)
 
-    raw = F.transform(rows, lambda p: _first_truthy(p["productPrice"], p["localProductPrice"]))
-    return F.filter(F.transform(raw, price), lambda x: (x >= 0) & ~F.isnan(x))
+def _typed_prices(cell: Column) -> Column:
+    lists = F.transform(
+        F.try_variant_get(cell, "$", "array<variant>"),
+        lambda h: F.coalesce(F.try_variant_get(h, "$.product", "array<variant>"), empty_list()),
+    )
+    return F.transform(
+        F.flatten(lists),
+        lambda p: _first_truthy(p, "productPrice", "localProductPrice") / MICROS,
+    )
 
 
 def mean_or_zero(values: Column) -> Column:
@@ -63,9 +94,10 @@ def mean_or_zero(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values)).otherwise(F.lit(0.0))
 
 
-def categories_of(rows: Column) -> Column:
+def categories_of(products: Column) -> Column:
     """Distinct last-leaf categories in text order."""
-    names = F.transform(rows, lambda p: last_leaf(F.coalesce(p["v2ProductCategory"], F.lit(""))))
+    objects = F.array_compact(products)
+    names = F.transform(objects["v2ProductCategory"], last_leaf)
     return F.array_sort(F.array_distinct(names))
 
 
@@ -78,7 +110,7 @@ def is_purchase(hit: Column) -> Column:
     )
 
 
-def revenue_usd(hits: Column, keys: list[str] | None = None) -> Column:
+def revenue_usd(cell: Column, fields: Column, keys: list[str] | None = None) -> Column:
     """Sum of the revenue keys anywhere inside purchase hits.
 
     The text of a VARIANT is canonical JSON: quotes inside a text are escaped,
@@ -86,27 +118,28 @@ def revenue_usd(hits: Column, keys: list[str] | None = None) -> Column:
     """
     names = "|".join(keys or REVENUE_KEYS)
     entry = rf'"(?:{names})":("(?:[^"\\]|\\.)*+"|[^,}}\]\[{{"\s]+)'
-    bought = F.filter(hits, is_purchase)
+    bought = F.filter(F.try_variant_get(cell, "$", "array<variant>"), is_purchase)
     raw = F.flatten(
-        F.transform(bought, lambda h: F.regexp_extract_all(F.to_json(h), F.lit(entry), F.lit(1)))
+        F.transform(bought, lambda h: F.regexp_extract_all(variant_text(h), F.lit(entry), F.lit(1)))
     )
 
     def value(x: Column) -> Column:
         return F.when(x == "true", F.lit(1.0)).otherwise(float_or_zero(F.trim(x, F.lit('"'))))
 
     micros = F.aggregate(F.transform(raw, value), F.lit(0.0), lambda acc, x: acc + x)
-    return micros / MICROS
+    # Most sessions hold no purchase, and their hits are not looked at one by one.
+    any_purchase = F.array_contains(fields["eCommerceAction"]["action_type"], PURCHASE)
+    return F.when(F.coalesce(any_purchase, F.lit(False)), micros / MICROS).otherwise(F.lit(0.0))
 
 
 def revenue_with_fallback(from_hits: Column, totals: Column) -> Column:
     """Revenue of the hits, or of the totals object when the hits give 0."""
-    raw = _first_truthy(
-        F.try_variant_get(totals, "$.transactionRevenue", "variant"),
-        F.try_variant_get(totals, "$.totalTransactionRevenue", "variant"),
+    fallback = F.coalesce(
+        _first_truthy(totals, "transactionRevenue", "totalTransactionRevenue"), F.lit(0.0)
     )
 
-    def choose(fallback: Column) -> Column:
-        usable = (from_hits == 0) & (fallback > 0) & ~F.isnan(fallback)
-        return F.when(usable, fallback / MICROS).otherwise(from_hits)
+    def choose(x: Column) -> Column:
+        usable = (x > 0) & ~F.isnan(x)
+        return F.when(usable, x / MICROS).otherwise(from_hits)
 
-    return let(let(raw, _float_of), choose)
+    return F.when(from_hits == 0, let(fallback, choose)).otherwise(from_hits)

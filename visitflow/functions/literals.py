@@ -18,7 +18,7 @@ from visitflow.functions.text import trim_ws
 
 QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 # A list whose parts outside quotes are only brackets, numbers and keywords.
-LIST_SHAPE = r"^\s*\[(?:[\s\[\]{}:,q+\-.\deE]|True|False|None)*+$"
+LIST_SHAPE = r"^\s*\[(?:[ \t\n\x0B\f\r\[\]{}:,q+.0123456789eE-]++|True|False|None)*+$"
 LIST_END = r"\]\s*$"
 # Brackets or texts side by side without a comma are no list.
 SIDE_BY_SIDE = r"[\]}q]\s*[\[{]"
@@ -42,6 +42,27 @@ def _replace_if(condition: Column, text: Column, pattern: str, replacement: str)
     )
 
 
+def _swap_word(cell: Column, outline: Column, text: Column, word: str) -> Column:
+    """Write a Python keyword as its JSON word, outside quotes only.
+
+    When quotes hold no such word, shown by equal counts with and without the
+    quoted parts, a plain replace is enough and several times faster.
+    """
+
+    def removed(t: Column) -> Column:
+        return F.octet_length(t) - F.octet_length(F.replace(t, F.lit(word), F.lit("")))
+
+    def swap(t: Column) -> Column:
+        json_word = KEYWORDS[word]
+        return (
+            F.when(~F.contains(outline, F.lit(word)), t)
+            .when(removed(cell) == removed(outline), F.replace(t, F.lit(word), F.lit(json_word)))
+            .otherwise(F.regexp_replace(t, _keyword_pattern(word), f"$1{json_word}"))
+        )
+
+    return let(text, swap)
+
+
 def literal_to_json(c: Column) -> Column:
     """JSON text of a Python list literal; null when the cell is no such list."""
     comma = rf"""(?s)\G((?:[^'",]++|{QUOTED}|,(?!\s*[\]}}]))*+),(?=\s*[\]}}])"""
@@ -50,9 +71,8 @@ def literal_to_json(c: Column) -> Column:
 
     def rewrite(outline: Column) -> Column:
         text = c
-        for word, json_word in KEYWORDS.items():
-            present = F.contains(outline, F.lit(word))
-            text = _replace_if(present, text, _keyword_pattern(word), f"$1{json_word}")
+        for word in KEYWORDS:
+            text = _swap_word(c, outline, text, word)
         text = _replace_if(outline.rlike(TRAILING_COMMA), text, comma, "$1")
         text = _replace_if(F.contains(c, F.lit("\\x")), text, escape, r"$1\\u00$2")
         is_list = outline.rlike(LIST_SHAPE) & outline.rlike(LIST_END) & ~outline.rlike(SIDE_BY_SIDE)
@@ -61,10 +81,14 @@ def literal_to_json(c: Column) -> Column:
     return let(F.regexp_replace(c, f"(?s){QUOTED}", "q"), rewrite)
 
 
+def parse_literal(c: Column) -> Column:
+    """VARIANT of a Python list literal; null for anything else."""
+    return F.from_json(literal_to_json(c), "variant")
+
+
 def parse_literal_list(c: Column) -> Column:
     """``array<variant>`` of a Python list literal; anything else gives an empty array."""
-    parsed = F.from_json(literal_to_json(c), "variant")
-    return F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), empty_list())
+    return F.coalesce(F.try_variant_get(parse_literal(c), "$", "array<variant>"), empty_list())
 
 
 def parse_json_object(c: Column) -> Column:
@@ -123,16 +147,16 @@ def _list_text(v: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, item), ", "), F.lit("]"))
 
 
-def is_truthy(v: Column) -> Column:
-    """Python truth of a parsed value: the text ``0`` is true, the number 0 is not."""
+def is_truthy(text: Column, v: Column) -> Column:
+    """Python truth of a parsed value: the text ``0`` is true, the number 0 is not.
 
-    def check(text: Column) -> Column:
-        doubtful = text.isin("", "0", "0.0", "-0.0", "false", "[]", "{}")
-        return F.when(doubtful, (variant_type(v) == "STRING") & (text != "")).otherwise(
-            text.isNotNull()
-        )
-
-    return let(variant_text(v), check)
+    ``text`` is the text of ``v``; the type is looked up only where it decides.
+    """
+    doubtful = text.isin("", "0", "0.0", "-0.0", "false", "[]", "{}")
+    return F.coalesce(
+        F.when(doubtful, (variant_type(v) == "STRING") & (text != "")).otherwise(text.isNotNull()),
+        F.lit(False),
+    )
 
 
 def custom_dimension_value(c: Column, separator: str = ", ") -> Column:

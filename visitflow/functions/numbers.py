@@ -54,7 +54,12 @@ def to_long(c: Column, dtype: T.DataType) -> Column:
 
 def float_or_zero(text: Column) -> Column:
     """Float of a text, 0 when it is not one; digits may be grouped by ``_``."""
-    return F.coalesce(text_to_double(F.regexp_replace(text, GROUPED_DIGITS, "")), F.lit(0.0))
+    # Most texts are plain whole numbers and need no pattern.
+    return F.coalesce(
+        text.try_cast("bigint").cast("double"),
+        text_to_double(F.regexp_replace(text, GROUPED_DIGITS, "")),
+        F.lit(0.0),
+    )
 
 
 def nan_to_null(c: Column) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from visitflow.functions.binding import let
-
 # The characters that Python's str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -22,9 +20,5 @@ def trim_ws(c: Column) -> Column:
 
 def last_leaf(category: Column) -> Column:
     """Last non-empty segment of a ``/`` path; empty or ``(not set)`` -> ``unknown``."""
-    segments = F.filter(F.split(trim_ws(category), "/", -1), lambda s: s != "")
-
-    def named(leaf: Column) -> Column:
-        return F.when(leaf.isNull() | (leaf == "(not set)"), F.lit("unknown")).otherwise(leaf)
-
-    return let(F.try_element_at(segments, F.lit(-1)), named)
+    leaf = F.substring_index(F.rtrim(trim_ws(category), F.lit("/")), "/", -1)
+    return F.when(leaf.isNull() | leaf.isin("", "(not set)"), F.lit("unknown")).otherwise(leaf)

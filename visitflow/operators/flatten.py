@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from visitflow.functions.hits import (
     categories_of,
+    hit_fields,
     mean_or_zero,
     prices_usd,
-    product_rows,
     products_of,
     revenue_usd,
     revenue_with_fallback,
@@ -25,7 +25,7 @@ from visitflow.functions.hits import (
 from visitflow.functions.literals import (
     custom_dimension_value,
     parse_json_object,
-    parse_literal_list,
+    parse_literal,
     python_text,
     variant_text,
     variant_type,
@@ -173,14 +173,14 @@ def add_hit_metrics(
 
     ``totals`` is the parsed totals object for the revenue fallback.
     """
-    parsed = df.withColumn("_hits", parse_literal_list(F.col("hits")))
-    listed = parsed.withColumn("_products", products_of(F.col("_hits")))
-    rows = listed.withColumn("_rows", product_rows(F.col("_products")))
-    parts = rows.withColumns(
+    parsed = df.withColumn("_cell", parse_literal(F.col("hits")))
+    fields = parsed.withColumn("_fields", hit_fields(F.col("_cell")))
+    listed = fields.withColumn("_products", products_of(F.col("_fields")))
+    parts = listed.withColumns(
         {
-            "_prices": prices_usd(F.col("_rows")),
-            "categories_viewed": categories_of(F.col("_rows")),
-            "_revenue": revenue_usd(F.col("_hits"), revenue_keys),
+            "_prices": prices_usd(F.col("_cell"), F.col("_products")),
+            "categories_viewed": categories_of(F.col("_products")),
+            "_revenue": revenue_usd(F.col("_cell"), F.col("_fields"), revenue_keys),
         }
     )
     revenue = F.col("_revenue")
@@ -193,7 +193,7 @@ def add_hit_metrics(
             "total_category_viewed": F.size("categories_viewed").cast("bigint"),
             "total_revenue": revenue,
         }
-    ).drop("_hits", "_products", "_rows", "_prices", "_revenue")
+    ).drop("_cell", "_fields", "_products", "_prices", "_revenue")
 
 
 def category_width(df: DataFrame) -> int:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SORTED_ROWS = 200_000  # most values one task sorts
+SORTED_ROWS = 1_000_000  # most values one task sorts
 ACCURACY = 10_000  # rank error of the sketch is 1 / ACCURACY of the rows
 MARGIN = 2.0 / ACCURACY
 
@@ -68,54 +68,56 @@ def values_at_ranks(
     return {(s.name, s.rank): s.value for s in searches}
 
 
+def _groups(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches that look at the same bracket of the same column."""
+    groups: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        groups.setdefault((s.name, s.low, s.high, s.below), []).append(s)
+    return list(groups.values())
+
+
 def _narrow(df: DataFrame, columns: dict[str, Column], searches: list[_Search]) -> None:
     """Shrink every bracket by one sketch pass and one counting pass over ``df``."""
     sketches = []
-    for i, s in enumerate(searches):
-        x = columns[s.name]
-        share = (s.rank - s.below) / s.inside
-        bounds = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
+    groups = _groups(searches)
+    for i, group in enumerate(groups):
+        x, first = columns[group[0].name], group[0]
+        shares = [(s.rank - first.below) / first.inside for s in group]
+        bounds = [min(1.0, max(0.0, p + m)) for p in shares for m in (-MARGIN, MARGIN)]
         sketches.append(
-            F.percentile_approx(F.when(s.within(x), x), bounds, ACCURACY).alias(f"b{i}")
+            F.percentile_approx(F.when(first.within(x), x), bounds, ACCURACY).alias(f"b{i}")
         )
-    proposed = df.agg(*sketches).first()
+    row = df.agg(*sketches).first()
+    proposed = [
+        (s, row[i][2 * j], row[i][2 * j + 1]) for i, g in enumerate(groups) for j, s in enumerate(g)
+    ]
     counts = []
-    for i, s in enumerate(searches):
+    for i, (s, low, high) in enumerate(proposed):
         x = columns[s.name]
-        low, high = proposed[i]
-        for tag, condition in (
-            ("lt", x < F.lit(low)),
-            ("le", x <= F.lit(low)),
-            ("lth", x < F.lit(high)),
-            ("leh", x <= F.lit(high)),
-        ):
-            counts.append(F.count(F.when(condition, 1)).alias(f"{tag}{i}"))
+        conditions = [x < F.lit(low), x <= F.lit(low), x < F.lit(high), x <= F.lit(high)]
+        counts += [F.count_if(c).alias(f"c{i}_{j}") for j, c in enumerate(conditions)]
     counted = df.agg(*counts).first()
-    for i, s in enumerate(searches):
-        low, high = proposed[i]
-        upto = {tag: counted[f"{tag}{i}"] for tag in ("lt", "le", "lth", "leh")}
+    for i, (s, low, high) in enumerate(proposed):
+        below_low, upto_low, below_high, upto_high = [counted[f"c{i}_{j}"] for j in range(4)]
         end = s.below + s.inside
-        if s.rank < upto["lt"]:
-            s.high, s.inside = low, upto["lt"] - s.below
-        elif s.rank < upto["le"]:
+        if s.rank < below_low:
+            s.high, s.inside = low, below_low - s.below
+        elif s.rank < upto_low:
             s.value = low
-        elif s.rank < upto["lth"]:
+        elif s.rank < below_high:
             s.low, s.high = low, high
-            s.below, s.inside = upto["le"], upto["lth"] - upto["le"]
-        elif s.rank < upto["leh"]:
+            s.below, s.inside = upto_low, below_high - upto_low
+        elif s.rank < upto_high:
             s.value = high
         else:
-            s.low, s.below, s.inside = high, upto["leh"], end - upto["leh"]
+            s.low, s.below, s.inside = high, upto_high, end - upto_high
 
 
 def _sort_brackets(df: DataFrame, columns: dict[str, Column], searches: list[_Search]) -> None:
     """Sort the few values left in each bracket, each bracket in its own task."""
-    brackets: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        brackets.setdefault((s.name, s.low, s.high, s.below), []).append(s)
-    if not brackets:
+    groups = _groups(searches)
+    if not groups:
         return
-    groups = list(brackets.values())
     entries = [
         F.when(
             g[0].within(columns[g[0].name]),

@@ -6,7 +6,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
+def spread_rows(scan: DataFrame) -> DataFrame:
+    """Spread a small table scan over all cores before CPU-heavy parsing.
+
+    A table with enough splits, as any large one, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def write_table(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """New parquet table; never a folder that is being read."""
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
@@ -125,15 +134,18 @@ def read_parts_relaxed(spark: SparkSession, path: str) -> DataFrame:
     Spark merges the footers in parallel. Only when parts disagree on a type are
     they grouped by schema and united, one branch per schema.
     """
-    reader = spark.read.option("pathGlobFilter", "*.parquet")
+
+    def reader() -> DataFrameReader:
+        return spark.read.option("pathGlobFilter", "*.parquet")
+
     try:
-        return reader.option("mergeSchema", True).parquet(path)
+        return reader().option("mergeSchema", True).parquet(path)
     except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE" not in str(error):
             raise
     files = [
         r[0]
-        for r in reader.parquet(path).select(F.col("_metadata.file_path")).distinct().collect()
+        for r in reader().parquet(path).select(F.col("_metadata.file_path")).distinct().collect()
     ]
     groups: dict[str, list[str]] = {}
     for name in sorted(files):

@@ -101,7 +101,7 @@ def _describe_sql(c: str) -> str:
 
     return f"""
         select '{c}' as "column", count(x) as "count", count(*) - count(x) as null_count,
-               round(avg(x), 6) as mean, round(stddev_samp(x), 6) as std, min(x) as min,
+               round(avg(x), 7) as mean, round(stddev_samp(x), 7) as std, min(x) as min,
                {quartile(0.25)} as q25, {quartile(0.5)} as q50, {quartile(0.75)} as q75, max(x) as max
         from (select *, row_number() over (order by x) - 1 as rn, count(x) over () as n
               from (select {c} as x from lineitem))
@@ -112,7 +112,7 @@ def _describe_sql(c: str) -> str:
 def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, spread, range and exact quartiles of numeric columns."""
     return describe_numeric(table(spark, sf_dir, "lineitem"), MEASURES).withColumns(
-        {"mean": F.round("mean", 6), "std": F.round("std", 6)}
+        {"mean": F.round("mean", 7), "std": F.round("std", 7)}
     )
 
 

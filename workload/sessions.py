@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitflow.sources.tables import spread_rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,7 +35,7 @@ def _hits(n: Column, hit) -> Column:
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw session columns, one session per event."""
-    e = table(spark, sf_dir, "events")
+    e = spread_rows(table(spark, sf_dir, "events"))
     kind, number = F.col("event_type"), F.col("event_id")
     n_hits = 1 + F.pmod(number, F.lit(3))
     cents = F.round(F.col("value") * 100).cast("bigint")
@@ -83,8 +85,10 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of order lines: products with prices and part categories."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag"
+    lines = spread_rows(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag"
+        )
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -123,6 +127,6 @@ def order_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise('{"transactionRevenue":"0","totalTransactionRevenue":"9000000"}')
     )
-    return table(spark, sf_dir, "orders").select(
+    return spread_rows(table(spark, sf_dir, "orders")).select(
         "o_orderkey", hits.alias("hits"), totals.alias("totals")
     )
