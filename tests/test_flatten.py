@@ -38,37 +38,45 @@ def test_two_products(spark):
     assert r["average_price_product_viewed"] == pytest.approx(24.49)
 
 
-@pytest.mark.parametrize(
-    ("entries", "mean"),
-    [
-        ([{"productPrice": "", "localProductPrice": "5000000"}], 5.0),
-        ([{"productPrice": "  ", "localProductPrice": "5000000"}], 0.0),
-        ([{"productPrice": 0, "localProductPrice": "5000000"}], 5.0),
-        ([{"productPrice": "0", "localProductPrice": "5000000"}], 0.0),
-        ([{"productPrice": None, "localProductPrice": 5000000}], 5.0),
-        ([{"productPrice": False, "localProductPrice": 5e6}], 5.0),
-        ([{"productPrice": True}], 1e-6),
-        ([{"productPrice": "abc"}, {"productPrice": "2000000"}], 1.0),
-        ([{"productPrice": "-1000000"}], 0.0),
-        ([{"productPrice": "nan"}, {"productPrice": "4000000"}], 4.0),
-        ([{"productPrice": [1]}, {"productPrice": "4000000"}], 2.0),
-        ([{"productPrice": [], "localProductPrice": []}, {"productPrice": "4000000"}], 2.0),
-        ([{}], 0.0),
-        ([], 0.0),
-    ],
-)
-def test_mean_price(spark, entries, mean):
-    r = metrics(spark, products(*entries))
-    assert r["average_price_product_viewed"] == pytest.approx(mean)
+PRICE_CASES = [
+    ([{"productPrice": "", "localProductPrice": "5000000"}], 5.0),
+    ([{"productPrice": "  ", "localProductPrice": "5000000"}], 0.0),
+    ([{"productPrice": 0, "localProductPrice": "5000000"}], 5.0),
+    ([{"productPrice": "0", "localProductPrice": "5000000"}], 0.0),
+    ([{"productPrice": None, "localProductPrice": 5000000}], 5.0),
+    ([{"productPrice": False, "localProductPrice": 5e6}], 5.0),
+    ([{"productPrice": True}], 1e-6),
+    ([{"productPrice": "abc"}, {"productPrice": "2000000"}], 1.0),
+    ([{"productPrice": "-1000000"}], 0.0),
+    ([{"productPrice": "nan"}, {"productPrice": "4000000"}], 4.0),
+    ([{"productPrice": [1]}, {"productPrice": "4000000"}], 2.0),
+    ([{"productPrice": [], "localProductPrice": []}, {"productPrice": "4000000"}], 2.0),
+    ([{}], 0.0),
+    ([], 0.0),
+]
+
+
+def test_mean_price(spark):
+    cells = [(i, products(*entries)) for i, (entries, _) in enumerate(PRICE_CASES)]
+    df = spark.createDataFrame(cells, "i int, hits string")
+    rows = add_hit_metrics(df).orderBy("i").select("average_price_product_viewed").collect()
+    assert [r[0] for r in rows] == pytest.approx([mean for _, mean in PRICE_CASES])
 
 
 def test_entries_that_are_no_products(spark):
-    r = metrics(spark, products({"v2ProductCategory": "(not set)"}, 7))
-    assert (r["total_product_viewed"], r["categories_viewed"]) == (2, ["unknown"])
-    r = metrics(spark, str([3, {"product": "x"}, {"product": None}, {"a": 1}, {"product": [{}, {}]}]))
-    assert (r["total_product_viewed"], r["categories_viewed"]) == (2, ["unknown"])
-    for cell in ("[{'product': [{}]}] junk", "{'product': [{}]}", "", None):
-        assert metrics(spark, cell)["total_product_viewed"] == 0
+    cells = [
+        products({"v2ProductCategory": "(not set)"}, 7),
+        str([3, {"product": "x"}, {"product": None}, {"a": 1}, {"product": [{}, {}]}]),
+        products(7, None),
+        "[{'product': [{}]}] junk",
+        "{'product': [{}]}",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, hits string")
+    rows = add_hit_metrics(df).orderBy("i").collect()
+    assert [r["total_product_viewed"] for r in rows] == [2, 2, 2, 0, 0, 0, 0]
+    assert [r["categories_viewed"] for r in rows] == [["unknown"], ["unknown"], [], [], [], [], []]
 
 
 def purchase(action="6", **hit):
@@ -80,9 +88,6 @@ def test_revenue(spark):
         "transaction": {"transactionRevenue": "100000000"},
         "product": [{"productRevenue": "40000000"}],
     }
-    assert metrics(spark, purchase(**both))["total_revenue"] == pytest.approx(140)
-    assert metrics(spark, purchase("2", **both))["total_revenue"] == 0
-    assert metrics(spark, purchase(6, **both))["total_revenue"] == 0
     mixed = {
         "a": {"transactionRevenue": "1,000"},
         "b": [{"productRevenue": " 2000000 "}],
@@ -91,25 +96,31 @@ def test_revenue(spark):
         "note": "\"productRevenue\":\"9000000\"",
         "c": {"productRevenue": 1000000, "transactionRevenue": True},
     }
-    assert metrics(spark, purchase(**mixed))["total_revenue"] == pytest.approx(10 + 1e-6)
-
-
-@pytest.mark.parametrize(
-    ("totals", "revenue"),
-    [
-        ({"transactionRevenue": "0", "totalTransactionRevenue": "5000000"}, 0.0),
-        ({"transactionRevenue": 0, "totalTransactionRevenue": "5000000"}, 5.0),
-        ({"totalTransactionRevenue": "5000000"}, 5.0),
-        ({"transactionRevenue": "3000000", "totalTransactionRevenue": "5000000"}, 3.0),
-        ({"totalTransactionRevenue": "-5"}, 0.0),
-        ({"totalTransactionRevenue": "nan"}, 0.0),
-        ([], 0.0),
-    ],
-)
-def test_revenue_fallback(spark, totals, revenue):
-    assert metrics(spark, "[]", json.dumps(totals))["total_revenue"] == pytest.approx(revenue)
+    cells = [purchase(**both), purchase("2", **both), purchase(6, **both), purchase(**mixed)]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, hits string")
+    rows = add_hit_metrics(df).orderBy("i").collect()
+    assert [r["total_revenue"] for r in rows] == pytest.approx([140, 0, 0, 10 + 1e-6])
+
+
+FALLBACK_CASES = [
+    ({"transactionRevenue": "0", "totalTransactionRevenue": "5000000"}, 0.0),
+    ({"transactionRevenue": 0, "totalTransactionRevenue": "5000000"}, 5.0),
+    ({"totalTransactionRevenue": "5000000"}, 5.0),
+    ({"transactionRevenue": "3000000", "totalTransactionRevenue": "5000000"}, 3.0),
+    ({"totalTransactionRevenue": "-5"}, 0.0),
+    ({"totalTransactionRevenue": "nan"}, 0.0),
+    ([], 0.0),
+]
+
+
+def test_revenue_fallback(spark):
     paid = purchase(transactionRevenue="9000000")
-    assert metrics(spark, paid, json.dumps(totals))["total_revenue"] == pytest.approx(9.0)
+    cells = [(i, h, json.dumps(t)) for i, (t, _) in enumerate(FALLBACK_CASES) for h in ("[]", paid)]
+    df = spark.createDataFrame(cells, "i int, hits string, totals string")
+    rows = add_hit_metrics(df, totals=parse_json_object(F.col("totals"))).collect()
+    free = {r["i"]: r["total_revenue"] for r in rows if r["hits"] == "[]"}
+    assert free == pytest.approx({i: revenue for i, (_, revenue) in enumerate(FALLBACK_CASES)})
+    assert {r["total_revenue"] for r in rows if r["hits"] != "[]"} == {9.0}
 
 
 def test_spread_categories(spark):

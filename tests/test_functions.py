@@ -106,36 +106,35 @@ def test_json_object(spark):
     assert got == [True, False, False, False, False, True, False]
 
 
-@pytest.mark.parametrize(
-    ("cell", "expected"),
-    [
-        (r"""[{'a': 'it\'s'}]""", '[{"a":"it\'s"}]'),
-        ("""[{'a': "Men's"}]""", '[{"a":"Men\'s"}]'),
-        ("[{'a': True, 'b': None, 'c': False}]", '[{"a":true,"b":null,"c":false}]'),
-        ("[{'a': 'None, True'}]", '[{"a":"None, True"}]'),
-        ("[{'a': 'None, True', 'b': None}]", '[{"a":"None, True","b":null}]'),
-        (r"[{'a': 'x\xa0y'}]", '[{"a":"x\u00a0y"}]'),
-        (r"[{'a': 'x\\xa0'}]", r'[{"a":"x\\xa0"}]'),
-        ("[{'a': 1},]", '[{"a":1}]'),
-        ("[{'a': [1, 2,], 'b': ',]'},]", '[{"a":[1,2],"b":",]"}]'),
-        ("[]", "[]"),
-        (" [1.5, -2e3]", "[1.5,-2000.0]"),
-        ("""[{"a": 'say "hi"'}]""", r'[{"a":"say \"hi\""}]'),
-        ("[{'a': 1}] junk", "[]"),
-        ("{'a': 1}", "[]"),
-        ("[true, null]", "[]"),
-        ("[nan]", "[]"),
-        ("[1] [2]", "[]"),
-        ("[{'a': 1}", "[]"),
-        ("['a' 'b'", "[]"),
-        ("", "[]"),
-        (None, "[]"),
-        ("  ", "[]"),
-    ],
-)
-def test_literal_lists(spark, cell, expected):
-    got = texts(spark, [cell], x=lambda c: F.to_json(parse_literal_list(c)))
-    assert got == [expected]
+LITERALS = [
+    (r"""[{'a': 'it\'s'}]""", '[{"a":"it\'s"}]'),
+    ("""[{'a': "Men's"}]""", '[{"a":"Men\'s"}]'),
+    ("[{'a': True, 'b': None, 'c': False}]", '[{"a":true,"b":null,"c":false}]'),
+    ("[{'a': 'None, True'}]", '[{"a":"None, True"}]'),
+    ("[{'a': 'None, True', 'b': None}]", '[{"a":"None, True","b":null}]'),
+    (r"[{'a': 'x\xa0y'}]", '[{"a":"x\u00a0y"}]'),
+    (r"[{'a': 'x\\xa0'}]", r'[{"a":"x\\xa0"}]'),
+    ("[{'a': 1},]", '[{"a":1}]'),
+    ("[{'a': [1, 2,], 'b': ',]'},]", '[{"a":[1,2],"b":",]"}]'),
+    ("[]", "[]"),
+    (" [1.5, -2e3]", "[1.5,-2000.0]"),
+    ("""[{"a": 'say "hi"'}]""", r'[{"a":"say \"hi\""}]'),
+    ("[{'a': 1}] junk", "[]"),
+    ("{'a': 1}", "[]"),
+    ("[true, null]", "[]"),
+    ("[nan]", "[]"),
+    ("[1] [2]", "[]"),
+    ("[{'a': 1}", "[]"),
+    ("['a' 'b'", "[]"),
+    ("", "[]"),
+    (None, "[]"),
+    ("  ", "[]"),
+]
+
+
+def test_literal_lists(spark):
+    got = texts(spark, [c for c, _ in LITERALS], x=lambda c: F.to_json(parse_literal_list(c)))
+    assert got == [expected for _, expected in LITERALS]
 
 
 def test_large_cell(spark):
