@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def load_json(spark: SparkSession, path: str) -> dict:
     """One JSON document, such as a numeric policy or a categorical dictionary."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def save_version(spark: SparkSession, values: dict, path: str) -> int:
