@@ -153,7 +153,7 @@ def test_one_hot(spark):
     assert df.select(clamp_index(F.col("c"), 3)).collect()[2][0] == 2
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.text(max_size=4)), min_size=1, max_size=30))
 def test_encoded_rows_stay_in_the_vocabulary(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "c string")

@@ -12,6 +12,7 @@ from visitflow.operators.evaluate import (
     visitors_missing,
 )
 from visitflow.operators.model import PREDICTION, DenseLayer, DenseNet, fit_regressor, score, score_dense
+from visitflow.plans.training import train_and_evaluate
 
 
 def metrics(spark, pairs):
@@ -85,6 +86,16 @@ def test_boosted_trees_repeat(sessions):
         fit_regressor(sessions, ["x"], kind="other")
 
 
+def test_training(spark, sessions):
+    result = train_and_evaluate(
+        sessions.withColumn("note", F.lit("text")), sessions.drop("z"), kind="linear", max_train=300
+    )
+    assert result.left_out == ["note"] and result.prep.features == ["x", "z"]
+    report = {(r[0], r[1]): r[2] for r in result.report.collect()}
+    assert report["validation", "n"] == 30 and report["validation", "r2"] > 0.9999
+    assert report["test", "n"] == result.predictions.count() == 50
+
+
 def test_dense_net(spark):
     rng = np.random.default_rng(7)
 

@@ -77,7 +77,7 @@ def test_split_with_one_hot_key_and_copies(spark, sorted_rows):
     rows += [(str(i), "x", i) for i in range(7, 207)]
     df = spark.createDataFrame(rows, "visitId string, fullVisitorId string, n int").repartition(4)
     order = sorted(rows, key=lambda r: (r[0], r[1]))
-    for cut in (0, 1, 77, 200, 333, 599, 600):
+    for cut in (0, 77, 200, 333, 600):
         head, tail = split_rows(
             df, [F.col("visitId"), F.col("fullVisitorId")], cut, 600, sorted_rows=sorted_rows
         )
@@ -94,7 +94,7 @@ def test_ten_rows(spark):
 def test_null_and_unicode_keys(spark):
     keys = ["", "a", "a\0", "ab", "zebra", "é", "日本", "𝄞", None, None]
     df = spark.createDataFrame([(k, str(i)) for i, k in enumerate(keys)], "visitId string, fullVisitorId string")
-    for cut in range(11):
+    for cut in (1, 4, 8, 9):
         head, tail = split_rows(df, [F.col("visitId")], cut, 10, sorted_rows=1)
         got = [r[0] for r in head.select("visitId").collect()]
         expected = sorted(keys[:8])[:cut] + [None] * max(0, cut - 8)
@@ -112,7 +112,7 @@ def test_sample(spark):
     assert sample_rows(df, 9999).count() == 5000
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     values=st.lists(st.floats(-100, 100, width=16), min_size=1, max_size=60),
     qs=st.lists(st.floats(0, 1), min_size=2, max_size=3),

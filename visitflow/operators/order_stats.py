@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SORTED_ROWS = 1_000_000  # most values one task sorts
+SORTED_ROWS = 100_000  # most values one task sorts
 ACCURACY = 10_000  # rank error of the sketch is 1 / ACCURACY of the rows
 MARGIN = 2.0 / ACCURACY
 

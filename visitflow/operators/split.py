@@ -8,7 +8,7 @@ interchangeable, so they are counted and dealt out by number.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,27 +21,47 @@ COPIES_PER_TASK = 100_000
 LAST_TEXT = "\U0010ffff"  # sorts after every other text; stands for null
 
 
+@dataclass(frozen=True)
+class _Key:
+    """One sort key; nulls come last."""
+
+    raw: Column
+    ordered: Column  # nulls replaced by ``last``
+    last: object
+
+    def compared(self, bound: object) -> Column:
+        """The column to compare with a bound: as it is, where filters can reach the scan."""
+        return self.ordered if bound == self.last else self.raw
+
+
 @dataclass
 class _Cut:
-    """Rows before the cut: those less than ``bounds`` and ``ties_before`` of its equals."""
+    """Rows before the cut: those less than the bounds and ``ties_before`` of their equals."""
 
-    bounds: list[tuple[Column, object]] = field(default_factory=list)
-    ties: int = 0
-    ties_before: int = 0
+    bounds: list[tuple[_Key, object]]
+    ties: int
+    ties_before: int
 
     def before(self) -> Column:
         condition, prefix = F.lit(False), F.lit(True)
-        for c, bound in self.bounds:
+        for key, bound in self.bounds:
+            c = key.compared(bound)
             condition = condition | (prefix & (c < F.lit(bound)))
             prefix = prefix & (c == F.lit(bound))
-        return condition
+        return F.coalesce(condition, F.lit(False)) if self.has_nulls() else condition
 
     def tied(self) -> Column:
         condition = F.lit(True)
-        for c, bound in self.bounds:
-            condition = condition & (c == F.lit(bound))
+        for key, bound in self.bounds:
+            condition = condition & (key.compared(bound) == F.lit(bound))
         return condition
 
+    def after(self) -> Column:
+        return ~F.coalesce(self.before() | self.tied(), F.lit(False))
+
+    def has_nulls(self) -> bool:
+        return any(bound == key.last for key, bound in self.bounds)
+
 
 def row_hash(df: DataFrame, seed: int = 0) -> Column:
     """53-bit hash of the whole row, exact as a double."""
@@ -58,47 +78,52 @@ def split_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """First ``cut`` rows in the order of ``keys``, and the other rows.
 
-    ``df`` should be a table or a deterministic query: it is scanned a few
-    times for the cut, then once per side.
+    ``df`` should be a table or a deterministic query: its keys are scanned a
+    few times for the cut, then the rows once per side.
     """
     if cut <= 0:
         return df.limit(0), df
     if cut >= total:
         return df, df.limit(0)
-    ordered = [_orderable(df, k) for k in keys] + [row_hash(df, seed)]
-    found = _find_cut(df, ordered, cut, total, sorted_rows)
-    first, tied = df.filter(found.before()), df.filter(found.tied())
-    rest = df.filter(~(found.before() | found.tied()))
+    found = _find_cut(df, [_key(df, k) for k in keys], cut, total, sorted_rows)
+    if 0 < found.ties_before < found.ties:
+        hashed = row_hash(df, seed)
+        inner = _find_cut(
+            df.filter(found.tied()), [_Key(hashed, hashed, None)], found.ties_before, found.ties, sorted_rows
+        )
+        found = _Cut(found.bounds + inner.bounds, inner.ties, inner.ties_before)
+    first, tied, rest = (df.filter(c) for c in (found.before(), found.tied(), found.after()))
     if found.ties_before == found.ties:
         return first.unionByName(tied), rest
     if found.ties_before == 0:
-        return first, tied.unionByName(rest)
+        return first, df.filter(~F.coalesce(found.before(), F.lit(False)))
     head, tail = _deal_copies(tied, found.ties_before)
     return first.unionByName(head), tail.unionByName(rest)
 
 
-def _orderable(df: DataFrame, key: Column) -> Column:
+def _key(df: DataFrame, key: Column) -> _Key:
     dtype = df.select(key.alias("k")).schema["k"].dataType
     if isinstance(dtype, T.StringType):
-        return F.coalesce(key, F.lit(LAST_TEXT))
-    return F.coalesce(key.cast("double"), F.lit(float("inf")))
+        return _Key(key, F.coalesce(key, F.lit(LAST_TEXT)), LAST_TEXT)
+    number = key.cast("double")
+    return _Key(number, F.coalesce(number, F.lit(float("inf"))), float("inf"))
 
 
-def _find_cut(
-    df: DataFrame, ordered: list[Column], cut: int, total: int, sorted_rows: int
-) -> _Cut:
-    keys = df.select(*[c.alias(f"k{i}") for i, c in enumerate(ordered)])
+def _find_cut(df: DataFrame, keys: list[_Key], cut: int, total: int, sorted_rows: int) -> _Cut:
+    """Bounds of the row at rank ``cut``, found on the key columns alone."""
+    if not keys:
+        return _Cut([], total, cut)
+    table = df.select(*[k.ordered.alias(f"k{i}") for i, k in enumerate(keys)])
     rank, left = cut, total  # rank of the first row after the cut among the rows left
     bounds: list[object] = []
-    rows = keys
-    for i, c in enumerate(ordered):
+    rows = table
+    for i in range(len(keys)):
         if left <= sorted_rows:
-            rest = [f"k{j}" for j in range(i, len(ordered))]
-            at_cut = rows.select(*rest).orderBy(*rest).offset(rank).limit(1).first()
-            bounds.extend(at_cut)
+            rest = [f"k{j}" for j in range(i, len(keys))]
+            bounds.extend(rows.select(*rest).orderBy(*rest).offset(rank).limit(1).first())
             break
         name = f"k{i}"
-        if isinstance(keys.schema[name].dataType, T.StringType):
+        if isinstance(table.schema[name].dataType, T.StringType):
             bound = _text_at_rank(rows, name, rank, left, sorted_rows)
         else:
             bound = values_at_ranks(
@@ -106,19 +131,19 @@ def _find_cut(
             )[name, rank]
         bounds.append(bound)
         counted = rows.agg(
-            F.count(F.when(F.col(name) < F.lit(bound), 1)).alias("below"),
-            F.count(F.when(F.col(name) == F.lit(bound), 1)).alias("equal"),
+            F.count_if(F.col(name) < F.lit(bound)).alias("below"),
+            F.count_if(F.col(name) == F.lit(bound)).alias("equal"),
         ).first()
         rank, left = rank - counted["below"], counted["equal"]
         rows = rows.filter(F.col(name) == F.lit(bound))
-    found = _Cut(list(zip(ordered, bounds, strict=True)))
-    in_keys = _Cut([(F.col(f"k{i}"), b) for i, b in enumerate(bounds)])
-    counted = keys.agg(
-        F.count(F.when(in_keys.before(), 1)).alias("before"),
-        F.count(F.when(in_keys.tied(), 1)).alias("ties"),
+    names = [_Key(F.col(f"k{i}"), F.col(f"k{i}"), k.last) for i, k in enumerate(keys)]
+    found = _Cut(list(zip(names, bounds, strict=True)), 0, 0)
+    counted = table.agg(
+        F.count_if(found.before()).alias("before"), F.count_if(found.tied()).alias("ties")
     ).first()
-    found.ties, found.ties_before = counted["ties"], cut - counted["before"]
-    return found
+    return _Cut(
+        list(zip(keys, bounds, strict=True)), counted["ties"], cut - counted["before"]
+    )
 
 
 def _text_at_rank(rows: DataFrame, name: str, rank: int, total: int, sorted_rows: int) -> str:
@@ -135,8 +160,8 @@ def _text_at_rank(rows: DataFrame, name: str, rank: int, total: int, sorted_rows
             return rows.select(name).orderBy(name).offset(rank).limit(1).first()[0]
         bound = values_at_ranks(rows, {"c": level}, {"c": [rank]}, {"c": total}, sorted_rows)["c", rank]
         counted = rows.agg(
-            F.count(F.when(level < F.lit(bound), 1)).alias("below"),
-            F.count(F.when(level == F.lit(bound), 1)).alias("equal"),
+            F.count_if(level < F.lit(bound)).alias("below"),
+            F.count_if(level == F.lit(bound)).alias("equal"),
         ).first()
         rank, total = rank - counted["below"], counted["equal"]
         rows = rows.filter(level == F.lit(bound))

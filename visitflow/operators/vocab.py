@@ -75,7 +75,8 @@ def vocabulary_spec(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("kept"))
     )
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("requested_top_k"))
+    # Reading ``n`` here keeps both branches on one shuffle of the counts.
+    sizes = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("requested_top_k"))
     names = F.coalesce(F.col("kept.value"), F.array().cast("array<string>"))
     return sizes.join(kept, "column", "left").select(
         "column",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -14,6 +15,7 @@ from visitflow.functions.numbers import text_to_long
 from visitflow.operators.clean import ID_COLUMNS
 
 ROWS_PER_FILE = 500_000
+FOOTER_READERS = 16
 LONG_COLUMNS = ["date", "visitNumber", "visitStartTime"]
 
 # Texts that a CSV reader takes for a missing value.
@@ -143,11 +145,10 @@ def read_parts_relaxed(spark: SparkSession, path: str) -> DataFrame:
     except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE" not in str(error):
             raise
-    files = [
-        r[0]
-        for r in reader().parquet(path).select(F.col("_metadata.file_path")).distinct().collect()
-    ]
+    files = sorted(reader().parquet(path).inputFiles())
     groups: dict[str, list[str]] = {}
-    for name in sorted(files):
-        groups.setdefault(spark.read.parquet(name).schema.json(), []).append(name)
+    with ThreadPoolExecutor(FOOTER_READERS) as pool:
+        schemas = pool.map(lambda name: spark.read.parquet(name).schema.json(), files)
+        for name, schema in zip(files, schemas, strict=True):
+            groups.setdefault(schema, []).append(name)
     return union_relaxed(*[spark.read.parquet(*names) for names in groups.values()])

@@ -29,6 +29,7 @@ from visitflow.operators.model import (
 from visitflow.operators.prep import apply_prep, fit_prep, numeric_features, split_features
 from visitflow.operators.split import first_rows, sample_rows, time_split
 from visitflow.plans.pipeline import FittedPipeline, fit_pipeline
+from visitflow.plans.training import train_and_evaluate
 from visitflow.session import new_table_path
 from visitflow.sources.params import load_version, save_version, write_report
 from visitflow.sources.tables import (
@@ -398,8 +399,8 @@ def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees fitted on the train split, scored on the validation split."""
+def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees trained with early stopping; predictions per visitor of the test rows."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("fullVisitorId"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("visitId"),
@@ -408,10 +409,30 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount",
         "l_tax",
     )
-    train, validation = time_split(rows)
-    prep = fit_prep(train)
-    model = fit_regressor(apply_prep(train, prep), prep.features, maxIter=5, maxDepth=3)
-    return score(model, apply_prep(validation, prep)).select("visitId", "total_revenue", PREDICTION)
+    return train_and_evaluate(rows, rows, maxIter=5, maxDepth=3).predictions
+
+
+LINEAR_SQL = f"""
+    with rows as ({SPLIT_SQL}),
+         fit as (select regr_slope(total_revenue, visitor) as b, regr_intercept(total_revenue, visitor) as a
+                 from rows where rn <= floor(n * 0.9)),
+         val as (select total_revenue, a + b * visitor as p from rows, fit where rn > floor(n * 0.9)),
+         visitors as (select fullVisitorId, sum(total_revenue) as a, sum(greatest(a + b * visitor, 0)) as p
+                      from rows, fit group by 1)
+"""
+
+
+@query(
+    LINEAR_SQL
+    + _report_sql("validation", "select * from val", "p", "total_revenue")
+    + " union all "
+    + _report_sql("test", "select * from visitors", "p", "a")
+)
+def linear_training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, preparation, linear fit and both evaluations."""
+    rows = event_rows(spark, sf_dir).select("fullVisitorId", "visitId", "total_revenue", "visitor")
+    report = train_and_evaluate(rows, rows, kind="linear").report
+    return report.withColumn("value", F.round("value", 6))
 
 
 def small_net() -> DenseNet:
