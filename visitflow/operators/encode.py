@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def _lookup_text(c: Column) -> Column:
 
 def category_index(c: Column, value_to_index: dict[str, int], others_index: int) -> Column:
     """Index of the text, else of the stripped text, else ``others_index``."""
-    entries = [x for v, i in value_to_index.items() for x in (F.lit(v), F.lit(i).cast("bigint"))]
-    table = F.create_map(*entries)
+    # A constant: the optimizer turns it into a map literal.
+    table = F.from_json(F.lit(json.dumps(value_to_index)), "map<string,bigint>")
     text = _lookup_text(c)
     return F.coalesce(
         F.try_element_at(table, text),
@@ -72,8 +74,8 @@ def join_index(
 
 def category_label(index: Column, index_to_value: dict[str, str]) -> Column:
     """Label or category of an index, for reports."""
-    entries = [x for i, v in index_to_value.items() for x in (F.lit(int(i)), F.lit(v))]
-    return F.try_element_at(F.create_map(*entries), index.cast("int"))
+    table = F.from_json(F.lit(json.dumps(index_to_value)), "map<string,string>")
+    return F.try_element_at(table, index.cast("string"))
 
 
 def clamp_index(index: Column, vocab_size: int) -> Column:

@@ -144,8 +144,8 @@ def leaf_text(v: Column, leaf: Leaf) -> Column:
         text = F.try_variant_get(v, path, "string")
         # Later data may hold booleans here: only texts that look so are checked.
         at = F.try_variant_get(v, path, "variant")
-        text = F.when(text.isin("true", "false"), python_text(at)).otherwise(text)
-        return F.coalesce(text, F.lit(""))
+        boolean = text.isin("true", "false") & (variant_type(at) == "BOOLEAN")
+        return F.coalesce(F.when(boolean, F.initcap(text)).otherwise(text), F.lit(""))
     at = F.try_variant_get(v, path, "variant")
     empty = (
         at.isNull()

@@ -358,13 +358,42 @@ def model_input_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _rank_sql(c: str) -> str:
+    return f"""
+        (select {c}, row_number() over (order by r) + 1 as i
+         from (select {c}, row_number() over (order by count(*) desc, {c}) as r from clean group by 1)
+         where r <= 15 and {c} <> '')
+    """
+
+
+CODED = ["channelGrouping", "customDimensions", "device_browser", "device_isMobile", "geoNetwork_country",
+         "categories_viewed_0", "categories_viewed_1"]
+
+
+def _index_sql(c: str) -> str:
+    # 'unknown' is a reserved text and is not retained.
+    ranks = _rank_sql(c).replace("<> ''", "not in ('', 'unknown')")
+    return f"""
+        cast(case {c} when '' then 0 when 'unknown' then 1
+             else coalesce((select i from {ranks} k where k.{c} = t.{c}),
+                           (select count(*) + 2 from {ranks})) end as bigint) as {c}
+    """
+
+
+@query(f"""
+    with clean as ({CLEAN})
+    select "fullVisitorId", "visitId", {", ".join(_index_sql(c) for c in CODED)} from clean t
+""")
 def saved_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipeline with data-driven drops, saved, loaded and applied."""
     raw = event_sessions(spark, sf_dir)
     path = new_table_path(spark, "pipeline")
     fit_pipeline(raw, drop_low_variance=True).save(spark, path)
-    return FittedPipeline.load(spark, path).transform(raw)
+    result = FittedPipeline.load(spark, path).transform(raw)
+    single_valued = {"socialEngagementType", "trafficSource_source", "device_browserSize", "totals_visits"}
+    if single_valued & set(result.columns):
+        raise AssertionError("single-valued columns are left")
+    return result.select("fullVisitorId", "visitId", *CODED)
 
 
 @query("""
