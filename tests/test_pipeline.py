@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from visitflow import FittedPipeline, fit_pipeline
+from visitflow import FittedPipeline, fit_pipeline, fit_transform
 from visitflow.session import materialize, shared_folder
 from visitflow.sources.params import load_json, load_version, save_version
 from visitflow.sources.tables import (
@@ -45,6 +45,14 @@ def test_parameters_survive_storage(spark, raw, fitted, tmp_path):
     assert again.transform(one).exceptAll(fitted.transform(one)).count() == 0
 
 
+def test_fit_transform_is_fit_then_transform(raw, fitted):
+    again, table = fit_transform(raw)
+    assert again == fitted
+    assert table.columns == fitted.transform(raw).columns
+    assert table.exceptAll(fitted.transform(raw)).count() == 0
+    assert list(fitted.dictionary["columns"]) == sorted(fitted.dictionary["columns"])
+
+
 def test_new_sessions_use_frozen_parameters(spark, raw, fitted):
     new = raw.limit(1).withColumns(
         {"channelGrouping": F.lit("never seen"), "device": F.lit('{"other":"x"}'), "totals": F.lit("bad")}

@@ -1,7 +1,14 @@
 """Session analytics and feature preparation on Spark DataFrames."""
 
-from visitflow.plans.pipeline import FittedPipeline, fit_pipeline
+from visitflow.plans.pipeline import FittedPipeline, fit_pipeline, fit_transform
 from visitflow.plans.training import Training, train_and_evaluate
 from visitflow.session import build_session
 
-__all__ = ["FittedPipeline", "Training", "build_session", "fit_pipeline", "train_and_evaluate"]
+__all__ = [
+    "FittedPipeline",
+    "Training",
+    "build_session",
+    "fit_pipeline",
+    "fit_transform",
+    "train_and_evaluate",
+]

@@ -93,7 +93,7 @@ def parse_literal_list(c: Column) -> Column:
 
 def parse_json_object(c: Column) -> Column:
     """VARIANT of a JSON object; null for blank, malformed or other JSON."""
-    return F.when(trim_ws(c).startswith("{"), F.try_parse_json(c))
+    return F.when(c.rlike(r"^[ \t\n\r]*\{"), F.try_parse_json(c))
 
 
 def variant_type(v: Column) -> Column:
@@ -111,11 +111,12 @@ def python_text(v: Column) -> Column:
     JSON ``1.0`` is kept by VARIANT as a decimal without places, hence ``.0``;
     whole numbers are BIGINT, or decimals of 19 and more digits.
     """
-    return let(
-        variant_type(v),
-        lambda kind: F.when(kind.startswith("ARRAY"), _list_text(v)).otherwise(
-            _scalar_text(kind, variant_text(v), lambda text: text)
-        ),
+    return let(variant_type(v), lambda kind: text_of_type(v, kind))
+
+
+def text_of_type(v: Column, kind: Column) -> Column:
+    return F.when(kind.startswith("ARRAY"), _list_text(v)).otherwise(
+        _scalar_text(kind, variant_text(v), lambda text: text)
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitflow.functions.binding import let
 from visitflow.functions.hits import (
     categories_of,
     hit_fields,
@@ -26,7 +27,7 @@ from visitflow.functions.literals import (
     custom_dimension_value,
     parse_json_object,
     parse_literal,
-    python_text,
+    text_of_type,
     variant_text,
     variant_type,
 )
@@ -147,13 +148,13 @@ def leaf_text(v: Column, leaf: Leaf) -> Column:
         boolean = text.isin("true", "false") & (variant_type(at) == "BOOLEAN")
         return F.coalesce(F.when(boolean, F.initcap(text)).otherwise(text), F.lit(""))
     at = F.try_variant_get(v, path, "variant")
-    empty = (
-        at.isNull()
-        | variant_type(at).startswith("OBJECT")
-        | (variant_type(at) == "VOID")
-        | (variant_text(at) == "[]")
-    )
-    return F.when(empty, F.lit("")).otherwise(F.coalesce(python_text(at), F.lit("")))
+
+    def text_or_empty(kind: Column) -> Column:
+        empty_list = (kind == "ARRAY<VOID>") & (variant_text(at) == "[]")
+        empty = kind.isNull() | kind.startswith("OBJECT") | (kind == "VOID") | empty_list
+        return F.when(empty, F.lit("")).otherwise(text_of_type(at, kind))
+
+    return let(variant_type(at), text_or_empty)
 
 
 def flatten_json(df: DataFrame, leaves: list[Leaf]) -> DataFrame:

@@ -6,7 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitflow.operators.clean import cast_ids, cast_totals, drop_columns
+from visitflow.operators.clean import (
+    ID_COLUMNS,
+    LABEL,
+    SINGLE_VALUED_COLUMNS,
+    cast_ids,
+    cast_totals,
+    drop_columns,
+)
 from visitflow.operators.flatten import (
     Leaf,
     category_width,
@@ -17,7 +24,7 @@ from visitflow.operators.flatten import (
 from visitflow.operators.order_stats import SORTED_ROWS
 from visitflow.operators.policy import DEFAULT_POLICY, fit_caps, model_input
 from visitflow.operators.profile import low_variance_columns, profile_columns
-from visitflow.operators.vocab import fit_vocabulary
+from visitflow.operators.vocab import categorical_columns, fit_vocabulary
 from visitflow.session import materialize
 from visitflow.sources.params import load_version, save_version
 
@@ -77,25 +84,41 @@ def fit_pipeline(
 ) -> FittedPipeline:
     """Discover columns, fit vocabulary and caps.
 
-    The cleaned table is written once and scanned for all fits. With
+    The flat table is written once and scanned for all fits. With
     ``drop_low_variance`` the single-valued columns are found in the data
     instead of taken from the fixed list.
     """
+    return _fit(raw, policy, drop_low_variance, sorted_rows)[0]
+
+
+def fit_transform(
+    raw: DataFrame,
+    policy: dict | None = None,
+    drop_low_variance: bool = False,
+    sorted_rows: int = SORTED_ROWS,
+) -> tuple[FittedPipeline, DataFrame]:
+    """Fit, and the model input of the same sessions without parsing them again."""
+    fitted, cleaned = _fit(raw, policy, drop_low_variance, sorted_rows)
+    return fitted, model_input(cleaned, fitted.policy, fitted.dictionary)
+
+
+def _fit(
+    raw: DataFrame, policy: dict | None, drop_low_variance: bool, sorted_rows: int
+) -> tuple[FittedPipeline, DataFrame]:
     leaves = discover_leaves(raw)
     flat = materialize(flatten_sessions(raw, leaves), "flat-sessions")
     width = category_width(flat)
     wide = spread_categories(flat, width)
-    dropped = None
+    dropped = SINGLE_VALUED_COLUMNS
     if drop_low_variance:
         dropped = low_variance_columns(profile_columns(wide))
+    dropped = [c for c in dropped if c in wide.columns and c not in (*ID_COLUMNS, LABEL)]
     cleaned = cast_ids(cast_totals(drop_columns(wide, dropped)))
-    known = set(wide.columns)
-    if dropped is None:
-        dropped = sorted(known - set(cleaned.columns))
-    return FittedPipeline(
+    fitted = FittedPipeline(
         leaves=leaves,
         category_width=width,
         dropped=dropped,
         policy=fit_caps(cleaned, policy or DEFAULT_POLICY, sorted_rows),
-        dictionary=fit_vocabulary(cleaned),
+        dictionary=fit_vocabulary(cleaned, sorted(categorical_columns(cleaned))),
     )
+    return fitted, cleaned

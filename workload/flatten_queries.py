@@ -23,6 +23,8 @@ from visitflow.operators.flatten import (
     spread_categories,
 )
 from visitflow.operators.profile import low_variance_columns, profile_columns
+from visitflow.session import materialize
+from visitflow.sources.tables import spread_rows
 from workload.registry import query
 from workload.sessions import event_sessions, line_sessions, order_sessions, table
 
@@ -66,7 +68,13 @@ def hits_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def categories_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sorted categories spread over positional columns."""
-    metrics = add_hit_metrics(line_sessions(spark, sf_dir))
+    # Written once: the width and the spread read it, the cells are parsed once.
+    metrics = materialize(
+        add_hit_metrics(line_sessions(spark, sf_dir)).select(
+            "l_orderkey", "l_partkey", "l_linenumber", "categories_viewed", "total_category_viewed"
+        ),
+        "categories",
+    )
     width = category_width(metrics)
     return spread_categories(metrics, width).select(
         "l_orderkey", "l_partkey", "l_linenumber", *[f"categories_viewed_{i}" for i in range(width)]
@@ -136,7 +144,8 @@ def flatten_props(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("}"),
         )
     )
-    cells = table(spark, sf_dir, "events").select("event_id", "props", detail.alias("detail"))
+    events = spread_rows(table(spark, sf_dir, "events").select("event_id", "props", "event_type"))
+    cells = events.select("event_id", "props", detail.alias("detail"))
     return flatten_json(cells, discover_leaves(cells, ["props", "detail"]))
 
 

@@ -28,7 +28,7 @@ from visitflow.operators.model import (
 )
 from visitflow.operators.prep import apply_prep, fit_prep, numeric_features, split_features
 from visitflow.operators.split import first_rows, sample_rows, time_split
-from visitflow.plans.pipeline import FittedPipeline, fit_pipeline
+from visitflow.plans.pipeline import FittedPipeline, fit_pipeline, fit_transform
 from visitflow.plans.training import train_and_evaluate
 from visitflow.session import new_table_path
 from visitflow.sources.params import load_version, save_version, write_report
@@ -334,7 +334,7 @@ INDEX_SQL = """
 def model_input_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sessions through the fitted pipeline to the model input."""
     raw = event_sessions(spark, sf_dir)
-    result = fit_pipeline(raw).transform(raw)
+    _, result = fit_transform(raw)
     logged = [
         "total_revenue",
         "total_product_viewed",
