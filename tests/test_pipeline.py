@@ -10,6 +10,7 @@ from visitflow.sources.tables import (
     read_parts_relaxed,
     read_sessions_csv,
     read_table,
+    rows_per_part,
     union_relaxed,
     write_csv,
     write_table,
@@ -110,6 +111,7 @@ def test_tables(spark, tmp_path):
     write_table(spark.range(25).coalesce(1), path, rows_per_file=10)
     assert len(list((tmp_path / "t").glob("*.parquet"))) == 3
     assert read_table(spark, path).count() == 25
+    assert sorted(r["rows"] for r in rows_per_part(spark, path).collect()) == [5, 10, 10]
     write_csv(spark.createDataFrame([('a "b", c',)], "x string"), str(tmp_path / "c"))
     assert read_sessions_csv(spark, str(tmp_path / "c")).first()[0] == 'a "b", c'
     (tmp_path / "empty").mkdir()

@@ -32,6 +32,7 @@ from visitflow.functions.literals import (
     variant_type,
 )
 
+# Columns taken over as they are, and columns that hold JSON objects.
 PASS_THROUGH = [
     "channelGrouping",
     "date",

@@ -18,31 +18,29 @@ CAP_QUANTILE = 0.99
 # The action of each numeric field, with the caps fitted so far.
 DEFAULT_POLICY = {
     "features": [
-        {"field": "total_revenue", "conclusion": "label", "action": "log1p"},
-        {"field": "totals_totalTransactionRevenue", "conclusion": "leakage", "action": "drop"},
-        {"field": "totals_transactionRevenue", "conclusion": "leakage", "action": "drop"},
-        {"field": "totals_transactions", "conclusion": "leakage", "action": "drop"},
+        {"field": "total_revenue", "action": "log1p"},
+        {"field": "totals_totalTransactionRevenue", "action": "drop"},
+        {"field": "totals_transactionRevenue", "action": "drop"},
+        {"field": "totals_transactions", "action": "drop"},
         {
             "field": "total_product_viewed",
-            "conclusion": "heavy_tail_count",
             "action": "log1p_cap",
             "cap_quantile": 0.99,
             "cap_value": 181.0,
         },
-        {"field": "total_category_viewed", "conclusion": "heavy_tail_count", "action": "log1p"},
-        {"field": "totals_hits", "conclusion": "behavior_intensity", "action": "log1p"},
-        {"field": "totals_pageviews", "conclusion": "behavior_intensity", "action": "log1p"},
-        {"field": "totals_timeOnSite", "conclusion": "heavy_tail_time", "action": "log1p"},
+        {"field": "total_category_viewed", "action": "log1p"},
+        {"field": "totals_hits", "action": "log1p"},
+        {"field": "totals_pageviews", "action": "log1p"},
+        {"field": "totals_timeOnSite", "action": "log1p"},
         {
             "field": "average_price_product_viewed",
-            "conclusion": "price",
             "action": "log1p_cap",
             "cap_quantile": 0.99,
             "cap_value": 81.27365714285655,
         },
-        {"field": "visitNumber", "conclusion": "history_intensity", "action": "log1p"},
-        {"field": "date", "conclusion": "time_encoding", "action": "drop_raw"},
-        {"field": "visitStartTime", "conclusion": "timestamp", "action": "drop_raw"},
+        {"field": "visitNumber", "action": "log1p"},
+        {"field": "date", "action": "drop_raw"},
+        {"field": "visitStartTime", "action": "drop_raw"},
     ],
     "derived_features": {
         "date": {"parse": "YYYYMMDD"},

@@ -16,6 +16,7 @@ from visitflow.operators.clean import ID_COLUMNS
 
 ROWS_PER_FILE = 500_000
 FOOTER_READERS = 16
+# Raw columns that are whole numbers.
 LONG_COLUMNS = ["date", "visitNumber", "visitStartTime"]
 
 # Texts that a CSV reader takes for a missing value.
@@ -81,6 +82,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
+def rows_per_part(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, rows)`` of every parquet part that has rows."""
+    table = read_table(spark, path)
+    return table.groupBy(F.col("_metadata.file_name").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
 def spread_rows(scan: DataFrame) -> DataFrame:
     """Spread a small table scan over all cores before CPU-heavy parsing.
 
