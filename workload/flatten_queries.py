@@ -44,7 +44,7 @@ LINES = """
            round(case when l_returnflag = 'R' then usd * n else 0 end, 4) as total_revenue
     from ({LINES})
 """)
-def hits_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hit_metrics_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product, price, category and revenue metrics of literal hits cells."""
     return add_hit_metrics(line_sessions(spark, sf_dir)).select(
         "l_orderkey",
