@@ -102,6 +102,17 @@ def test_null_and_unicode_keys(spark):
         assert tail.count() == 10 - cut
 
 
+@pytest.mark.parametrize("sorted_rows", [2, 1000])
+def test_long_keys_beyond_doubles(spark, sorted_rows):
+    keys = [2**62 + i for i in range(20)] + [-(2**62) - i for i in range(20)] + [0, 1]
+    df = spark.createDataFrame([(k,) for k in keys], "visitId bigint")
+    for cut in (7, 27):
+        head, tail = split_rows(df, [F.col("visitId")], cut, 42, sorted_rows=sorted_rows)
+        assert ids(head) == sorted(keys)[:cut] and ids(tail) == sorted(keys)[cut:]
+    with pytest.raises(ValueError, match="cannot be split"):
+        split_rows(df, [F.col("visitId").cast("decimal(20,0)")], 1, 42)
+
+
 def test_sample(spark):
     df = spark.range(5000)
     a, b = sample_rows(df, 321, sorted_rows=10), sample_rows(df.repartition(7), 321)

@@ -18,6 +18,7 @@ from visitflow.operators.order_stats import SORTED_ROWS, values_at_ranks
 
 CHUNK_BYTES = 6  # 48 bits: every chunk is exact as a double
 COPIES_PER_TASK = 100_000
+LOW_BITS = 26  # a bigint is compared by its high and its low bits
 LAST_TEXT = "\U0010ffff"  # sorts after every other text; stands for null
 
 
@@ -85,7 +86,7 @@ def split_rows(
         return df.limit(0), df
     if cut >= total:
         return df, df.limit(0)
-    found = _find_cut(df, [_key(df, k) for k in keys], cut, total, sorted_rows)
+    found = _find_cut(df, [p for k in keys for p in _keys_of(df, k)], cut, total, sorted_rows)
     if 0 < found.ties_before < found.ties:
         hashed = row_hash(df, seed)
         inner = _find_cut(
@@ -101,12 +102,19 @@ def split_rows(
     return first.unionByName(head), tail.unionByName(rest)
 
 
-def _key(df: DataFrame, key: Column) -> _Key:
+def _keys_of(df: DataFrame, key: Column) -> list[_Key]:
+    """Sort keys of one column, each exact as a text or as a double."""
     dtype = df.select(key.alias("k")).schema["k"].dataType
     if isinstance(dtype, T.StringType):
-        return _Key(key, F.coalesce(key, F.lit(LAST_TEXT)), LAST_TEXT)
-    number = key.cast("double")
-    return _Key(number, F.coalesce(number, F.lit(float("inf"))), float("inf"))
+        return [_Key(key, F.coalesce(key, F.lit(LAST_TEXT)), LAST_TEXT)]
+    if isinstance(dtype, T.LongType):
+        parts = [F.shiftright(key, LOW_BITS), key.bitwiseAND(F.lit((1 << LOW_BITS) - 1))]
+    elif isinstance(dtype, (T.IntegralType, T.FloatType, T.DoubleType)):
+        parts = [key]
+    else:
+        raise ValueError(f"rows cannot be split by a key of type {dtype.simpleString()}")
+    numbers = [p.cast("double") for p in parts]
+    return [_Key(n, F.coalesce(n, F.lit(float("inf"))), float("inf")) for n in numbers]
 
 
 def _find_cut(df: DataFrame, keys: list[_Key], cut: int, total: int, sorted_rows: int) -> _Cut:
