@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from visitflow.llm.common import table
 from visitflow.llm.packing import pack_documents
+from visitflow.llm.piece_codec import encode_and_decode
+from visitflow.llm.simhash import near_duplicates
 from visitflow.llm.token_shards import token_table, write_token_shards
 from visitflow.session import new_table_path
 
@@ -17,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,6 +35,13 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, path)
 
 
+@query
+def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of each document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
@@ -39,3 +49,15 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op8_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document by the prefix table, and the text decoded from them, as digests."""
+    coded = encode_and_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
