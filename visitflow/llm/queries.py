@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitflow.llm.common import table
+from visitflow.llm.edit_fingerprint import edited_fingerprints, near_classes
 from visitflow.llm.packing import pack_documents
 from visitflow.llm.piece_codec import encode_and_decode
 from visitflow.llm.simhash import near_duplicates
@@ -51,6 +52,22 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit-distance fingerprints of each document and its edited text, and its class of near documents."""
+    rows = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return near_classes(rows).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "class_id",
+    )
+
+
 @query
 def op8_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document by the prefix table, and the text decoded from them, as digests."""
