@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from visitflow.llm.common import table
 from visitflow.llm.edit_fingerprint import edited_fingerprints, near_classes
+from visitflow.llm.language_id import fit_languages, held_out, identify_languages
 from visitflow.llm.packing import pack_documents
 from visitflow.llm.piece_codec import encode_and_decode
+from visitflow.llm.quality import language_references, quality_verdicts
 from visitflow.llm.simhash import near_duplicates
 from visitflow.llm.token_shards import token_table, write_token_shards
 from visitflow.session import new_table_path
@@ -36,6 +38,15 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, path)
 
 
+@query
+def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out()))
+    # The text's own columns only: id and text go in, and the id decides no more than what is held out.
+    return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
@@ -78,3 +89,10 @@ def op8_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base metrics of each document and the verdict of its distances to the languages' references."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_verdicts(docs, language_references(docs))
