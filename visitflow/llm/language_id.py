@@ -34,7 +34,7 @@ MOST_BYTES = 200 << 20
 UNDETERMINED = "und"
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     """Groups of (row numbers, texts) of about :data:`CHUNK` characters; long texts come in pieces."""
     rows: list[int] = []
     parts: list[str] = []
@@ -52,8 +52,13 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, parts
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of each n-gram; n-grams lie within a text and hold a letter."""
+def ngrams(
+    texts: list[str], orders: tuple[int, ...] = ORDERS, n_buckets: int = BUCKETS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and text number of each n-gram; n-grams lie within a text and hold a letter.
+
+    ``n_buckets`` is a power of two.
+    """
     clean = [f" {unicodedata.normalize('NFC', text.lower())} " for text in texts]
     found = characters("".join(clean))
     lengths = np.fromiter(map(len, clean), np.int64, len(clean))
@@ -66,7 +71,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     symbols = np.where(letter, found, 32).astype(np.uint32)[keep]
     letter, number = letter[keep], number[keep]
     buckets, owners = [], []
-    for order in ORDERS:
+    for order in orders:
         count = max(0, len(symbols) - order + 1)
         mixed = np.full(count, order * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
         inside = number[:count] == number[order - 1 : order - 1 + count]
@@ -76,7 +81,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             mixed ^= mixed >> np.uint32(15)
             some |= letter[k : k + count]
         inside &= some
-        buckets.append((mixed[inside] & np.uint32(BUCKETS - 1)).astype(np.int64))
+        buckets.append((mixed[inside] & np.uint32(n_buckets - 1)).astype(np.int64))
         owners.append(number[:count][inside])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -96,7 +101,7 @@ class LanguageModel:
         """
         scores = np.tile(self.prior, (len(texts), 1)).astype(np.float64)
         seen = np.zeros(len(texts), dtype=np.int64)
-        for rows, parts in _pieces(texts):
+        for rows, parts in pieces(texts):
             buckets, owners = ngrams(parts)
             owners = np.asarray(rows)[owners]
             seen += np.bincount(owners, minlength=len(texts))
@@ -127,7 +132,7 @@ def fit_languages(docs: DataFrame, text_column: str = "text", language_column: s
             order = {name: k for k, name in enumerate(dict.fromkeys(names))}
             kinds = np.array([order[name] for name in names])
             with_letter = np.zeros(len(texts), dtype=bool)
-            for rows, parts in _pieces(texts):
+            for rows, parts in pieces(texts):
                 buckets, owners = ngrams(parts)
                 owners = np.asarray(rows)[owners]
                 with_letter[owners] = True

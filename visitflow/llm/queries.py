@@ -16,6 +16,7 @@ from visitflow.llm.piece_codec import encode_and_decode
 from visitflow.llm.quality import language_references, quality_verdicts
 from visitflow.llm.simhash import near_duplicates
 from visitflow.llm.token_shards import token_table, write_token_shards
+from visitflow.llm.toxicity import fit_toxicity, toxicity_grades
 from visitflow.session import new_table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,13 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity grade, expected severity and verdict of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_grades(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
