@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the rows per Arrow batch of this session to :data:`BATCH_ROWS` (a smaller value stays)."""
+    """Make the session ready for texts in Python.
+
+    Lowers the rows per Arrow batch to :data:`BATCH_ROWS` (a smaller value stays), and lets workers that
+    share the driver's disk find this package, from whatever folder the session was started.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from visitflow.llm.common import table
 from visitflow.llm.edit_fingerprint import edited_fingerprints, near_classes
 from visitflow.llm.language_id import fit_languages, held_out, identify_languages
+from visitflow.llm.merkle import archive_layout, fixity_audit, warc_record
 from visitflow.llm.packing import pack_documents
 from visitflow.llm.piece_codec import encode_and_decode
 from visitflow.llm.quality import language_references, quality_verdicts
+from visitflow.llm.reply_trees import conversations_from_trees, linear_replies, read_conversations
 from visitflow.llm.simhash import near_duplicates
 from visitflow.llm.token_shards import token_table, write_token_shards
 from visitflow.llm.toxicity import fit_toxicity, toxicity_grades
-from visitflow.session import new_table_path
+from visitflow.session import materialize, new_table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +50,53 @@ def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: A bit turned over in a record's first byte, and a lost record: so the second replica differs.
+TURNED, LOST, OUT_OF = 7, 11, 61
+
+
+@query
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of a replica of all pages, found by descending the trees.
+
+    The replica is the archive of the same pages in which, by page id, some records have one bit turned over and some are lost.
+    """
+    primary = materialize(archive_layout(table(spark, sf_dir, "pages"), warc_record()), "archive")
+    kind = F.col("page_id") % OUT_OF
+    pages = table(spark, sf_dir, "pages").where(F.coalesce(kind != LOST, F.lit(True)))
+    record = F.when(kind == TURNED, F.concat(F.lit("w"), F.substring(warc_record(), 2, 2**31 - 1))).otherwise(warc_record())
+    held = pages.select(F.col("page_id").alias("id"), F.sha2(record.cast("binary"), 256).alias("digest"))
+    # What the replica holds at each place of the archive's index.
+    replica = primary.drop("digest").join(held, "id").select("id", "file", "offset", "length", "digest")
+    found = fixity_audit(primary, replica)
+    return found.select(
+        "file", "offset", F.col("id").alias("page_id"), "length", "status", F.col("digest").alias("sha256"),
+        F.coalesce("replica_digest", F.lit("")).alias("replica_sha256"),
+    )
+
+
+ORACLES["op3_merkle_fixity"] = f"""
+    with records as (
+        select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+               || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+               || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+               || 'Content-Type: text/html' || chr(13) || chr(10)
+               || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10)
+               || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record
+        from pages),
+    placed as (
+        select *, octet_length(encode(record)) as length,
+               coalesce(sum(octet_length(encode(record))) over (order by page_id rows between unbounded preceding and 1 preceding), 0)
+                   as place
+        from records),
+    filed as (select *, cast(place // {64 << 20} as bigint) as file from placed)
+    select file, cast(place - min(place) over (partition by file) as bigint) as "offset", page_id, cast(length as bigint) as length,
+           case page_id % {OUT_OF} when {LOST} then 'missing' else 'changed' end as status, sha256(record) as sha256,
+           case page_id % {OUT_OF} when {LOST} then '' else sha256('w' || substr(record, 2)) end as replica_sha256
+    from filed
+    qualify page_id % {OUT_OF} in ({TURNED}, {LOST})
+"""
+
+
 @query
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
@@ -104,3 +153,25 @@ def op9_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base metrics of each document and the verdict of its distances to the languages' references."""
     docs = table(spark, sf_dir, "documents")
     return quality_verdicts(docs, language_references(docs))
+
+
+#: A conversation whose texts hold the template's own marks.
+MARKS_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted by path and read back, as digests."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", MARKS_TEXT), (-7, 1, "assistant", MARKS_TEXT)], "conv_id long, turn long, role string, text string")
+    formatted = conversations_from_trees(linear_replies(rows.unionByName(more)))
+    back = read_conversations(materialize(formatted, "formatted-chat"))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
