@@ -1,0 +1,105 @@
+"""Reply trees: template round trips, paths and ranks against a recursive walk, odd rows."""
+
+import hashlib
+import random
+
+import pytest
+
+from visitflow.llm.queries import MARKS_TEXT, QUERIES
+from visitflow.llm.reply_trees import (
+    conversations_from_trees,
+    escape,
+    format_conversation,
+    linear_replies,
+    parse_conversation,
+    read_conversations,
+    unescape,
+)
+
+SCHEMA = "tree_id long, message_id long, parent_id long, role string, text string, score double"
+MARKS = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE ", "[/ROLE]"]
+
+
+def test_round_trip_of_random_turns():
+    draw = random.Random(0)
+    some = [*MARKS, "\\", "<", "[", "]", "] ", " ", "s>", "INST]", "ROLE ", "a", "日", "\n", "/"]
+    for _ in range(4000):
+        turns = [
+            (draw.choice(["user", "assistant", "system", "", "a]b", "x\\", "[ROLE q] "]), "".join(draw.choices(some, k=draw.randrange(8))))
+            for _ in range(draw.randrange(5))
+        ]
+        formatted, spans = format_conversation(turns)
+        assert parse_conversation(formatted) == turns
+        assert [unescape(formatted[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+        for _, text in turns:
+            assert not any(mark in escape(text) for mark in MARKS)
+    with pytest.raises(ValueError):
+        parse_conversation("<s>[INST] open")
+
+
+def brute_paths(rows):
+    by_tree = {}
+    for tree, message, parent, role, text, score in rows:
+        by_tree.setdefault(tree, {})[message] = (parent, role or "", text or "", score or 0.0)
+    out = {}
+    for tree, nodes in by_tree.items():
+        parents = {p for p, *_ in nodes.values()}
+        found = []
+        for leaf in set(nodes) - parents:
+            path, at = [], leaf
+            while at in nodes and at not in path:
+                path.append(at)
+                at = nodes[at][0]
+            if at in path:
+                continue  # it hangs on a circle
+            path.reverse()
+            score = sum(nodes[k][3] for k in path) / len(path)
+            found.append((-score, leaf, [nodes[k][1:3] for k in path]))
+        out[tree] = sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("each", [1, 2, None])
+def test_paths_and_ranks(spark, each):
+    draw = random.Random(1)
+    rows = []
+    for tree in (1, 2, None):
+        for k in range(40):
+            parent = draw.randrange(k) if k else None
+            rows.append((tree, k, parent, draw.choice(["user", "assistant"]), f"t{tree}m{k}", draw.choice([0.5, 1.0, 2.0, None])))
+    rows += [(3, 1, 2, "user", "circle", 1.0), (3, 2, 1, "user", "circle", 1.0), (3, 3, 1, "user", "on a circle", 1.0)]
+    rows += [(4, 1, 99, None, None, None)]  # a parent that is not there
+    rows += [(5, k, k - 1 if k else None, "user", f"m{k}", 1.0) for k in range(150)]  # one long path
+    messages = spark.createDataFrame([*rows, rows[0], (6, None, 1, "user", "no id", 1.0)], SCHEMA).repartition(3)
+    got = {}
+    for r in conversations_from_trees(messages, each).collect():
+        got.setdefault(r.tree_id, []).append((r["rank"], round(r.score, 9), r.leaf_id, parse_conversation(r.formatted), r.n_turns))
+    expected = {
+        tree: [(k + 1, round(-s, 9), leaf, [tuple(t) for t in turns], len(turns)) for k, (s, leaf, turns) in enumerate(paths[:each])]
+        for tree, paths in brute_paths(rows).items()
+        if paths
+    }
+    assert {tree: sorted(found) for tree, found in got.items()} == expected
+
+
+def test_rows_become_chains_and_empty_tables(spark):
+    rows = [(1, 2, "assistant", None), (1, 1, "user", "q"), (1, 2, "assistant", "b"), (None, None, None, "x"), (1, None, "system", "s")]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, rank int")
+    got = {r.tree_id: [tuple(t) for t in r.turns] for r in read_conversations(conversations_from_trees(linear_replies(frame))).collect()}
+    assert got == {1: [("system", "s"), ("user", "q"), ("assistant", ""), ("assistant", "b")], None: [("", "x")]}
+    assert conversations_from_trees(linear_replies(frame.limit(0))).count() == 0
+
+
+def test_query(spark, sf):
+    conversations = {-7: [("user", MARKS_TEXT), ("assistant", MARKS_TEXT)]}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        conversations.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    rows = QUERIES["op10_reply_tree_chat"](spark, sf).collect()
+    assert len(rows) == len(conversations)
+    for r in rows:
+        turns = conversations[r.conv_id]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        digest = hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest()
+        assert (r.n_turns, r.turns_sha256) == (len(turns), digest)
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.formatted_chars == len(format_conversation(turns)[0])
