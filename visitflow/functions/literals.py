@@ -1,84 +1,129 @@
 r"""Cells that hold JSON objects or Python literals, read as VARIANT.
 
-Python list literals are rewritten to JSON text with regular expressions, so
-the parse itself is Spark's ``from_json``. ``\G`` chains every match to the end
-of the one before, which keeps the text inside quotes untouched; possessive
-groups keep the Java matcher iterative on cells of megabytes.
+A plain Python list literal (no escapes, no control characters, keywords after a
+comma, colon or bracket) is rewritten to JSON text with a few replacements in the
+JVM. Every other cell goes to Python's own parser, in Arrow batches that hold
+nothing for plain cells. Objects with equal keys keep the last value, which needs
+the session setting of :func:`allow_equal_keys`.
 """
 
 from __future__ import annotations
 
+import ast
+import json
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from visitflow.functions.binding import let
 from visitflow.functions.text import trim_ws
-
-QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
-# A list whose parts outside quotes are only brackets, numbers and keywords.
-LIST_SHAPE = r"^\s*\[(?:[ \t\n\x0B\f\r\[\]{}:,q+.0123456789eE-]++|True|False|None)*+$"
-LIST_END = r"\]\s*$"
-# Brackets or texts side by side without a comma are no list.
-SIDE_BY_SIDE = r"[\]}q]\s*[\[{]"
-TRAILING_COMMA = r",\s*[\]}]"
+from visitflow.session import reach_package
+
+QUOTED = r"""'[^']*+'|"[^"]*+\""""
+# What only Python's parser may read: escapes and control characters.
+NOT_PLAIN = r"[\\\x00-\x1f]"
+# A list whose parts outside quotes (each written q) are brackets, numbers that JSON
+# writes the same way, and keywords.
+LIST_SHAPE = (
+    r"^ *\[(?:[ \[\]{}:,q]++|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.])"
+    r"|True|False|None)*+(?<=\]) *$"
+)
+# Texts or brackets side by side, a trailing comma, a key that is no text, a set.
+UNLIKE_JSON = r"[\]}q] *[\[{q]|, *[\]}]|[0-9e\]}] *:|\{ *[^ {}\[\]:,]++ *[,}]"
 KEYWORDS = {"True": "true", "False": "false", "None": "null"}
+BEFORE_KEYWORD = [": ", ", ", "["]
+# Marks of cells that Python's parser gives no list for; JSON text of a list begins with a bracket.
+NO_LIST, MALFORMED = "!no_list", "!malformed"
+
 
+def allow_equal_keys(spark: SparkSession) -> None:
+    """Let VARIANT keep the last of equal keys, as JSON and literals do in Python."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def empty_list() -> Column:
     return F.array().cast("array<variant>")
 
 
-def _keyword_pattern(word: str) -> str:
-    first, rest = word[0], word[1:]
-    return rf"""(?s)\G((?:[^'"{first}]++|{QUOTED}|{first}(?!{rest}\b))*+){word}\b"""
+def is_blank(c: Column) -> Column:
+    return c.isNull() | (trim_ws(c) == "")
 
 
-def _replace_if(condition: Column, text: Column, pattern: str, replacement: str) -> Column:
-    return let(
-        text, lambda t: F.when(condition, F.regexp_replace(t, pattern, replacement)).otherwise(t)
-    )
+def literal_outline(c: Column) -> Column:
+    """The cell with a ``q`` for each quoted text."""
+    return F.regexp_replace(c, f"(?s){QUOTED}", "q")
 
 
-def _swap_word(cell: Column, outline: Column, text: Column, word: str) -> Column:
-    """Write a Python keyword as its JSON word, outside quotes only.
+def _times(text: Column, word: str) -> Column:
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+    return removed / len(word)
 
-    When quotes hold no such word, shown by equal counts with and without the
-    quoted parts, a plain replace is enough and several times faster.
-    """
 
-    def removed(t: Column) -> Column:
-        return F.octet_length(t) - F.octet_length(F.replace(t, F.lit(word), F.lit("")))
+def plain_literal_json(c: Column, outline: Column) -> Column:
+    """JSON text of a plain list literal, given its outline; null for any other cell.
 
-    def swap(t: Column) -> Column:
-        json_word = KEYWORDS[word]
-        return (
-            F.when(~F.contains(outline, F.lit(word)), t)
-            .when(removed(cell) == removed(outline), F.replace(t, F.lit(word), F.lit(json_word)))
-            .otherwise(F.regexp_replace(t, _keyword_pattern(word), f"$1{json_word}"))
-        )
-
-    return let(text, swap)
+    A keyword is replaced where it follows a comma, a colon or a bracket. Equal
+    counts in the cell and its outline show that none of these is inside quotes.
+    """
+    text, plain = c, ~c.rlike(NOT_PLAIN) & outline.rlike(LIST_SHAPE) & ~outline.rlike(UNLIKE_JSON)
+    for word, json_word in KEYWORDS.items():
+        places = [before + word for before in BEFORE_KEYWORD]
+        inside = reduce(or_, [_times(c, p) != _times(outline, p) for p in places])
+        outside = sum((_times(outline, p) for p in places), F.lit(0.0))
+        has = F.contains(outline, F.lit(word))
+        plain = plain & (~has | (~inside & (outside == _times(outline, word))))
+        swapped = text
+        for before in BEFORE_KEYWORD:
+            swapped = F.replace(swapped, F.lit(before + word), F.lit(before + json_word))
+        text = F.when(has, swapped).otherwise(text)
+    return F.when(plain, text)
+
+
+def _as_json(value: object) -> object:
+    """What JSON can hold of a literal; anything but a list, a dict or a scalar is its text."""
+    if isinstance(value, dict):
+        return {k if isinstance(k, str) else str(k): _as_json(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_as_json(v) for v in value]
+    finite = not isinstance(value, float) or value - value == 0
+    return value if value is None or (isinstance(value, (str, int, float)) and finite) else str(value)
+
+
+def _python_list(cell: str | None) -> str | None:
+    if cell is None:
+        return None
+    try:
+        value = ast.literal_eval(cell)
+        return json.dumps(_as_json(value)) if isinstance(value, list) else NO_LIST
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return MALFORMED
+
+
+@F.pandas_udf(StringType())
+def _python_lists(cells: pd.Series) -> pd.Series:
+    return cells.map(_python_list)
+
+
+def python_literal_json(c: Column) -> Column:
+    """JSON text of a list literal by Python's parser, or a mark; null stays null."""
+    reach_package()
+    return _python_lists(c)
 
 
 def literal_to_json(c: Column) -> Column:
-    """JSON text of a Python list literal; null when the cell is no such list."""
-    comma = rf"""(?s)\G((?:[^'",]++|{QUOTED}|,(?!\s*[\]}}]))*+),(?=\s*[\]}}])"""
-    # \xNN is the one escape of a Python literal that JSON lacks.
-    escape = r"(?s)\G((?:[^\\]++|\\[^x])*+)\\x([0-9a-fA-F]{2})"
+    """JSON text of a Python list literal; null when the cell is no such list.
 
-    def rewrite(outline: Column) -> Column:
-        text = c
-        for word in KEYWORDS:
-            text = _swap_word(c, outline, text, word)
-        text = _replace_if(outline.rlike(TRAILING_COMMA), text, comma, "$1")
-        text = _replace_if(F.contains(c, F.lit("\\x")), text, escape, r"$1\\u00$2")
-        is_list = outline.rlike(LIST_SHAPE) & outline.rlike(LIST_END) & ~outline.rlike(SIDE_BY_SIDE)
-        return F.when(is_list, text)
-
-    return let(F.regexp_replace(c, f"(?s){QUOTED}", "q"), rewrite)
+    For a table, :func:`visitflow.operators.literals.parse_literals` does the same
+    in steps and looks at each cell once.
+    """
+    plain = plain_literal_json(c, literal_outline(c))
+    other = python_literal_json(F.when(plain.isNull() & ~is_blank(c), c))
+    return F.coalesce(plain, F.when(~other.startswith("!"), other))
 
 
 def parse_literal(c: Column) -> Column:
@@ -86,14 +131,29 @@ def parse_literal(c: Column) -> Column:
     return F.from_json(literal_to_json(c), "variant")
 
 
+def list_or_empty(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), empty_list())
+
+
 def parse_literal_list(c: Column) -> Column:
     """``array<variant>`` of a Python list literal; anything else gives an empty array."""
-    return F.coalesce(F.try_variant_get(parse_literal(c), "$", "array<variant>"), empty_list())
+    return list_or_empty(parse_literal(c))
 
 
 def parse_json_object(c: Column) -> Column:
-    """VARIANT of a JSON object; null for blank, malformed or other JSON."""
-    return F.when(c.rlike(r"^[ \t\n\r]*\{"), F.try_parse_json(c))
+    """VARIANT of a JSON object; null for blank, malformed or other JSON.
+
+    Spark's parser ignores what follows a value. Inside a list of one entry, and
+    inside an object where a bracket could close that list, nothing can follow.
+    """
+    one = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>"
+    )
+    whole = ~F.contains(c, F.lit("]")) | F.try_parse_json(
+        F.concat(F.lit('{"v":'), c, F.lit("}"))
+    ).isNotNull()
+    shaped = c.rlike(r"^[ \t\n\r]*\{") & c.rlike(r"\}[ \t\n\r]*$")
+    return F.when(shaped & whole, let(one, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))))
 
 
 def variant_type(v: Column) -> Column:
@@ -162,8 +222,11 @@ def is_truthy(text: Column, v: Column) -> Column:
 
 def custom_dimension_value(c: Column, separator: str = ", ") -> Column:
     """The ``value`` entries of a list of dimension dicts, joined."""
-    values = F.transform(
-        parse_literal_list(c), lambda d: F.try_variant_get(d, "$.value", "variant")
-    )
+    return dimension_values(parse_literal_list(c), separator)
+
+
+def dimension_values(dimensions: Column, separator: str = ", ") -> Column:
+    """The ``value`` entries of parsed dimension dicts, joined."""
+    values = F.transform(dimensions, lambda d: F.try_variant_get(d, "$.value", "variant"))
     present = F.filter(values, lambda v: v.isNotNull())
     return F.array_join(F.transform(present, lambda v: trim_ws(python_text(v))), separator)

@@ -24,13 +24,15 @@ from visitflow.functions.hits import (
     revenue_with_fallback,
 )
 from visitflow.functions.literals import (
-    custom_dimension_value,
+    allow_equal_keys,
+    dimension_values,
+    list_or_empty,
     parse_json_object,
-    parse_literal,
     text_of_type,
     variant_text,
     variant_type,
 )
+from visitflow.operators.literals import parse_literals
 
 # Columns taken over as they are, and columns that hold JSON objects.
 PASS_THROUGH = [
@@ -51,7 +53,6 @@ class Leaf:
 
     source: str
     path: tuple[str, ...]
-    mixed: bool = False  # not always a plain text
 
     @property
     def column(self) -> str:
@@ -62,7 +63,7 @@ class Leaf:
 
     @staticmethod
     def from_dict(values: dict) -> Leaf:
-        return Leaf(values["source"], tuple(values["path"]), values["mixed"])
+        return Leaf(values["source"], tuple(values["path"]))
 
 
 def _json_path(path: tuple[str, ...]) -> str:
@@ -84,7 +85,7 @@ def _as_data_type(variant_schema: str) -> T.DataType:
 def _leaves_of(dtype: T.DataType, source: str, path: tuple[str, ...]) -> list[Leaf]:
     if isinstance(dtype, T.StructType):
         return [leaf for f in dtype.fields for leaf in _leaves_of(f.dataType, source, (*path, f.name))]
-    return [Leaf(source, path, not isinstance(dtype, T.StringType))]
+    return [Leaf(source, path)]
 
 
 def _objects_at(v: Column, path: tuple[str, ...]) -> Column:
@@ -98,6 +99,7 @@ def discover_leaves(df: DataFrame, columns: list[str] | None = None) -> list[Lea
     A key that is an object in some rows and a scalar in others gives both its
     own column and the columns of the object; it takes one more pass.
     """
+    allow_equal_keys(df.sparkSession)
     sources = [c for c in (columns or JSON_COLUMNS) if c in df.columns]
     parsed = df.select(*[parse_json_object(F.col(c)).alias(c) for c in sources])
     leaves: dict[tuple, Leaf] = {}
@@ -140,26 +142,24 @@ def _checked(leaves: list[Leaf]) -> list[Leaf]:
 
 
 def leaf_text(v: Column, leaf: Leaf) -> Column:
-    """Text of one leaf; absent, null, empty list and object give the empty text."""
-    path = _json_path(leaf.path)
-    if not leaf.mixed:
-        text = F.try_variant_get(v, path, "string")
-        # Later data may hold booleans here: only texts that look so are checked.
-        at = F.try_variant_get(v, path, "variant")
-        boolean = text.isin("true", "false") & (variant_type(at) == "BOOLEAN")
-        return F.coalesce(F.when(boolean, F.initcap(text)).otherwise(text), F.lit(""))
-    at = F.try_variant_get(v, path, "variant")
+    """Text of one leaf; absent, null, empty list and object give the empty text.
+
+    The type is looked up in each row: later data may hold another one here.
+    """
+    at = F.try_variant_get(v, _json_path(leaf.path), "variant")
 
     def text_or_empty(kind: Column) -> Column:
         empty_list = (kind == "ARRAY<VOID>") & (variant_text(at) == "[]")
         empty = kind.isNull() | kind.startswith("OBJECT") | (kind == "VOID") | empty_list
-        return F.when(empty, F.lit("")).otherwise(text_of_type(at, kind))
+        text = F.when(empty, F.lit("")).otherwise(text_of_type(at, kind))
+        return F.when(kind == "STRING", variant_text(at)).otherwise(text)
 
     return let(variant_type(at), text_or_empty)
 
 
 def flatten_json(df: DataFrame, leaves: list[Leaf]) -> DataFrame:
     """Replace the JSON cells by one text column per leaf."""
+    allow_equal_keys(df.sparkSession)
     sources = sorted({leaf.source for leaf in leaves})
     kept = [F.col(f"`{c}`") for c in df.columns if c not in sources]
     parsed = df.select(*kept, *[parse_json_object(F.col(c)).alias(f"_{c}") for c in sources])
@@ -175,7 +175,13 @@ def add_hit_metrics(
 
     ``totals`` is the parsed totals object for the revenue fallback.
     """
-    parsed = df.withColumn("_cell", parse_literal(F.col("hits")))
+    return _hit_metrics(parse_literals(df, {"hits": "_cell"}), totals, revenue_keys)
+
+
+def _hit_metrics(
+    parsed: DataFrame, totals: Column | None = None, revenue_keys: list[str] | None = None
+) -> DataFrame:
+    """Metrics of the parsed cell in ``_cell``, which goes."""
     fields = parsed.withColumn("_fields", hit_fields(F.col("_cell")))
     listed = fields.withColumn("_products", products_of(F.col("_fields")))
     parts = listed.withColumns(
@@ -222,12 +228,13 @@ def flatten_sessions(df: DataFrame, leaves: list[Leaf], width: int | None = None
     parsed = df.select(
         *kept,
         F.col("hits"),
-        custom_dimension_value(F.col("customDimensions")).alias("customDimensions"),
+        F.col("customDimensions"),
         *[parse_json_object(F.col(c)).alias(f"_{c}") for c in sources],
     )
-    flat = add_hit_metrics(parsed, totals=F.col("_totals")).select(
+    parsed = parse_literals(parsed, {"hits": "_cell", "customDimensions": "_dimensions"})
+    flat = _hit_metrics(parsed, totals=F.col("_totals")).select(
         *kept,
-        "customDimensions",
+        dimension_values(list_or_empty(F.col("_dimensions"))).alias("customDimensions"),
         *[leaf_text(F.col(f"_{leaf.source}"), leaf).alias(leaf.column) for leaf in leaves],
         "total_product_viewed",
         "average_price_product_viewed",
