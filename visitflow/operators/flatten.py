@@ -209,6 +209,14 @@ def category_width(df: DataFrame) -> int:
     return df.agg(F.max("total_category_viewed")).first()[0] or 0
 
 
+def categories_past(df: DataFrame, width: int) -> DataFrame:
+    """``(sessions, categories)`` that a spread over ``width`` columns leaves out."""
+    past = F.greatest(F.col("total_category_viewed") - width, F.lit(0))
+    return df.agg(
+        F.count_if(past > 0).alias("sessions"), F.coalesce(F.sum(past), F.lit(0)).alias("categories")
+    )
+
+
 def spread_categories(df: DataFrame, width: int, keep_array: bool = False) -> DataFrame:
     """``categories_viewed_0..width-1``, empty text past the end of the list."""
     names = F.col("categories_viewed")

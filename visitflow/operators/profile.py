@@ -85,6 +85,30 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+def single_valued_columns(df: DataFrame) -> list[str]:
+    """Columns with at most one value, null being one: the same as the profile finds.
+
+    One aggregate of minima, maxima and null counts; no value is shuffled. NaN
+    is a value like any other, and 0.0 and -0.0 are the same.
+    """
+    names = sorted(df.columns)
+    found = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[
+            F.struct(
+                F.count(F.col(f"`{c}`")).alias("non_null"),
+                F.coalesce(F.min(F.col(f"`{c}`")) == F.max(F.col(f"`{c}`")), F.lit(True)).alias("one"),
+            ).alias(f"c{i}")
+            for i, c in enumerate(names)
+        ],
+    ).first()
+    return [
+        c
+        for i, c in enumerate(names)
+        if found[f"c{i}"]["one"] and found[f"c{i}"]["non_null"] in (0, found["n"])
+    ]
+
+
 def low_variance_columns(profile: DataFrame) -> list[str]:
     rows = profile.filter("low_variance").select("column").collect()
     return sorted(r["column"] for r in rows)

@@ -229,9 +229,20 @@ def first_rows(
     return split_rows(df, _keys(df, key, then_by), n, df.count(), sorted_rows=sorted_rows)[0]
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, sorted_rows: int = SORTED_ROWS) -> DataFrame:
-    """Exactly ``n`` rows picked by a seeded hash; the whole table when it has no more."""
-    return split_rows(df, [], n, df.count(), seed, sorted_rows)[0]
+def sample_rows(
+    df: DataFrame, n: int, seed: int = 42, sorted_rows: int = SORTED_ROWS, keys: list[str] | None = None
+) -> DataFrame:
+    """Exactly ``n`` rows picked by a seeded hash; the whole table when it has no more.
+
+    With ``keys`` the rows go by the first 60 bits of the MD5 of the seed and the
+    keys' texts, joined by slashes (null: empty), which other engines can compute too.
+    """
+    order = []
+    if keys is not None:
+        texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in keys]
+        digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *texts).cast("binary"))
+        order = [F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")]
+    return split_rows(df, order, n, df.count(), seed, sorted_rows)[0]
 
 
 def _keys(df: DataFrame, key: str, then_by: str) -> list[Column]:

@@ -23,7 +23,7 @@ from visitflow.operators.flatten import (
 )
 from visitflow.operators.order_stats import SORTED_ROWS
 from visitflow.operators.policy import DEFAULT_POLICY, fit_caps, model_input
-from visitflow.operators.profile import low_variance_columns, profile_columns
+from visitflow.operators.profile import single_valued_columns
 from visitflow.operators.vocab import categorical_columns, fit_vocabulary
 from visitflow.session import materialize
 from visitflow.sources.params import load_version, save_version
@@ -51,7 +51,11 @@ class FittedPipeline:
         return clean_sessions(raw, self.leaves, self.category_width, self.dropped)
 
     def transform(self, raw: DataFrame) -> DataFrame:
-        """Model input of raw sessions: one chain without a shuffle, also on a stream."""
+        """Model input of raw sessions: one chain without a shuffle, also on a stream.
+
+        The number of category columns was fixed by the training sessions; a session
+        with more keeps its first ones in text order. ``categories_past`` counts the others.
+        """
         return model_input(self.clean(raw), self.policy, self.dictionary)
 
     def to_dict(self) -> dict:
@@ -111,7 +115,7 @@ def _fit(
     wide = spread_categories(flat, width)
     dropped = SINGLE_VALUED_COLUMNS
     if drop_low_variance:
-        dropped = low_variance_columns(profile_columns(wide))
+        dropped = single_valued_columns(wide)
     dropped = [c for c in dropped if c in wide.columns and c not in (*ID_COLUMNS, LABEL)]
     cleaned = cast_ids(cast_totals(drop_columns(wide, dropped)))
     fitted = FittedPipeline(

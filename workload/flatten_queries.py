@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from visitflow.functions.literals import (
     custom_dimension_value,
+    dimension_values,
+    list_or_empty,
     parse_json_object,
-    parse_literal_list,
 )
 from visitflow.functions.numbers import float_or_zero, text_to_double, text_to_long
 from visitflow.functions.sentinels import is_none, is_other, is_reserved, is_unknown
 from visitflow.functions.text import last_leaf
 from visitflow.operators.clean import cast_ids, cast_totals, drop_columns
 from visitflow.operators.flatten import (
+    Leaf,
     add_hit_metrics,
     category_width,
     discover_leaves,
@@ -22,7 +24,8 @@ from visitflow.operators.flatten import (
     flatten_sessions,
     spread_categories,
 )
-from visitflow.operators.profile import low_variance_columns, profile_columns
+from visitflow.operators.literals import parse_literals, unparsed_cells
+from visitflow.operators.profile import single_valued_columns
 from visitflow.session import materialize
 from visitflow.sources.tables import spread_rows
 from workload.registry import query
@@ -105,8 +108,9 @@ def revenue_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def literal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python literal cells parsed to VARIANT and read field by field."""
-    hits = line_sessions(spark, sf_dir).select(
-        "l_orderkey", "l_partkey", "l_linenumber", F.explode(parse_literal_list(F.col("hits"))).alias("h")
+    cells = parse_literals(line_sessions(spark, sf_dir), {"hits": "_cell"})
+    hits = cells.select(
+        "l_orderkey", "l_partkey", "l_linenumber", F.explode(list_or_empty(F.col("_cell"))).alias("h")
     )
     return hits.select(
         "l_orderkey",
@@ -255,7 +259,7 @@ def scalar_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     select event_id, value, event_type from events
 """)
 def drop_low_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns with one value found by a profile and dropped."""
+    """Columns with one value found in the data and dropped."""
     wide = table(spark, sf_dir, "events").select(
         "event_id",
         "value",
@@ -264,7 +268,7 @@ def drop_low_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("double").alias("nothing"),
         F.lit(1).alias("visits"),
     )
-    return drop_columns(wide, low_variance_columns(profile_columns(wide)))
+    return drop_columns(wide, single_valued_columns(wide))
 
 
 @query("""
@@ -343,30 +347,41 @@ FLAT = """
            cast(len(c) as bigint) as total_category_viewed,
            coalesce(c[1], '') as categories_viewed_0,
            coalesce(c[2], '') as categories_viewed_1,
+           coalesce(c[3], '') as categories_viewed_2,
            case event_type when 'purchase' then cents * n / 100
                            when 'signup' then cents * 2 / 100 else 0.0 end as total_revenue
-    from (select *, case when n = 1 then ['unknown'] else list_sort([event_type, 'unknown']) end as c
+    from (select *, case n when 1 then ['unknown'] when 2 then list_sort([event_type, 'unknown'])
+                             else list_sort(['Third', event_type, 'unknown']) end as c
           from (select *, 1 + event_id % 3 as n, cast(round(value * 100) as bigint) as cents
                 from events))
 """
 
 
-@query(f"""
+ROUNDED = """
     select * replace (round(average_price_product_viewed, 4) as average_price_product_viewed,
                       round(total_revenue, 4) as total_revenue)
-    from ({FLAT})
-""")
-def session_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw sessions to flat rows: JSON leaves, custom dimensions, hit metrics."""
-    raw = event_sessions(spark, sf_dir)
-    flat = flatten_sessions(raw, discover_leaves(raw), width=2)
+"""
+
+
+def _rounded(flat: DataFrame) -> DataFrame:
     return flat.withColumns(
-        {
-            c: F.round(c, 4) for c in ("average_price_product_viewed", "total_revenue")
-        }
+        {c: F.round(c, 4) for c in ("average_price_product_viewed", "total_revenue")}
     )
 
 
+def _spread_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat sessions, written once, with as many category columns as any session needs."""
+    raw = event_sessions(spark, sf_dir)
+    flat = materialize(flatten_sessions(raw, discover_leaves(raw)), "flat-sessions")
+    return spread_categories(flat, category_width(flat))
+
+
+@query(f"{ROUNDED} from ({FLAT})")
+def session_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sessions to flat rows: JSON leaves, custom dimensions, hit metrics."""
+    return _rounded(_spread_sessions(spark, sf_dir))
+
+
 CLEAN = f"""
     select * exclude (device_browserSize)
            replace (cast(totals_visits as bigint) as totals_visits,
@@ -378,21 +393,67 @@ CLEAN = f"""
 """
 
 
-@query(f"""
-    select visitId, fullVisitorId, totals_visits, totals_hits, totals_pageviews,
-           totals_transactionRevenue, totals_totalTransactionRevenue
-    from ({CLEAN})
-""")
+@query(f"{ROUNDED} from ({CLEAN})")
 def clean_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat sessions with drops and casts; only the read columns are computed."""
-    raw = event_sessions(spark, sf_dir)
-    flat = flatten_sessions(raw, discover_leaves(raw), width=2)
-    return cast_ids(cast_totals(drop_columns(flat))).select(
-        "visitId",
-        "fullVisitorId",
-        "totals_visits",
-        "totals_hits",
-        "totals_pageviews",
-        "totals_transactionRevenue",
-        "totals_totalTransactionRevenue",
+    """Flat sessions with the listed columns dropped and totals and identifiers cast."""
+    return _rounded(cast_ids(cast_totals(drop_columns(_spread_sessions(spark, sf_dir)))))
+
+
+# A literal cell in every form, what Python reads in it, and a JSON cell with what becomes of it.
+DIRTY = [
+    (r"[{'value': 'a\x41\v\101\U0001F600'}]", "aA\x0bA\U0001F600", '{"a":1,"a":2}', "2"),
+    (r"[{'value': u'p', 'value': 'last'}]", "last", '{"a":"x"} junk', ""),
+    ("[{'value': ('t', 1)}]", "('t', 1)", '{"a":"x"}{"a":"y"}', ""),
+    ("[{'value': 'one' 'two'}]", "onetwo", '{"a":"x"},{"a":"y"}', ""),
+    ("[{'value': 1_000}, {1: 2, 'value': 0x10}]", "1000, 16", '{"a":{"k":"v"}}', ""),
+    (r"[{'value': 'it\'s'}, {'value': r'\d'}]", "it's, \\d", '{"a":[]}', ""),
+    ("[{'value': True}, {'value': None}, {'value': 2.50}]", "True, None, 2.5", '{"a":1.0}', "1.0"),
+    ("[{'value': 'x: True, y'}]", "x: True, y", '{"a":["b",null]}', "['b', None]"),
+    ("[{'value': 'lost'}] junk", "", '{"a":"b]"}', "b]"),
+    ("({'value': 'no list'},)", "", '{"a":"x"}], [{"a":"y"}', ""),
+    ("[{'value': 'cut", "", "[1]", ""),
+    (" ", "", "", ""),
+]
+
+
+def dirty_cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a literal and a JSON cell each, in all forms in turn."""
+    form = F.pmod("event_id", F.lit(len(DIRTY))).cast("int")
+    literals, objects = (F.array(*[F.lit(row[k]) for row in DIRTY]) for k in (0, 2))
+    events = spread_rows(table(spark, sf_dir, "events").select("event_id"))
+    return events.select(
+        "event_id", F.get(literals, form).alias("dimensions"), F.get(objects, form).alias("props")
     )
+
+
+def _sql_text(text: str) -> str:
+    quoted = text.replace("'", "''")
+    return "'" + "' || chr(11) || '".join(quoted.split("\x0b")) + "'"
+
+
+def _dirty_sql(column: int) -> str:
+    cases = " ".join(f"when {k} then {_sql_text(row[column])}" for k, row in enumerate(DIRTY))
+    return f"case event_id % {len(DIRTY)} {cases} end"
+
+
+@query(f"select event_id, {_dirty_sql(1)} as dimensions, {_dirty_sql(3)} as props_a from events")
+def dirty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legal but unusual cells are read as Python reads them; the others are empty."""
+    cells = parse_literals(dirty_cells_of(spark, sf_dir), {"dimensions": "_dimensions"})
+    read = cells.withColumn("dimensions", dimension_values(list_or_empty(F.col("_dimensions")))).drop("_dimensions")
+    return flatten_json(read, [Leaf("props", ("a",))])
+
+
+@query(f"""
+    select "column", reason, count(*) as cells
+    from (select unnest(case event_id % {len(DIRTY)}
+              when 1 then ['props malformed'] when 2 then ['props malformed'] when 3 then ['props no_object']
+              when 8 then ['dimensions malformed']
+              when 9 then ['dimensions no_list', 'props no_object']
+              when 10 then ['dimensions malformed', 'props no_object'] end) as r from events),
+         lateral (select split_part(r, ' ', 1) as "column", split_part(r, ' ', 2) as reason)
+    group by all
+""")
+def unparsed_cells_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that give nothing, by column and reason."""
+    return unparsed_cells(dirty_cells_of(spark, sf_dir), ["props"], ["dimensions"])

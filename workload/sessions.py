@@ -42,7 +42,11 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = cents * 10000
 
     def hit(i: Column) -> Column:
-        category = F.when(F.pmod(i, F.lit(2)) == 0, _text("Home/Shop/", kind, "/")).otherwise("(not set)")
+        category = (
+            F.when(i == 2, _text("Home/Shop/", kind, "/"))
+            .when(i == 3, "Home/Third/")
+            .otherwise("(not set)")
+        )
         action = F.when((kind == "purchase") & (i == n_hits), F.lit("6")).otherwise(F.lit("0"))
         return _text(
             "{'hitNumber': '", i, "', 'isEntrance': True, 'item': None, ",
