@@ -1,44 +1,56 @@
 r"""Cells that hold JSON objects or Python literals, read as VARIANT.
 
 A plain Python list literal (no escapes, no control characters, keywords after a
-comma, colon or bracket) is rewritten to JSON text with a few replacements in the
-JVM. Every other cell goes to Python's own parser, in Arrow batches that hold
-nothing for plain cells. Objects with equal keys keep the last value, which needs
-the session setting of :func:`allow_equal_keys`.
+comma, colon or bracket) becomes JSON text by a few replacements. Any other cell is
+cut into tokens, each token becomes its JSON, and the tokens are put together again;
+that costs more and is done for such cells only. Objects with equal keys keep the last
+value, which needs the session setting of :func:`allow_equal_keys`.
 """
 
 from __future__ import annotations
 
-import ast
-import json
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from visitflow.functions.binding import let
 from visitflow.functions.text import trim_ws
-from visitflow.session import reach_package
 
 QUOTED = r"""'[^']*+'|"[^"]*+\""""
-# What only Python's parser may read: escapes and control characters.
+# What a plain cell has none of: escapes and control characters.
 NOT_PLAIN = r"[\\\x00-\x1f]"
-# A list whose parts outside quotes (each written q) are brackets, numbers that JSON
-# writes the same way, and keywords.
-LIST_SHAPE = (
-    r"^ *\[(?:[ \[\]{}:,q]++|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.])"
-    r"|True|False|None)*+(?<=\]) *$"
-)
-# Texts or brackets side by side, a trailing comma, a key that is no text, a set.
-UNLIKE_JSON = r"[\]}q] *[\[{q]|, *[\]}]|[0-9e\]}] *:|\{ *[^ {}\[\]:,]++ *[,}]"
+NESTING = 6
+
+
+def _plain_value(depth: int) -> str:
+    """Pattern of a value whose quoted texts are written q, and whose numbers JSON writes the same way."""
+    scalar = r"q|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.])|(?:True|False|None)(?!\w)"
+    if not depth:
+        return rf"(?:{scalar})"
+    inner = _plain_value(depth - 1)
+    listed = rf"\[ *+(?:{inner} *+(?:, *+(?=[^\],])|(?=\])))*+\]"
+    keyed = rf"\{{ *+(?:q *+: *+{inner} *+(?:, *+(?=q)|(?=\}})))*+\}}"
+    return rf"(?:{scalar}|{listed}|{keyed})"
+
+
+# A whole list literal; one that is nested deeper is read token by token.
+PLAIN_LIST = rf"^ *+(?=\[){_plain_value(NESTING)} *+$"
 KEYWORDS = {"True": "true", "False": "false", "None": "null"}
 BEFORE_KEYWORD = [": ", ", ", "["]
-# Marks of cells that Python's parser gives no list for; JSON text of a list begins with a bracket.
-NO_LIST, MALFORMED = "!no_list", "!malformed"
+
+# Tokens of a literal. A tuple without brackets inside is one token.
+TEXT = r"""(?:'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+")"""
+NUMBER = r"(?:0[xX][0-9a-fA-F_]++|0[oO][0-7_]++|0[bB][01_]++|(?:[0-9][0-9_]*+\.?[0-9_]*+|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9]++)?)"
+TUPLE = rf"\((?:[^()\[\]{{}}'\"]++|{TEXT})*+\)"
+TOKEN = rf"(?s)[rRuU]?{TEXT}|{TUPLE}|{NUMBER}(?![\w.])|(?:True|False|None)(?!\w)|[\[\]{{}},:+-]|[ \t\f\r\n]++|."
+# Parts of a text token: an escape, or what lies between escapes.
+TEXT_PART = r"(?s)\\(?:\r?\n|[0-7]{1,3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.)|[^\\]++"
+SIMPLE_ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+# Marks around JSON texts and numbers, for a comma and for what is no token; JSON escapes them inside texts.
+OPEN_TEXT, CLOSE_TEXT, COMMA, OPEN_NUMBER, CLOSE_NUMBER, NO_TOKEN = "\x01\x02\x03\x04\x05\x06"
 
 
 def allow_equal_keys(spark: SparkSession) -> None:
@@ -70,7 +82,7 @@ def plain_literal_json(c: Column, outline: Column) -> Column:
     A keyword is replaced where it follows a comma, a colon or a bracket. Equal
     counts in the cell and its outline show that none of these is inside quotes.
     """
-    text, plain = c, ~c.rlike(NOT_PLAIN) & outline.rlike(LIST_SHAPE) & ~outline.rlike(UNLIKE_JSON)
+    text, plain = c, ~c.rlike(NOT_PLAIN) & outline.rlike(PLAIN_LIST)
     for word, json_word in KEYWORDS.items():
         places = [before + word for before in BEFORE_KEYWORD]
         inside = reduce(or_, [_times(c, p) != _times(outline, p) for p in places])
@@ -84,46 +96,122 @@ def plain_literal_json(c: Column, outline: Column) -> Column:
     return F.when(plain, text)
 
 
-def _as_json(value: object) -> object:
-    """What JSON can hold of a literal; anything but a list, a dict or a scalar is its text."""
-    if isinstance(value, dict):
-        return {k if isinstance(k, str) else str(k): _as_json(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_as_json(v) for v in value]
-    finite = not isinstance(value, float) or value - value == 0
-    return value if value is None or (isinstance(value, (str, int, float)) and finite) else str(value)
+def _code_point(hexadecimal: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
 
 
-def _python_list(cell: str | None) -> str | None:
-    if cell is None:
-        return None
-    try:
-        value = ast.literal_eval(cell)
-        return json.dumps(_as_json(value)) if isinstance(value, list) else NO_LIST
-    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-        return MALFORMED
+def _unescaped(part: Column) -> Column:
+    """What one part of a text token stands for; an unknown escape stands for itself."""
+    code = F.substring(part, 2, 1)
+    simple = F.create_map(*[F.lit(x) for pair in SIMPLE_ESCAPES.items() for x in pair])
+    return (
+        F.when(~part.startswith("\\"), part)
+        .when(code.rlike("[0-7]"), _code_point(F.conv(F.substring(part, 2, 3), 8, 16)))
+        .when(code.isin("x", "u", "U") & (F.length(part) > 2), _code_point(F.substring(part, 3, 8)))
+        .when(code.isin("\r", "\n"), F.lit(""))
+        .when(code.isin("\\", "'", '"'), code)
+        .otherwise(F.coalesce(F.try_element_at(simple, code), part))
+    )
 
 
-@F.pandas_udf(StringType())
-def _python_lists(cells: pd.Series) -> pd.Series:
-    return cells.map(_python_list)
+def _json_text(value: Column) -> Column:
+    """The value as a JSON text, quotes included."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
-def python_literal_json(c: Column) -> Column:
-    """JSON text of a list literal by Python's parser, or a mark; null stays null."""
-    reach_package()
-    return _python_lists(c)
+def _text_json(token: Column) -> Column:
+    body = F.regexp_extract(token, r"(?s)^[rRuU]?.(.*).$", 1)
+    parts = F.regexp_extract_all(body, F.lit(TEXT_PART), F.lit(0))
+    value = F.when(token.rlike("^[rR]"), body).otherwise(
+        F.array_join(F.transform(parts, _unescaped), "")
+    )
+    # A cut escape is an error in Python; a named character would need the table of names.
+    unreadable = ~token.rlike("^[rR]") & F.arrays_overlap(parts, F.array(*[F.lit(f"\\{c}") for c in "xuUN"]))
+    marked = F.concat(F.lit(OPEN_TEXT), _json_text(value), F.lit(CLOSE_TEXT))
+    return F.when(unreadable, F.lit(NO_TOKEN)).otherwise(marked)
+
+
+def _number_json(token: Column) -> Column:
+    digits = F.replace(token, F.lit("_"), F.lit(""))
+    base = F.substring(digits, 2, 1)
+    number = (
+        F.when(base.isin("x", "X"), F.conv(F.substring(digits, 3, 64), 16, 10))
+        .when(base.isin("o", "O"), F.conv(F.substring(digits, 3, 64), 8, 10))
+        .when(base.isin("b", "B"), F.conv(F.substring(digits, 3, 64), 2, 10))
+        .otherwise(F.regexp_replace(F.regexp_replace(digits, r"^\.", "0."), r"\.(?![0-9])", ".0"))
+    )
+    wrong = token.rlike(r"^0[0-9_]*[1-9][0-9_]*$|__|_$|_[.eE]|[.]_")
+    number = F.regexp_replace(number, "^0+(?=[0-9])", "")
+    marked = F.concat(F.lit(OPEN_NUMBER), number, F.lit(CLOSE_NUMBER))
+    return F.when(wrong, F.lit(NO_TOKEN)).otherwise(marked)
 
 
-def literal_to_json(c: Column) -> Column:
-    """JSON text of a Python list literal; null when the cell is no such list.
+def _token_json(token: Column) -> Column:
+    words = F.create_map(*[F.lit(x) for k, v in KEYWORDS.items() for x in (k, OPEN_NUMBER + v + CLOSE_NUMBER)])
+    is_tuple = token.rlike(r"^\(") & literal_outline(token).contains(",")
+    return (
+        F.when(token.isin(*"[]{}:-"), token)
+        .when(token == ",", F.lit(COMMA))
+        .when(token.rlike(r"^[ \t\f\r\n+]"), F.lit(""))
+        .when(token.rlike(r"(?s)^[rRuU]?['\"]."), _text_json(token))
+        .when(token.rlike(r"^\.?[0-9]"), _number_json(token))
+        .when(is_tuple, _json_text(token))
+        .otherwise(F.coalesce(F.try_element_at(words, token), F.lit(NO_TOKEN)))
+    )
+
 
-    For a table, :func:`visitflow.operators.literals.parse_literals` does the same
-    in steps and looks at each cell once.
+def _closes_once(tokens: Column) -> Column:
+    """Whether the first bracket is closed by the last token and not before."""
+    step = F.aggregate(
+        tokens,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed")),
+        lambda acc, t: F.struct(
+            (acc["depth"] + F.when(t.isin("[", "{"), 1).when(t.isin("]", "}"), -1).otherwise(0)).alias("depth"),
+            # Tokens seen after a depth of 0 was reached by closing.
+            (
+                acc["closed"]
+                + F.when((acc["depth"] == 1) & t.isin("]", "}"), 1)
+                .when((acc["closed"] > 0) & ~t.rlike(r"^[ \t\f\r\n]"), 1)
+                .otherwise(0)
+            ).alias("closed"),
+        ),
+    )
+    return (step["depth"] == 0) & (step["closed"] == 1)
+
+
+def tokens_json(c: Column) -> Column:
+    """JSON text of a list literal, token by token; null when it is none.
+
+    Read are escapes, raw texts, texts side by side, all number forms, keys that are numbers, trailing
+    commas, and tuples of scalars, which become their text as it is written. Not read are named
+    characters, sets, bytes, complex numbers, other keys, and tuples with brackets inside.
     """
-    plain = plain_literal_json(c, literal_outline(c))
-    other = python_literal_json(F.when(plain.isNull() & ~is_blank(c), c))
-    return F.coalesce(plain, F.when(~other.startswith("!"), other))
+    tokens = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+
+    def joined(found: Column) -> Column:
+        text = F.array_join(F.transform(found, _token_json), "")
+        return F.when(_closes_once(found), F.replace(text, F.lit(f'"{CLOSE_TEXT}{OPEN_TEXT}"'), F.lit("")))
+
+    def cleaned(text: Column) -> Column:
+        wrong = reduce(
+            or_, [F.contains(text, F.lit(w)) for w in (f"[{COMMA}", f"{{{COMMA}", COMMA * 2, CLOSE_NUMBER + OPEN_NUMBER, NO_TOKEN)]
+        )
+        keyed = F.regexp_replace(text, f'{OPEN_NUMBER}([0-9][^{CLOSE_NUMBER}]*+){CLOSE_NUMBER}:', '"$1":')
+        ended = F.replace(F.replace(keyed, F.lit(f"{COMMA}]"), F.lit("]")), F.lit(f"{COMMA}}}"), F.lit("}"))
+        return F.when(~wrong, F.translate(ended, COMMA + OPEN_TEXT + CLOSE_TEXT + OPEN_NUMBER + CLOSE_NUMBER, ","))
+
+    return F.when(c.rlike(r"^[ \t]*\["), let(let(tokens, joined), cleaned))
+
+
+def literal_json(c: Column, outline: Column) -> Column:
+    """JSON text of a Python list literal, given its outline; null when the cell is no such list."""
+    return F.coalesce(plain_literal_json(c, outline), F.when(~is_blank(c), tokens_json(c)))
+
+
+def literal_to_json(c: Column) -> Column:
+    """JSON text of a Python list literal; null when the cell is no such list."""
+    return let(literal_outline(c), lambda outline: literal_json(c, outline))
 
 
 def parse_literal(c: Column) -> Column:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
@@ -33,13 +31,6 @@ def build_session(
     return builder.getOrCreate()
 
 
-def reach_package() -> None:
-    """Let Python workers that share the driver's disk import this package, whatever the working folder."""
-    context = SparkContext._active_spark_context
-    if context is not None:
-        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
