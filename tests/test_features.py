@@ -1,3 +1,4 @@
+import copy
 import math
 
 import pytest
@@ -177,6 +178,24 @@ def test_caps(spark):
     assert apply_policy(df, {"features": [{"field": "x", "action": "log1p_cap", "cap_quantile": 0.75}]}).collect() == rows
 
 
+def capped_at(cap):
+    """The default policy with stored caps."""
+    policy = copy.deepcopy(DEFAULT_POLICY)
+    for f in policy["features"]:
+        if f["action"] == "log1p_cap":
+            f["cap_value"] = cap
+    return policy
+
+
+def test_default_policy_has_no_fitted_caps(spark):
+    assert not any("cap_value" in f for f in DEFAULT_POLICY["features"])
+    df = spark.createDataFrame([(float(x),) for x in range(101)], "total_product_viewed double")
+    fitted = fit_caps(df, capped_at(3.0))
+    caps = {f["field"]: f.get("cap_value") for f in fitted["features"] if f["action"] == "log1p_cap"}
+    assert caps == {"total_product_viewed": 99.0, "average_price_product_viewed": None}
+    assert apply_policy(df, DEFAULT_POLICY).agg(F.max("total_product_viewed")).first()[0] == pytest.approx(math.log1p(99))
+
+
 def test_policy_and_order(spark):
     df = spark.createDataFrame(
         [("x", 20180131, "7", 1.5, "v1", "s1", 500.0, "Direct")],
@@ -184,7 +203,7 @@ def test_policy_and_order(spark):
         " visitId string, total_product_viewed double, channelGrouping string",
     ).withColumns({"visitStartTime": F.lit(1525132800), "totals_transactions": F.lit(1)})
     dictionary = {"columns": {"channelGrouping": {"value_to_index": {"Direct": 2}, "others_index": 3}}}
-    out = model_input(df, DEFAULT_POLICY, dictionary)
+    out = model_input(df, capped_at(181.0), dictionary)
     assert out.columns == [
         "fullVisitorId", "visitId", "total_revenue", "total_product_viewed", "totals_hits",
         "date_dow", "date_month", "date_is_weekend", "vst_hour", "vst_dow", "vst_is_weekend",
@@ -200,7 +219,7 @@ def test_policy_and_order(spark):
 
 def test_model_input_is_one_projection(spark):
     df = spark.createDataFrame([("a", 1.0)], "channelGrouping string, total_revenue double")
-    plan = model_input(df, DEFAULT_POLICY, {"columns": {}})._jdf.queryExecution().optimizedPlan().toString()
+    plan = model_input(df, capped_at(181.0), {"columns": {}})._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project [") == 1
 
 

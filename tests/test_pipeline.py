@@ -1,10 +1,13 @@
 import json
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from visitflow import FittedPipeline, fit_pipeline, fit_transform
-from visitflow.session import materialize, shared_folder
+from visitflow.plans.training import train_and_evaluate
+from visitflow.session import materialize, new_table_path, shared_folder, temporary_tables
 from visitflow.sources.params import load_json, load_version, save_version
 from visitflow.sources.tables import (
     read_parts_relaxed,
@@ -152,3 +155,25 @@ def test_materialized_table_is_in_the_shared_folder(spark):
     table = materialize(spark.range(3), "three")
     assert shared_folder(spark) in table.inputFiles()[0]
     assert table.count() == 3
+
+
+def tables_in(spark):
+    folder = shared_folder(spark).removeprefix("file://")
+    return {p.name for p in Path(folder).iterdir() if not re.fullmatch(r"[0-9a-f-]{36}", p.name)}
+
+
+def test_fits_leave_no_tables(spark, raw):
+    before = tables_in(spark)
+    fit_pipeline(raw)
+    rows = raw.selectExpr("fullVisitorId", "visitId", "visitNumber + 0.5 as total_revenue", "visitNumber")
+    train_and_evaluate(rows, rows, kind="linear").report.collect()
+    assert tables_in(spark) == before
+    with temporary_tables(spark):
+        _, features = fit_transform(raw)
+        assert features.count() == raw.count() and len(tables_in(spark)) == len(before) + 1
+    assert tables_in(spark) == before
+    with pytest.raises(RuntimeError), temporary_tables(spark):
+        materialize(raw.limit(1), "lost")
+        new_table_path(spark, "never-written")
+        raise RuntimeError
+    assert tables_in(spark) == before

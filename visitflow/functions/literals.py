@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -71,29 +71,37 @@ def literal_outline(c: Column) -> Column:
     return F.regexp_replace(c, f"(?s){QUOTED}", "q")
 
 
-def _times(text: Column, word: str) -> Column:
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
-    return removed / len(word)
+def _removed(text: Column, word: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
 
 
-def plain_literal_json(c: Column, outline: Column) -> Column:
-    """JSON text of a plain list literal, given its outline; null for any other cell.
+def _told_apart(c: Column, outline: Column, word: str) -> Column:
+    """Whether a keyword follows a comma, a colon or a bracket wherever it is outside quotes, and nowhere inside."""
+    places = [before + word for before in BEFORE_KEYWORD]
+    outside = reduce(and_, [_removed(c, p) == _removed(outline, p) for p in places])
+    at_places = sum((_removed(outline, p) / len(p) for p in places), F.lit(0.0))
+    return outside & (at_places == _removed(outline, word) / len(word))
 
-    A keyword is replaced where it follows a comma, a colon or a bracket. Equal
-    counts in the cell and its outline show that none of these is inside quotes.
-    """
-    text, plain = c, ~c.rlike(NOT_PLAIN) & outline.rlike(PLAIN_LIST)
-    for word, json_word in KEYWORDS.items():
-        places = [before + word for before in BEFORE_KEYWORD]
-        inside = reduce(or_, [_times(c, p) != _times(outline, p) for p in places])
-        outside = sum((_times(outline, p) for p in places), F.lit(0.0))
-        has = F.contains(outline, F.lit(word))
-        plain = plain & (~has | (~inside & (outside == _times(outline, word))))
-        swapped = text
-        for before in BEFORE_KEYWORD:
-            swapped = F.replace(swapped, F.lit(before + word), F.lit(before + json_word))
-        text = F.when(has, swapped).otherwise(text)
-    return F.when(plain, text)
+
+def is_plain_literal(c: Column, outline: Column) -> Column:
+    """Whether a few replacements make JSON of the cell, given its outline."""
+    plain = ~c.rlike(NOT_PLAIN) & outline.rlike(PLAIN_LIST)
+    for word in KEYWORDS:
+        apart = _removed(c, word) == _removed(outline, word)  # none inside quotes
+        plain = plain & (~F.contains(outline, F.lit(word)) | apart | _told_apart(c, outline, word))
+    return plain
+
+
+def swap_keyword(c: Column, outline: Column, text: Column, word: str) -> Column:
+    """Write a keyword of a plain cell as its JSON word in ``text``, which is the cell so far."""
+    swapped = text
+    for before in BEFORE_KEYWORD:
+        swapped = F.replace(swapped, F.lit(before + word), F.lit(before + KEYWORDS[word]))
+    return (
+        F.when(~F.contains(outline, F.lit(word)), text)
+        .when(_removed(c, word) == _removed(outline, word), F.replace(text, F.lit(word), F.lit(KEYWORDS[word])))
+        .otherwise(swapped)
+    )
 
 
 def _code_point(hexadecimal: Column) -> Column:
@@ -204,14 +212,19 @@ def tokens_json(c: Column) -> Column:
     return F.when(c.rlike(r"^[ \t]*\["), let(let(tokens, joined), cleaned))
 
 
-def literal_json(c: Column, outline: Column) -> Column:
-    """JSON text of a Python list literal, given its outline; null when the cell is no such list."""
-    return F.coalesce(plain_literal_json(c, outline), F.when(~is_blank(c), tokens_json(c)))
+def literal_to_json(c: Column) -> Column:
+    """JSON text of a Python list literal; null when the cell is no such list.
 
+    For the cells of a table, ``parse_literals`` does the same in projected steps.
+    """
 
-def literal_to_json(c: Column) -> Column:
-    """JSON text of a Python list literal; null when the cell is no such list."""
-    return let(literal_outline(c), lambda outline: literal_json(c, outline))
+    def by_outline(outline: Column) -> Column:
+        text = c
+        for word in KEYWORDS:
+            text = let(text, lambda t, word=word: swap_keyword(c, outline, t, word))
+        return F.when(is_plain_literal(c, outline), text).when(~is_blank(c), tokens_json(c))
+
+    return let(literal_outline(c), by_outline)
 
 
 def parse_literal(c: Column) -> Column:

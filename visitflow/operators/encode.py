@@ -11,7 +11,7 @@ from visitflow.functions.text import trim_ws
 from visitflow.operators.clean import ID_COLUMNS, LABEL
 
 LITERAL_ENTRIES = 256  # larger vocabularies are joined, not written into the plan
-BROADCAST_ENTRIES = 1_000_000
+BROADCAST_BYTES = 64 << 20  # of texts and indices, before they are sent to every executor
 
 
 def _lookup_text(c: Column) -> Column:
@@ -51,7 +51,14 @@ def encode_categories(df: DataFrame, dictionary: dict) -> DataFrame:
 
 def _encode_by_join(df: DataFrame, name: str, entries: dict[str, int], others: int) -> DataFrame:
     table = df.sparkSession.createDataFrame(list(entries.items()), "_value string, _index bigint")
-    return join_index(df, name, table, others, broadcast=len(entries) <= BROADCAST_ENTRIES)
+    size = sum(len(text.encode()) + 8 for text in entries)
+    return join_index(df, name, table, others, broadcast=size <= BROADCAST_BYTES)
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether the texts and indices of a lookup table are few enough bytes to broadcast."""
+    size = table.agg(F.sum(F.octet_length("_value") + 8)).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def join_index(

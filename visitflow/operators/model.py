@@ -20,6 +20,7 @@ from visitflow.session import shared_folder
 
 PREDICTION = "PredictedLogRevenue"
 SEED = 42
+NET_BYTES = 512 << 20  # a larger net is no broadcast variable
 
 
 def floor_at_zero(c: Column) -> Column:
@@ -95,6 +96,12 @@ class DenseNet:
     out_bias: float
     embeddings: dict[str, np.ndarray] = field(default_factory=dict)  # (vocabulary, size)
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes of all weights."""
+        layers = [a for x in self.layers for a in (x.weight, x.bias, x.gamma, x.beta, x.running_mean, x.running_var)]
+        return sum(a.nbytes for a in (*layers, self.out_weight, *self.embeddings.values()))
+
     def predict(self, numeric: np.ndarray, indices: dict[str, np.ndarray], dtype: type) -> np.ndarray:
         parts = [
             table.astype(dtype)[np.clip(indices[c], 0, len(table) - 1)]
@@ -120,6 +127,8 @@ def score_dense(
 
     The net goes to every executor once; only its inputs and ``keep`` reach Python.
     """
+    if net.nbytes > NET_BYTES:
+        raise ValueError(f"a net of {net.nbytes} bytes is too large to send to every executor")
     weights = df.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

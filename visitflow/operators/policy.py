@@ -15,7 +15,7 @@ from visitflow.operators.order_stats import SORTED_ROWS, exact_quantiles
 
 CAP_QUANTILE = 0.99
 
-# The action of each numeric field, with the caps fitted so far.
+# The action of each numeric field. A cap is fitted at the quantile, never preset.
 DEFAULT_POLICY = {
     "features": [
         {"field": "total_revenue", "action": "log1p"},
@@ -26,7 +26,6 @@ DEFAULT_POLICY = {
             "field": "total_product_viewed",
             "action": "log1p_cap",
             "cap_quantile": 0.99,
-            "cap_value": 181.0,
         },
         {"field": "total_category_viewed", "action": "log1p"},
         {"field": "totals_hits", "action": "log1p"},
@@ -36,7 +35,6 @@ DEFAULT_POLICY = {
             "field": "average_price_product_viewed",
             "action": "log1p_cap",
             "cap_quantile": 0.99,
-            "cap_value": 81.27365714285655,
         },
         {"field": "visitNumber", "action": "log1p"},
         {"field": "date", "action": "drop_raw"},
@@ -89,10 +87,12 @@ def quantile_caps(
 
 
 def fit_caps(df: DataFrame, policy: dict, sorted_rows: int = SORTED_ROWS) -> dict:
-    """Policy with the cap of every capped field fitted on ``df``."""
+    """Policy with the cap of every capped field fitted on ``df``; a field that is absent has none."""
     caps = quantile_caps(df, _capped_fields(df, policy), sorted_rows)
     fitted = copy.deepcopy(policy)
     for f in fitted["features"]:
+        if f["action"] == "log1p_cap":
+            f.pop("cap_value", None)
         if f["field"] in caps:
             f["cap_value"] = caps[f["field"]]
     return fitted

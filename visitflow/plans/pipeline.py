@@ -25,7 +25,7 @@ from visitflow.operators.order_stats import SORTED_ROWS
 from visitflow.operators.policy import DEFAULT_POLICY, fit_caps, model_input
 from visitflow.operators.profile import single_valued_columns
 from visitflow.operators.vocab import categorical_columns, fit_vocabulary
-from visitflow.session import materialize
+from visitflow.session import materialize, temporary_tables
 from visitflow.sources.params import load_version, save_version
 
 
@@ -88,11 +88,12 @@ def fit_pipeline(
 ) -> FittedPipeline:
     """Discover columns, fit vocabulary and caps.
 
-    The flat table is written once and scanned for all fits. With
+    The flat table is written once, scanned for all fits and deleted. With
     ``drop_low_variance`` the single-valued columns are found in the data
     instead of taken from the fixed list.
     """
-    return _fit(raw, policy, drop_low_variance, sorted_rows)[0]
+    with temporary_tables(raw.sparkSession):
+        return _fit(raw, policy, drop_low_variance, sorted_rows)[0]
 
 
 def fit_transform(
@@ -101,7 +102,11 @@ def fit_transform(
     drop_low_variance: bool = False,
     sorted_rows: int = SORTED_ROWS,
 ) -> tuple[FittedPipeline, DataFrame]:
-    """Fit, and the model input of the same sessions without parsing them again."""
+    """Fit, and the model input of the same sessions without parsing them again.
+
+    The model input reads the flat table in the shared folder; put the call and the
+    use of its result inside ``temporary_tables`` to have that table deleted.
+    """
     fitted, cleaned = _fit(raw, policy, drop_low_variance, sorted_rows)
     return fitted, model_input(cleaned, fitted.policy, fitted.dictionary)
 

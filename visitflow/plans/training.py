@@ -12,7 +12,7 @@ from visitflow.operators.evaluate import evaluation_report, visitor_predictions
 from visitflow.operators.model import SEED, fit_regressor, score
 from visitflow.operators.prep import FeaturePrep, apply_prep, fit_prep, numeric_features
 from visitflow.operators.split import first_rows, time_split
-from visitflow.session import materialize
+from visitflow.session import materialize, temporary_tables
 
 
 @dataclass(frozen=True)
@@ -37,15 +37,16 @@ def train_and_evaluate(
     """Time split, preparation fitted on the train part, model, evaluation.
 
     The prepared train rows are written once, so the iterations of the model
-    read a table of features and not the lineage behind it.
+    read a table of features and not the lineage behind it; it is deleted after them.
     """
     if max_train is not None:
         train_table = first_rows(train_table, max_train)
     train, validation = time_split(train_table, train_frac)
     features, left_out = numeric_features(train)
     prep = fit_prep(train, features)
-    ready = materialize(apply_prep(train, prep), "train-features")
-    model = fit_regressor(ready, prep.features, label, kind, seed, **settings)
+    with temporary_tables(train_table.sparkSession):
+        ready = materialize(apply_prep(train, prep), "train-features")
+        model = fit_regressor(ready, prep.features, label, kind, seed, **settings)
     validated = score(model, apply_prep(validation, prep), floor=False)
     tested = score(model, apply_prep(test_table, prep))
     return Training(

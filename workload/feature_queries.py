@@ -11,10 +11,17 @@ from visitflow.operators.clean import drop_columns
 from visitflow.operators.encode import (
     category_label,
     encode_categories,
+    fits_broadcast,
     join_index,
     one_hot,
 )
-from visitflow.operators.policy import apply_policy, fit_caps, order_columns, quantile_caps
+from visitflow.operators.policy import (
+    DEFAULT_POLICY,
+    apply_policy,
+    fit_caps,
+    order_columns,
+    quantile_caps,
+)
 from visitflow.operators.profile import (
     describe_numeric,
     profile_columns,
@@ -30,6 +37,7 @@ from visitflow.operators.vocab import (
     vocab_sizes,
     vocabulary_spec,
 )
+from visitflow.session import materialize
 from workload.registry import query
 from workload.sessions import seconds_of, table
 
@@ -264,22 +272,19 @@ def encode_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_categories(category_table(spark, sf_dir), category_dictionary(spark, sf_dir))
 
 
-@query(f"""
-    {WITH_VOCABULARY}
-    select p_partkey, cast({_encoded_sql("p_brand")} as bigint) as p_brand from cats
-""")
+@query(ENCODED_SQL)
 def encode_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lookup as a join with the vocabulary table."""
-    spec = vocabulary_spec(category_counts(spark, sf_dir))
-    lookup = (
-        value_index(spec)
-        .filter(F.col("column") == "p_brand")
-        .select(F.col("value").alias("_value"), F.col("index").alias("_index"))
-    )
-    others = spec.filter(F.col("column") == "p_brand").first()["others_index"]
-    return join_index(category_table(spark, sf_dir), "p_brand", lookup, others).select(
-        "p_partkey", "p_brand"
-    )
+    spec = materialize(vocabulary_spec(category_counts(spark, sf_dir)), "vocabulary")
+    index = materialize(value_index(spec), "vocabulary-index")
+    encoded = category_table(spark, sf_dir)
+    for name in CATEGORIES:
+        lookup = index.filter(F.col("column") == name).select(
+            F.col("value").alias("_value"), F.col("index").alias("_index")
+        )
+        others = spec.filter(F.col("column") == name).first()["others_index"]
+        encoded = join_index(encoded, name, lookup, others, broadcast=fits_broadcast(lookup))
+    return encoded
 
 
 @query(f"""
@@ -367,17 +372,6 @@ def cap_from_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def numeric_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leakage drop, log, capped log and calendar parts in one projection, ordered."""
-    policy = {
-        "features": [
-            {"field": "total_revenue", "action": "log1p"},
-            {"field": "totals_transactionRevenue", "action": "drop"},
-            {"field": "total_product_viewed", "action": "log1p_cap", "cap_quantile": 0.99},
-            {"field": "average_price_product_viewed", "action": "log1p_cap", "cap_quantile": 0.99},
-            {"field": "totals_hits", "action": "log1p"},
-            {"field": "date", "action": "drop_raw"},
-        ],
-        "derived_features": {"date": {"parse": "YYYYMMDD"}},
-    }
     lines = table(spark, sf_dir, "lineitem").select(
         "l_linestatus",
         F.date_format("l_shipdate", "yyyyMMdd").cast("bigint").alias("date"),
@@ -390,7 +384,7 @@ def numeric_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_tax").alias("totals_transactionRevenue"),
     )
     logged = ["total_revenue", "total_product_viewed", "totals_hits", "average_price_product_viewed"]
-    result = order_columns(apply_policy(lines, fit_caps(lines, policy)), [])
+    result = order_columns(apply_policy(lines, fit_caps(lines, DEFAULT_POLICY)), [])
     return result.withColumns({c: F.round(c, 6) for c in logged})
 
 

@@ -36,6 +36,7 @@ from visitflow.sources.tables import (
     read_parts_relaxed,
     read_sessions_csv,
     read_table,
+    rows_per_part,
     union_relaxed,
     write_csv,
     write_table,
@@ -300,6 +301,19 @@ def csv_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, parquet)
 
 
+@query("""
+    select cast(n as bigint) as "rows", cast(count(*) as bigint) as parts
+    from (select least(1000, total - 1000 * i) as n
+          from (select count(*) as total from orders), unnest(range((total + 999) // 1000)) as t(i))
+    group by n
+""")
+def rows_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parquet parts have how many rows; one writer, at most 1000 rows a part."""
+    path = new_table_path(spark, "orders")
+    write_table(table(spark, sf_dir, "orders").coalesce(1), path, rows_per_file=1000)
+    return rows_per_part(spark, path).groupBy("rows").agg(F.count(F.lit(1)).alias("parts"))
+
+
 @query(ENCODED_SQL)
 def stored_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary stored as a version, loaded again and applied."""
