@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -143,7 +147,8 @@ def read_parts_relaxed(spark: SparkSession, path: str) -> DataFrame:
     """Parquet parts whose schemas may differ, as one table.
 
     Spark merges the footers in parallel. Only when parts disagree on a type are
-    they grouped by schema and united, one branch per schema.
+    the footers read again in one job, the parts grouped by schema and united, one
+    branch per schema.
     """
 
     def reader() -> DataFrameReader:
@@ -156,8 +161,33 @@ def read_parts_relaxed(spark: SparkSession, path: str) -> DataFrame:
             raise
     files = sorted(reader().parquet(path).inputFiles())
     groups: dict[str, list[str]] = {}
-    with ThreadPoolExecutor(FOOTER_READERS) as pool:
-        schemas = pool.map(lambda name: spark.read.parquet(name).schema.json(), files)
-        for name, schema in zip(files, schemas, strict=True):
-            groups.setdefault(schema, []).append(name)
-    return union_relaxed(*[spark.read.parquet(*names) for names in groups.values()])
+    for row in _footer_schemas(spark, files).groupBy("shape").agg(F.collect_list("file").alias("files")).collect():
+        if row["shape"] is not None:
+            groups[row["shape"]] = row["files"]
+            continue
+        # A store that only Spark's readers can open: its own reader gives the schema, file by file.
+        with ThreadPoolExecutor(FOOTER_READERS) as pool:
+            schemas = pool.map(lambda name: spark.read.parquet(name).schema.json(), row["files"])
+            for name, schema in zip(row["files"], schemas, strict=True):
+                groups.setdefault(schema, []).append(name)
+    ordered = sorted(groups.values(), key=min)
+    return union_relaxed(*[spark.read.parquet(*sorted(names)) for names in ordered])
+
+
+def _footer_schemas(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``(file, shape)``: the columns in each parquet footer, read in tasks; null if tasks cannot open the store."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = []
+            for uri in batch.column(0).to_pylist():
+                try:
+                    store, name = fs.FileSystem.from_uri(uri)
+                    shapes.append(pq.read_schema(name, filesystem=store).remove_metadata().to_string())
+                except (pa.ArrowException, OSError, ImportError):
+                    shapes.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], ["file", "shape"])
+
+    tasks = max(1, min(len(files) // 100, 1000))
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
+    return names.mapInArrow(read, "file string, shape string")
