@@ -218,10 +218,13 @@ def literal_to_json(c: Column) -> Column:
     For the cells of a table, ``parse_literals`` does the same in projected steps.
     """
 
+    def swap(outline: Column, word: str) -> Callable[[Column], Column]:
+        return lambda text: swap_keyword(c, outline, text, word)
+
     def by_outline(outline: Column) -> Column:
         text = c
         for word in KEYWORDS:
-            text = let(text, lambda t, word=word: swap_keyword(c, outline, t, word))
+            text = let(text, swap(outline, word))
         return F.when(is_plain_literal(c, outline), text).when(~is_blank(c), tokens_json(c))
 
     return let(literal_outline(c), by_outline)
