@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitflow.functions.binding import let
 from visitflow.functions.hits import (
     categories_of,
     hit_fields,
@@ -141,20 +140,35 @@ def _checked(leaves: list[Leaf]) -> list[Leaf]:
     return leaves
 
 
-def leaf_text(v: Column, leaf: Leaf) -> Column:
-    """Text of one leaf; absent, null, empty list and object give the empty text.
+def leaf_text(at: Column, kind: Column) -> Column:
+    """Text of one leaf, given its value and type; absent, null, empty list and object give the empty text.
 
     The type is looked up in each row: later data may hold another one here.
     """
-    at = F.try_variant_get(v, _json_path(leaf.path), "variant")
+    empty_list = (kind == "ARRAY<VOID>") & (variant_text(at) == "[]")
+    empty = kind.isNull() | kind.startswith("OBJECT") | (kind == "VOID") | empty_list
+    return (
+        F.when(kind == "STRING", variant_text(at))
+        .when(empty, F.lit(""))
+        .otherwise(text_of_type(at, kind))
+    )
+
 
-    def text_or_empty(kind: Column) -> Column:
-        empty_list = (kind == "ARRAY<VOID>") & (variant_text(at) == "[]")
-        empty = kind.isNull() | kind.startswith("OBJECT") | (kind == "VOID") | empty_list
-        text = F.when(empty, F.lit("")).otherwise(text_of_type(at, kind))
-        return F.when(kind == "STRING", variant_text(at)).otherwise(text)
+def _with_leaf_texts(parsed: DataFrame, kept: list[Column | str], leaves: list[Leaf]) -> DataFrame:
+    """``kept`` and the text of each leaf of the parsed cells ``_<source>``.
 
-    return let(variant_type(at), text_or_empty)
+    Values and types are projected first, so each is looked up once.
+    """
+    values = [
+        F.try_variant_get(F.col(f"_{leaf.source}"), _json_path(leaf.path), "variant").alias(f"_at{i}")
+        for i, leaf in enumerate(leaves)
+    ]
+    found = parsed.select(*kept, *values)
+    typed = found.withColumns({f"_kind{i}": variant_type(F.col(f"_at{i}")) for i in range(len(leaves))})
+    texts = [
+        leaf_text(F.col(f"_at{i}"), F.col(f"_kind{i}")).alias(leaf.column) for i, leaf in enumerate(leaves)
+    ]
+    return typed.select(*kept, *texts)
 
 
 def flatten_json(df: DataFrame, leaves: list[Leaf]) -> DataFrame:
@@ -163,9 +177,7 @@ def flatten_json(df: DataFrame, leaves: list[Leaf]) -> DataFrame:
     sources = sorted({leaf.source for leaf in leaves})
     kept = [F.col(f"`{c}`") for c in df.columns if c not in sources]
     parsed = df.select(*kept, *[parse_json_object(F.col(c)).alias(f"_{c}") for c in sources])
-    return parsed.select(
-        *kept, *[leaf_text(F.col(f"_{leaf.source}"), leaf).alias(leaf.column) for leaf in leaves]
-    )
+    return _with_leaf_texts(parsed, kept, leaves)
 
 
 def add_hit_metrics(
@@ -240,16 +252,12 @@ def flatten_sessions(df: DataFrame, leaves: list[Leaf], width: int | None = None
         *[parse_json_object(F.col(c)).alias(f"_{c}") for c in sources],
     )
     parsed = parse_literals(parsed, {"hits": "_cell", "customDimensions": "_dimensions"})
-    flat = _hit_metrics(parsed, totals=F.col("_totals")).select(
-        *kept,
-        dimension_values(list_or_empty(F.col("_dimensions"))).alias("customDimensions"),
-        *[leaf_text(F.col(f"_{leaf.source}"), leaf).alias(leaf.column) for leaf in leaves],
-        "total_product_viewed",
-        "average_price_product_viewed",
-        "total_category_viewed",
-        "categories_viewed",
-        "total_revenue",
+    metrics = _hit_metrics(parsed, totals=F.col("_totals")).withColumn(
+        "customDimensions", dimension_values(list_or_empty(F.col("_dimensions")))
     )
+    measured = ["customDimensions", "total_product_viewed", "average_price_product_viewed",
+                "total_category_viewed", "categories_viewed", "total_revenue"]
+    flat = _with_leaf_texts(metrics, [*kept, *measured], leaves)
     if width is not None:
         flat = spread_categories(flat, width)
     return flat.select(*[F.col(f"`{c}`") for c in sorted(flat.columns)])
