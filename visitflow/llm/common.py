@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch while texts are in Python: a batch then stays far below a worker's memory
 #: even if all of its texts are very long.
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 
 U32 = np.dtype("<u4")
 
@@ -81,7 +81,7 @@ class WordTokenizer:
     #: The pre-tokenizer's pattern (fixed value of the vocabulary file) over those characters.
     _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 

@@ -26,7 +26,7 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 
 #: Characters whose n-grams are held at once; longer texts are read in pieces of this length.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 #: The broadcast matrix may have so many bytes (400 languages).
 MOST_BYTES = 200 << 20

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,8 @@ MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.435
 
 #: Entries of a task's word counts before they are sent on.
-COUNTED_AT_ONCE = 500_000
+COUNTED_AT_ONCE = 300_000
+SENT_AT_ONCE = 20_000
 
 #: Characters whose classes are looked up at once.
 CHUNK = 1 << 20
@@ -168,12 +169,19 @@ def language_references(
         totals: Counter = Counter()
 
         def sums() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, word, n) for lang, found in words.items() for word, n in found.items()]
+            for lang, found in words.items():
+                entries = iter(found.items())
+                while part := list(islice(entries, SENT_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * len(part), pa.string()),
+                            pa.nulls(len(part), pa.int64()),
+                            pa.array([word for word, _ in part], pa.binary()),
+                            pa.array([n for _, n in part], pa.int64()),
+                        ],
+                        ["lang", "class", "word", "n"],
+                    )
             words.clear()
-            if rows:
-                kinds = (pa.string(), pa.binary(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([columns[0], pa.nulls(len(rows), pa.int64()), *columns[1:]], ["lang", "class", "word", "n"])
 
         for batch in batches:
             for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):

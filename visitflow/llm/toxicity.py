@@ -45,14 +45,16 @@ RATE = 0.05
 SHRINK = 1e-4
 
 
-def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of every n-gram of the whole texts."""
-    buckets, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _present(texts: list[str | None]) -> np.ndarray:
+    """Text number times ``BUCKETS`` plus bucket, once for each n-gram that a whole text has.
+
+    Only what is present is kept of each piece, so long texts cost no more than their distinct n-grams.
+    """
+    keys = [np.zeros(0, np.int64)]
     for rows, parts in pieces(texts):
-        found, owner = ngrams(parts, ORDERS, BUCKETS)
-        buckets.append(found)
-        owners.append(np.asarray(rows)[owner])
-    return np.concatenate(buckets), np.concatenate(owners)
+        bucket, owner = ngrams(parts, ORDERS, BUCKETS)
+        keys.append(np.unique(np.asarray(rows)[owner] * BUCKETS + bucket))
+    return np.unique(np.concatenate(keys))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -170,8 +172,7 @@ def fit_toxicity(
         counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)  # the place behind the buckets counts texts
         for batch in batches:
             toxic = batch.column(1).to_numpy() > 0
-            bucket, owner = _counts(batch.column(0).to_pylist())
-            present = np.unique(owner * BUCKETS + bucket)
+            present = _present(batch.column(0).to_pylist())
             for k in (0, 1):
                 mine = present[toxic[present // BUCKETS] == bool(k)]
                 counts[k, :BUCKETS] += np.bincount(mine % BUCKETS, minlength=BUCKETS)
