@@ -6,7 +6,7 @@ the index after them is every other value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,13 +89,29 @@ def vocabulary_spec(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     )
 
 
-def value_index(spec: DataFrame) -> DataFrame:
-    """``(column, value, index)`` incl. the reserved labels and the raw texts they cover.
+def _fixed_entries(others: Column | int) -> list[tuple[str, Column | int, int]]:
+    """Labels and the raw texts they cover: text, index, strength.
 
-    Raw texts win over retained values, and those over the first two labels.
+    Of entries for one text the strongest counts. Retained values have strength
+    ``RETAINED``: raw texts win over them, and they over the first two labels.
     """
+    return [
+        (NONE_LABEL, 0, 0),
+        (UNKNOWN_LABEL, 1, 0),
+        (OTHER_LABEL, others, 2),
+        *[(v, 0, 3) for v in NONE_VALUES],
+        *[(v, 1, 3) for v in UNKNOWN_VALUES],
+        *[(v, others, 3) for v in OTHER_VALUES],
+    ]
+
+
+RETAINED = 1
+
+
+def value_index(spec: DataFrame) -> DataFrame:
+    """``(column, value, index)`` incl. the reserved labels and the raw texts they cover."""
 
-    def entry(value: str, index: object, strength: int):
+    def entry(value: str, index: Column | int, strength: int) -> Column:
         index = F.lit(index) if isinstance(index, int) else index
         return F.struct(
             F.lit(value).alias("value"),
@@ -103,15 +119,11 @@ def value_index(spec: DataFrame) -> DataFrame:
             F.lit(strength).alias("strength"),
         )
 
-    others = F.col("others_index")
-    fixed = [entry(NONE_LABEL, 0, 0), entry(UNKNOWN_LABEL, 1, 0), entry(OTHER_LABEL, others, 2)]
-    fixed += [entry(v, 0, 3) for v in NONE_VALUES]
-    fixed += [entry(v, 1, 3) for v in UNKNOWN_VALUES]
-    fixed += [entry(v, others, 3) for v in OTHER_VALUES]
+    fixed = [entry(*e) for e in _fixed_entries(F.col("others_index"))]
     retained = F.transform(
         F.col("top_categories_order"),
         lambda v, i: F.struct(
-            v.alias("value"), (i + RESERVED).cast("bigint").alias("index"), F.lit(1).alias("strength")
+            v.alias("value"), (i + RESERVED).cast("bigint").alias("index"), F.lit(RETAINED).alias("strength")
         ),
     )
     entries = spec.select("column", F.explode(F.concat(F.array(*fixed), retained)).alias("e"))
@@ -151,12 +163,9 @@ def dictionary_of(spec: DataFrame, names: list[str] | None = None) -> dict:
             continue
         r = rows[name]
         top, others = list(r["top_categories_order"]), r["others_index"]
-        to_index = {NONE_LABEL: 0, UNKNOWN_LABEL: 1}
-        to_index.update({v: RESERVED + i for i, v in enumerate(top)})
-        to_index[OTHER_LABEL] = others
-        to_index.update(dict.fromkeys(NONE_VALUES, 0))
-        to_index.update(dict.fromkeys(UNKNOWN_VALUES, 1))
-        to_index.update(dict.fromkeys(OTHER_VALUES, others))
+        retained = [(v, RESERVED + i, RETAINED) for i, v in enumerate(top)]
+        by_strength = sorted([*_fixed_entries(others), *retained], key=lambda e: e[2])
+        to_index = {value: index for value, index, _ in by_strength}  # a later one replaces an earlier
         labels = [NONE_LABEL, UNKNOWN_LABEL, *top, OTHER_LABEL]
         columns[name] = {
             "requested_top_k": r["requested_top_k"],
