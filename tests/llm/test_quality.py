@@ -1,6 +1,7 @@
 """Quality rules: base metrics and distances against slow definitions, verdicts on odd documents."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -102,6 +103,40 @@ def test_verdict_takes_the_nearest_language_and_guards_short_texts():
     assert judge(plain, nothing)[-1] and not judge(None, nothing)[-1] and not judge("too few words", nothing)[-1]
 
 
+def drawn(draw, vocabulary, n):
+    return " ".join(draw.choices(vocabulary, weights=[1 / (k + 1) for k in range(len(vocabulary))], k=n))
+
+
+def invented(draw, n):
+    return ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(2, 9))) for _ in range(n)]
+
+
+def test_documents_of_invented_words_are_found(spark):
+    draw = random.Random(5)
+    vocabularies = {lang: invented(draw, 3000) for lang in ("xx", "yy")}
+    good = [(k, drawn(draw, v, draw.choice((55, 70, 150, 400, 1000))), lang) for lang, v in vocabularies.items() for k in range(400)]
+    # Junk takes a fifth of its words from the language and makes up the others.
+    junk = []
+    for k in range(80):
+        n = draw.choice((70, 150, 400))
+        mixed = drawn(draw, vocabularies["xx"], n // 5).split() + invented(draw, n - n // 5)
+        junk.append((1000 + k, " ".join(draw.sample(mixed, n)), "xx"))
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string").repartition(3)
+    references = language_references(docs)
+    rows = quality_verdicts(docs, references).collect()
+    assert np.mean([r.kept for r in rows if r.doc_id < 1000]) > 0.98
+    assert np.mean([r.kept for r in rows if r.doc_id >= 1000]) < 0.1
+    assert references.allowed(0, 50) > references.allowed(0, 500) > references.allowed(0, 5000)
+
+
+def test_labelled_bad_documents_are_found(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = dict(tuple(r) for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").collect())
+    rows = [r for r in QUERIES["op9_distribution_divergence"](spark, folder).collect() if not r.base_failed]
+    assert np.mean([r.kept for r in rows if labels.get(r.doc_id) == 1]) > 0.97
+    assert np.mean([r.kept for r in rows if labels.get(r.doc_id) == 0]) < 0.25
+
+
 def test_odd_documents(edge_rows, clashing_docs, no_docs):
     references = language_references(clashing_docs)
     assert references.languages  # from the long texts

@@ -3,7 +3,9 @@
 Two histograms of a document, over character classes and over a language's common words, are compared with
 reference histograms learned from the whole corpus, one of each per language. The measure is the
 Jensen-Shannon distance (base 2, so 0 to 1). Each histogram takes the nearest language, which needs no
-label, and has a length below which it says nothing.
+label, and has a length below which it says nothing. How far a document's words may lie from a language
+is learned too: the distance that its number of words gives by chance, and a margin by the median and the
+spread of what the language's documents have beyond theirs.
 """
 
 from __future__ import annotations
@@ -33,11 +35,22 @@ COMMON_WORDS = 50
 
 #: A histogram of fewer characters or words says nothing.
 MIN_CHARACTERS = 200
-MIN_COUNTED_WORDS = 80
+MIN_COUNTED_WORDS = 20
 
-#: A document farther than this from every language is rejected.
+#: A document farther than this from every language is rejected. The distance of words is fixed only where too
+#: few documents say how far they lie; it widens for texts of fewer words than ``FULL_WORDS``.
 MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.435
+FULL_WORDS = 80
+
+#: A margin is the median and so many robust deviations (the usual limit of a modified z-score), of so many
+#: documents at least; many copies must not shrink the deviation to nothing.
+DEVIATIONS = 3.5
+MIN_JUDGED = 100
+LEAST_DEVIATION = 0.01
+
+#: Steps of a distance of 1 in which documents are counted for medians.
+STEPS = 2048
 
 #: Entries of a task's word counts before they are sent on.
 COUNTED_AT_ONCE = 300_000
@@ -126,6 +139,8 @@ class References:
     classes: list[np.ndarray]
     words: list[list[bytes]]
     shares: list[np.ndarray]
+    #: How far words may lie beyond chance, by language; None: too few documents say it.
+    margins: list[float | None] | None = None
 
     def __post_init__(self) -> None:
         self._index = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(self.words)))}
@@ -138,28 +153,52 @@ class References:
             return None
         return min(jensen_shannon(counts / counts.sum(), r) for r in self.classes)
 
-    def word_distance(self, text: str) -> float | None:
-        words = plain_words(text)
+    def word_distances(self, words: list[bytes]) -> np.ndarray | None:
+        """Distance to each language, or None if the words are too few or no language is known."""
         if not self.languages or len(words) < MIN_COUNTED_WORDS:
             return None
         known = [k for k in map(self._index.get, words) if k is not None]
         counts = np.bincount(known, minlength=len(self._index)) if known else np.zeros(len(self._index))
-        nearest = 1.0
+        distances = []
         for places, shares in zip(self._places, self.shares, strict=True):
             own = counts[places]
             histogram = np.append(own, len(words) - own.sum()) / len(words)
-            nearest = min(nearest, jensen_shannon(histogram, shares))
-        return nearest
+            distances.append(jensen_shannon(histogram, shares))
+        return np.array(distances)
+
+    def word_distance(self, text: str) -> float | None:
+        distances = self.word_distances(plain_words(text))
+        return None if distances is None else min(1.0, float(distances.min()))
+
+    def by_chance(self, language: int, n: int) -> float:
+        """About how far ``n`` words drawn from a language's own distribution lie from it.
+
+        A word that is expected more than once adds 1 / (8 ln 2 n) to the divergence, one that is not there
+        half of its share.
+        """
+        return float(np.sqrt(np.minimum(1 / (8 * np.log(2) * n), self.shares[language] / 2).sum()))
+
+    def allowed(self, language: int, n: int) -> float:
+        """How far ``n`` words may lie from a language."""
+        margin = self.margins[language] if self.margins else None
+        if margin is not None:
+            return self.by_chance(language, n) + margin
+        return MAX_WORD_DISTANCE + max(0.0, self.by_chance(language, n) - self.by_chance(language, FULL_WORDS))
+
+    def near_words(self, distances: np.ndarray | None, n: int) -> bool:
+        """Whether ``n`` words of these distances are near a language, or say nothing."""
+        return distances is None or any(d <= self.allowed(k, n) for k, d in enumerate(distances))
 
 
 def language_references(
     docs: DataFrame, text_column: str = "text", language_column: str = "lang", common_words: int = COMMON_WORDS
 ) -> References:
-    """Histograms of every language over all documents that pass the base rules.
+    """Histograms of every language over all documents that pass the base rules, and the margins of its words.
 
     Rows with a null text or language say nothing. Words are counted in each task first; then their
     sums are, by language and word, and the commonest of each language are cut in each task before they meet.
-    To the driver come ``common_words`` words and a few class counts per language.
+    To the driver come ``common_words`` words and a few class counts per language. A second pass counts how far
+    all documents lie from them (see :func:`word_margins`).
     """
     bounded_batches(docs.sparkSession)
 
@@ -228,7 +267,58 @@ def language_references(
         words.append([row["word"] for row in common])
         often = np.array([float(row["n"]) for row in common])
         shares.append(np.append(often, counts[-1] - often.sum()) / max(1.0, counts[-1]))
-    return References(languages, classes, words, shares)
+    references = References(languages, classes, words, shares)
+    references.margins = word_margins(docs, references, text_column)
+    return references
+
+
+def _margin(steps: np.ndarray, counts: np.ndarray) -> float | None:
+    """Median and deviations of counted steps; None if they are of too few documents."""
+    if counts.sum() < MIN_JUDGED:
+        return None
+
+    def median(values: np.ndarray) -> float:
+        order = np.argsort(values)
+        return float(values[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)])
+
+    middle = median(steps)
+    deviation = 1.4826 * median(np.abs(steps - middle)) / STEPS
+    return middle / STEPS + DEVIATIONS * max(LEAST_DEVIATION, deviation)
+
+
+def word_margins(docs: DataFrame, references: References, text_column: str = "text") -> list[float | None]:
+    """How far beyond chance the words of each language's documents may lie from it.
+
+    Every document that passes the base rules counts for the language nearest to it. Median and median deviation hold
+    while less than half of the documents are junk. A language of fewer than ``MIN_JUDGED`` documents takes the margin
+    of all. To the driver come counts by language and step.
+    """
+    if not references.languages:
+        return []
+    sent = docs.sparkSession.sparkContext.broadcast(references)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                metrics = base_metrics(text)
+                if base_failed(metrics[0], metrics[4]):
+                    continue
+                words = plain_words(text)
+                distances = sent.value.word_distances(words)
+                if distances is not None:
+                    k = int(distances.argmin())
+                    found[k, round(STEPS * float(distances[k] - sent.value.by_chance(k, len(words))))] += 1
+        if found:
+            rows = [(k, step, n) for (k, step), n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["k", "step", "n"])
+
+    texts = docs.where(F.col(text_column).isNotNull()).select(F.col(text_column).cast("string"))
+    sums = texts.mapInArrow(count, "k long, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).toArrow()
+    k, steps, counts = (sums.column(c).to_numpy() for c in ("k", "step", "n"))
+    of_all = _margin(steps, counts)
+    margins = [_margin(steps[k == i], counts[k == i]) for i in range(len(references.languages))]
+    return [of_all if margin is None else margin for margin in margins]
 
 
 def judge(text: str | None, references: References) -> tuple:
@@ -237,8 +327,10 @@ def judge(text: str | None, references: References) -> tuple:
     metrics = base_metrics(text)
     failed = base_failed(metrics[0], metrics[4])
     by_class = None if failed else references.class_distance(text)
-    by_word = None if failed else references.word_distance(text)
-    kept = not failed and (by_class or 0.0) <= MAX_CLASS_DISTANCE and (by_word or 0.0) <= MAX_WORD_DISTANCE
+    words = [] if failed else plain_words(text)
+    distances = references.word_distances(words)
+    by_word = None if distances is None else min(1.0, float(distances.min()))
+    kept = not failed and (by_class or 0.0) <= MAX_CLASS_DISTANCE and references.near_words(distances, len(words))
     return (*metrics, failed, by_class, by_word, kept)
 
 
