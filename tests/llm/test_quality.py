@@ -129,6 +129,20 @@ def test_documents_of_invented_words_are_found(spark):
     assert references.allowed(0, 50) > references.allowed(0, 500) > references.allowed(0, 5000)
 
 
+@pytest.mark.parametrize("n", [300, 30_000])
+def test_a_junk_document_is_no_reference_of_its_own(spark, n):
+    draw = random.Random(6)
+    vocabulary = invented(draw, 3000)
+    good = [(k, drawn(draw, vocabulary, draw.choice((150, 400))), "xx") for k in range(200)]
+    signs = " ".join("".join(draw.choices("0123456789|#$", k=6)) for _ in range(n))
+    junk = [(1000, " ".join(invented(draw, n)), "qq"), (1001, " ".join(invented(draw, 300)), "xx"), (1002, signs, "zz")]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string").repartition(3)
+    references = language_references(docs)
+    assert references.languages == ["xx"]
+    kept = {r.doc_id for r in quality_verdicts(docs, references).collect() if r.kept}
+    assert len(kept) > 190 and not kept & {1000, 1001, 1002}
+
+
 def test_labelled_bad_documents_are_found(spark):
     folder = "/root/testdata/sf0.01"
     labels = dict(tuple(r) for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").collect())

@@ -43,6 +43,11 @@ MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.435
 FULL_WORDS = 80
 
+#: A language has a reference from so many characters and words on. Without its longest document, they must still
+#: be enough for a histogram, so that no document is a reference of its own.
+MIN_REFERENCE_CHARACTERS = 10 * MIN_CHARACTERS
+MIN_REFERENCE_WORDS = 10 * FULL_WORDS
+
 #: A margin is the median and so many robust deviations (the usual limit of a modified z-score), of so many
 #: documents at least; many copies must not shrink the deviation to nothing.
 DEVIATIONS = 3.5
@@ -190,12 +195,17 @@ class References:
         return distances is None or any(d <= self.allowed(k, n) for k, d in enumerate(distances))
 
 
+def _enough(total: int, longest: int, least: int, least_besides: int) -> bool:
+    return total >= least and total - longest >= least_besides
+
+
 def language_references(
     docs: DataFrame, text_column: str = "text", language_column: str = "lang", common_words: int = COMMON_WORDS
 ) -> References:
     """Histograms of every language over all documents that pass the base rules, and the margins of its words.
 
-    Rows with a null text or language say nothing. Words are counted in each task first; then their
+    Rows with a null text or language say nothing. A language of less evidence than the minimum has no reference, so
+    its documents are judged by the others; if no language has enough, there are no references. Words are counted in each task first; then their
     sums are, by language and word, and the commonest of each language are cut in each task before they meet.
     To the driver come ``common_words`` words and a few class counts per language. A second pass counts how far
     all documents lie from them (see :func:`word_margins`).
@@ -206,6 +216,7 @@ def language_references(
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
         totals: Counter = Counter()
+        longest: dict[str, tuple[int, int]] = {}
 
         def sums() -> Iterator[pa.RecordBatch]:
             for lang, found in words.items():
@@ -231,11 +242,14 @@ def language_references(
                 words.setdefault(lang, Counter()).update(found)
                 totals[lang] += len(found)
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
+                most = longest.get(lang, (0, 0))
+                longest[lang] = (max(most[0], len(found)), max(most[1], len(text)))
             if sum(map(len, words.values())) > COUNTED_AT_ONCE:
                 yield from sums()
         yield from sums()
         rows = [(lang, k, int(n)) for lang, counts in classes.items() for k, n in enumerate(counts)]
-        rows += [(lang, len(CLASSES), n) for lang, n in totals.items()]  # the place behind the classes: all words
+        rows += [(lang, len(CLASSES), n) for lang, n in totals.items()]  # the places behind the classes: all words,
+        rows += [(lang, len(CLASSES) + 1 + k, n) for lang, most in longest.items() for k, n in enumerate(most)]  # and the longest
         if rows:
             lang, number, n = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -249,19 +263,26 @@ def language_references(
     sums = (
         rows.mapInArrow(count, "lang string, class long, word binary, n long")
         .groupBy("lang", "class", "word")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.when(F.col("class") > len(CLASSES), F.max("n")).otherwise(F.sum("n")).alias("n"))
     )
     # Class counts and words are one ranking each, so one pass over the corpus gives both.
     rank = F.row_number().over(Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word", "class"))
-    table = sums.withColumn("rank", rank).where(F.col("rank") <= max(common_words, len(CLASSES) + 1)).toArrow().to_pylist()
-    languages = sorted({row["lang"] for row in table})
-    classes, words, shares = [], [], []
-    for lang in languages:
-        counts = np.zeros(len(CLASSES) + 1)
-        mine = [row for row in table if row["lang"] == lang]
+    table = sums.withColumn("rank", rank).where(F.col("rank") <= max(common_words, len(CLASSES) + 3)).toArrow().to_pylist()
+    by_language: dict[str, list[dict]] = {}
+    for row in table:
+        by_language.setdefault(row["lang"], []).append(row)
+    languages, classes, words, shares = [], [], [], []
+    for lang, mine in sorted(by_language.items()):
+        counts = np.zeros(len(CLASSES) + 3)
         for row in mine:
             if row["word"] is None:
                 counts[row["class"]] = row["n"]
+        counts, longest_words, longest_characters = counts[:-2], counts[-2], counts[-1]
+        if not _enough(int(counts[-1]), int(longest_words), MIN_REFERENCE_WORDS, FULL_WORDS):
+            continue
+        if not _enough(int(counts[:-1].sum()), int(longest_characters), MIN_REFERENCE_CHARACTERS, MIN_CHARACTERS):
+            continue
+        languages.append(lang)
         common = sorted((r for r in mine if r["word"] is not None), key=lambda r: r["rank"])[:common_words]
         classes.append(counts[:-1] / max(1.0, counts[:-1].sum()))
         words.append([row["word"] for row in common])
