@@ -42,6 +42,13 @@ def test_word_tokenizer_equals_the_library(library, edge_rows):
         assert tokenizer.encode(text.encode()) == encode(library, text).tobytes(), text
 
 
+def test_word_tokenizer_on_every_latin_character(library):
+    tokenizer = WordTokenizer(WORD_VOCABULARY)
+    texts = [text for c in map(chr, range(0x250)) for text in (c, f"{c}li", f"ma{c}li", f"ma{c}", f"a {c}li, b", f"x'{c}")]
+    wrong = [text for text in texts if tokenizer.encode(text.encode()) != encode(library, text).tobytes()]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("universe", [0, 1, 7, 1000, 10**6, 2**31])
 def test_elias_fano(universe):
     draw = np.random.default_rng(universe % 97)

@@ -63,6 +63,12 @@ def _character_class(kind: str) -> str:
     return "".join(f"\\u{i:04x}" for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
 
 
+def _plain_characters() -> str:
+    """The characters that texts are split by here, escaped for a character class: their lower case must lie there too."""
+    kept = [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x130), *range(0x132, 0x250)]
+    return "".join(f"\\u{i:04x}" for i in kept if all(ord(c) in kept for c in chr(i).lower()))
+
+
 _LETTERS, _NUMBERS = _character_class("L"), _character_class("N")
 
 
@@ -77,7 +83,7 @@ class WordTokenizer:
     """
 
     #: Texts whose NFC form and lower case the library and Python agree on, character by character.
-    _PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xff\u0100-\u012f\u0132-\u024f]*")
+    _PLAIN = re.compile(f"[{_plain_characters()}]*")
     #: The pre-tokenizer's pattern (fixed value of the vocabulary file) over those characters.
     _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
