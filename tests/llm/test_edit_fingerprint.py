@@ -109,6 +109,22 @@ def test_classes_are_those_of_all_candidates(spark, tile):
     assert [r.class_id for r in found if r.doc_id is None] == [None]
 
 
+def test_classes_miss_no_pair_at_the_threshold(spark):
+    draw = random.Random(8)
+    rows = []
+    for k in range(0, 40, 2):
+        one = [draw.randrange(256) for _ in range(SLOTS)]
+        other = list(one)
+        # 25 of 128 slots differ, at least one in each run of eight.
+        places = [8 * b + draw.randrange(8) for b in range(16)]
+        places += draw.sample(sorted(set(range(SLOTS)) - set(places)), 25 - 16)
+        for place in places:
+            other[place] = (one[place] + 1 + draw.randrange(255)) % 256
+        rows += [(k, bytes(one)), (k + 1, bytes(other))]
+    found = near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint binary")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {k: k - k % 2 for k in range(40)}
+
+
 def test_query(spark, walk, sf):
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     got = sorted(tuple(r)[:7] for r in QUERIES["op7_edit_embedding"](spark, sf).collect())

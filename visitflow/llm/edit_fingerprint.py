@@ -11,6 +11,7 @@ and none is left out. A slot's byte is a hash of the character, and 0 if the tex
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,11 @@ CHUNK = 1 << 18
 #: Steps that slots are prepared for; the longest text Spark can hold has fewer.
 MOST_STEPS = 1 << 40
 
-BANDS = 16
 THRESHOLD = 0.8
 
+#: One band more than slots that a near pair may differ in, so that it agrees in a whole band.
+BANDS = SLOTS - math.ceil(THRESHOLD * SLOTS - 1e-9) + 1
+
 #: Members of a band group that are compared in one tile.
 TILE = 4096
 
@@ -244,9 +247,9 @@ def near_classes(
 ) -> DataFrame:
     """``rows`` with ``class_id``: the smallest id connected to each row by verified near pairs.
 
-    Each band is a run of slots (the slots are random, so a band is a random sample of them). Fingerprints
-    that agree in a band are candidates, and every pair of them is verified: at least ``threshold`` of all
-    slots must agree. Equal fingerprints are one node. Only groups of two or more nodes carry
+    Each band is a run of slots (the slots are random, so a band is a random sample of them); widths differ by
+    one at most. Fingerprints that agree in a band are candidates, and every pair of them is verified: at least
+    ``threshold`` of all slots must agree. With more bands than slots that may differ, no near pair is missed. Equal fingerprints are one node. Only groups of two or more nodes carry
     fingerprints along, and groups above ``tile`` nodes are compared tile against tile in several tasks.
     A null id is never the smallest of a class that has another; a null fingerprint has a null class. A column
     ``class_id`` that ``rows`` has already is replaced; one named ``print`` is not allowed.
@@ -255,9 +258,9 @@ def near_classes(
         F.min(F.col(id_column).cast("long")).alias("first_id")
     )
     nodes = materialize(nodes.select(F.unhex(F.md5("print")).alias("node"), "print", "first_id"), "print-nodes")
-    width = F.expr(f"octet_length(print) div {bands}")
+    ends = [F.expr(f"cast(octet_length(print) * {b} div {bands} as int)") for b in range(bands + 1)]
     cut = [
-        F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("print", F.lit(b) * width + 1, width)).alias("key"))
+        F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("print", ends[b] + 1, ends[b + 1] - ends[b])).alias("key"))
         for b in range(bands)
     ]
     keys = nodes.select("node", F.explode(F.array(*cut)).alias("k")).select("node", "k.band", "k.key")
