@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from visitflow.llm import toxicity
 from visitflow.llm.queries import QUERIES
 from visitflow.llm.toxicity import BUCKETS, GRADES, OrdinalModel, _grades, fit_ordinal, fit_toxicity, keep_clean, sigmoid, toxicity_grades
 
@@ -61,6 +62,19 @@ def test_unlabelled_documents_are_told_apart(spark, made):
     assert kept.columns == made.columns and kept.where("not labelled and toxic = 1").count() == 0
 
 
+def test_repeated_ids_do_not_grow_the_sample(spark, made, monkeypatch):
+    labels = made.where("doc_id < 300").select("doc_id", "toxic")
+    sizes = []
+    copies = made.where("doc_id = 3").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("copy")
+    texts = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("other text "), "id").alias("text"))
+    many = made.unionByName(copies).unionByName(texts, allowMissingColumns=True)
+    with monkeypatch.context() as patch:
+        patch.setattr(toxicity, "materialize", lambda df, name, put=toxicity.materialize: sizes.append((t := put(df, name)).count()) or t)
+        fit_toxicity(made, labels)
+        fit_toxicity(many, labels)
+    assert sizes[0] == 300 and 300 <= sizes[1] <= 299 + toxicity.TEXTS_OF_ID
+
+
 def test_odd_documents(spark, edge_rows, edge_docs, clashing_docs, no_docs, made):
     labels = made.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (1, None), (0, 0)], "doc_id long, toxic int"))
     model = fit_toxicity(made, labels.withColumn("text", F.lit("x")))

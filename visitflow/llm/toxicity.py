@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,9 @@ BUCKETS = 1 << 20
 #: Labelled rows that the model is fitted on, give or take chance; all of them if there are fewer.
 SAMPLE_ROWS = 12_000
 
+#: Different texts of one id in the sample.
+TEXTS_OF_ID = 4
+
 #: Tasks that read the sample: each sums its features before they are sent on.
 SAMPLE_TASKS = 12
 
@@ -150,7 +153,8 @@ def fit_toxicity(
     Null ids, texts and labels are left out. Of several labels of one id the highest counts. Without
     a toxic and a clean text in the sample there is nothing to learn: the model then calls nothing toxic. The sample of
     labels, at most about ``sample_rows`` of a few bytes, is the only thing broadcast; the documents are
-    scanned once and not shuffled, but for the sample's own texts.
+    scanned once and not shuffled, but for the sample's own texts. Rows of one id and text count once, and of the
+    different texts of one id at most ``TEXTS_OF_ID`` do, chosen by hash: the sample stays bounded if ids repeat.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(
@@ -163,6 +167,10 @@ def fit_toxicity(
     sample = (
         texts.where("_label_id is not null and _text is not null")
         .join(F.broadcast(chosen), "_label_id")
+        .withColumn("_print", F.xxhash64("_text"))
+        .dropDuplicates(["_label_id", "_print"])
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("_label_id").orderBy("_print")))
+        .where(F.col("_rank") <= TEXTS_OF_ID)
         .select("_text", "_toxic")
         .repartition(SAMPLE_TASKS)
     )
