@@ -15,6 +15,7 @@ from visitflow.llm.merkle import archive_layout, fixity_audit, warc_record
 from visitflow.llm.packing import pack_documents
 from visitflow.llm.piece_codec import encode_and_decode
 from visitflow.llm.quality import language_references, quality_verdicts
+from visitflow.llm.ranked_search import ranked_search
 from visitflow.llm.reply_trees import conversations_from_trees, linear_replies, read_conversations
 from visitflow.llm.simhash import near_duplicates
 from visitflow.llm.token_shards import token_table, write_token_shards
@@ -175,3 +176,44 @@ def op10_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query
+def op11_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op11_bag_search"] = rf"""
+    with docs as (
+        select row_number() over () as row, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+        from documents),
+    items as (
+        select row_number() over () as item, item_id,
+               unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term
+        from benchmark),
+    total as (select count(*) filter (len(terms) > 0) as docs, cast(sum(len(terms)) as bigint) as terms from docs),
+    held as (
+        select row, term, count(*) as tf
+        from (select row, unnest(terms) as term from docs)
+        where term in (select term from items)
+        group by all),
+    weights as (
+        select term, cast(floor(1000 * ln((2 * any_value(total.docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+        from held, total group by term),
+    lengths as (
+        select row, doc_id, 100 - 90 + (90 * len(docs.terms) * total.docs) // total.terms as m
+        from docs, total where len(docs.terms) > 0),
+    scored as (
+        select item, item_id, row, any_value(doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+        from items join held using (term) join weights using (term) join lengths using (row)
+        group by item, item_id, row)
+    select item_id, cast(row_number() over (partition by item order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+    from scored where score > 0
+    qualify rank <= 10
+"""
