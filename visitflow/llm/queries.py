@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitflow.llm.common import table
+from visitflow.llm.conversation_repair import damaged, repair_reports
 from visitflow.llm.edit_fingerprint import edited_fingerprints, near_classes
 from visitflow.llm.language_id import fit_languages, held_out, identify_languages
+from visitflow.llm.line_dedup import keep_bitmaps, kept_lines, kept_text
 from visitflow.llm.merkle import archive_layout, fixity_audit, warc_record
 from visitflow.llm.packing import pack_documents
 from visitflow.llm.piece_codec import encode_and_decode
@@ -217,3 +219,37 @@ ORACLES["op11_bag_search"] = rf"""
     from scored where score > 0
     qualify rank <= 10
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after a stated damage of its rows."""
+    return repair_reports(damaged(table(spark, sf_dir, "conversations")), lost="lost")
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, how many are repeated elsewhere, and a digest of those that stay."""
+    found = keep_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        (F.col("n_lines") - kept_lines(F.col("keep"))).alias("n_dropped"),
+        F.sha2(kept_text(F.col("row.text"), F.col("keep")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op13_line_dedup"] = f"""
+    with docs as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    placed as (select row, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as place from docs),
+    keyed as (
+        select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') as key
+        from placed),
+    repeated as (
+        select key, max(doc_id) as last from keyed where length(key) >= 40
+        group by key having count(distinct doc_id) + max(case when doc_id is null then 1 else 0 end) >= 5),
+    told as (select keyed.*, repeated.key is not null and doc_id is distinct from last as dropped from keyed left join repeated using (key))
+    select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by place) filter (not dropped), '')) as kept_sha256
+    from told group by row
+"""
