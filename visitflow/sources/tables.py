@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from visitflow.functions.numbers import text_to_long
 from visitflow.operators.clean import ID_COLUMNS
+from visitflow.sources.records import REASON, bad_records, only_good, read_records
 
 ROWS_PER_FILE = 500_000
 FOOTER_READERS = 16
@@ -56,26 +57,40 @@ def read_sessions_csv(
 ) -> DataFrame:
     """Raw sessions by column name; identifiers keep their leading zeros.
 
-    Every cell is read as text, without an inference pass. ``multi_line`` makes
-    one task per file: set it only when cells contain line breaks.
+    Every cell is read as text, without an inference pass. A record whose fields are not those of
+    the header, or whose quotes are open, is an error when it is read, which names the file and the record;
+    :func:`split_sessions_csv` keeps such records apart instead. ``multi_line`` makes one task per file: set
+    it only when cells contain line breaks.
     """
+    names, rows = read_records(spark, path, multi_line)
+    return _session_cells(only_good(rows, multi_line), names, long_columns, id_columns)
+
+
+def split_sessions_csv(
+    spark: SparkSession,
+    path: str,
+    multi_line: bool = False,
+    long_columns: list[str] | None = None,
+    id_columns: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Good sessions, as :func:`read_sessions_csv` gives them, and ``(file, record, reason)`` of the bad records."""
+    names, rows = read_records(spark, path, multi_line)
+    good = rows.where(F.col(REASON).isNull())
+    return _session_cells(good, names, long_columns, id_columns), bad_records(rows)
+
+
+def _session_cells(
+    rows: DataFrame, names: list[str], long_columns: list[str] | None, id_columns: list[str] | None
+) -> DataFrame:
     ids = ID_COLUMNS if id_columns is None else id_columns
     longs = LONG_COLUMNS if long_columns is None else long_columns
-    texts = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
     cells = []
-    for name in texts.columns:
-        c = F.col(f"`{name}`")
+    for i, name in enumerate(names):
+        c = F.col(f"cells.c{i}")
         if name not in ids:
             c = F.when(~c.isin(MISSING_TOKENS), c)
         cells.append((text_to_long(c) if name in longs else c).alias(name))
-    return texts.select(*cells)
+    return rows.select(*cells)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
