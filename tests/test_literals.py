@@ -31,6 +31,10 @@ def expected(cell):
             raise TypeError
         if isinstance(v, list):
             return [plain(x) for x in v]
+        if isinstance(v, int) and abs(v) >= 10**38:
+            raise TypeError  # more digits than DECIMAL holds
+        if isinstance(v, str):
+            v.encode()  # half of a surrogate pair is no text
         return str(v) if isinstance(v, tuple) else v
 
     try:
@@ -46,11 +50,15 @@ FORMS = [
     "[1., .5, 1e5, 1E-3, +4, -7, 00]", "[{1: 'a', 2.5: 'b'}]", "[{'k': 1, 'k': 2}]", "[[1, 2,], {'a': 1,},]", "['tab\there']",
     "[\n  {'a': True,\n   'b': None}\n]", "['x: True, y', \"it's None\", True]", "[True,False]", "[ ]", "[[], {}]",
     "['é日🙂', ' ']", "[',]', '}', '[', 1]", "[-1, - 2]", "['a\"b', \"c'd\"]",
+    "[0xffffffffffffffffffff, 0XDEAD_BEEF, 0x0, -0x1F]", f"[0b{'1' * 66}, 0b0, 0o{'7' * 30}, 0x{'0' * 80}1]", r"['\U0010FFFF\U0000d7ff\ue000\777']",
+    f"[{'9' * 38}, -{'9' * 38}, 1{'0' * 37}]",
 ]
 
 REJECTED = [
     "", " ", "[1 2]", "[01]", "[1__0]", "[,]", "[1,,2]", "{,}", "[1] [2]", "[1]], [[2]", "[1", "1]", "[']", "['a\nb']", "[true]", "[nan]",
     "({'a': 1},)", "{'a': 1}", "3", "[a]", "['a' 1]", "[None None]", "['x' : 1]", "[{'a' 1}]", "[\\n]", "[{'a', 1}]", "[1]}, {'x':[2]",
+    r"['\U00110000']", r"['\UFFFFFFFF']", r"['\ud800']", r"['\uDFFF']", r"['\U0000dABc']", f"[{'9' * 42}]", f"[1{'0' * 38}]", f"[0x{'f' * 40}]",
+    f"[0b{'1' * 200}]", f"[0o{'7' * 3000}]", "[0x]", "[0b2]", r"['\U0011000']",
 ]
 
 
@@ -71,7 +79,7 @@ def some_value(draw, depth=0):
     if kind == "text":
         return "".join(draw.choices("ab'\"\\ \n\t,:[]{}é日🙂\x07TrueNone", k=draw.randrange(8)))
     if kind == "number":
-        return draw.choice([0, -3, 12, 1.5, -2e-3, 10**12])
+        return draw.choice([0, -3, 12, 1.5, -2e-3, 10**12, 10**37 + 1, draw.choice([10**38, -(10**41)])])
     if kind == "word":
         return draw.choice([True, False, None])
     if kind == "list":
@@ -83,6 +91,23 @@ def some_key(draw):
     return draw.choice(["a", "b c", "it's", "x\\y", 7])
 
 
+def some_token(draw):
+    """A number in another base, or a text of escapes, in and out of range."""
+    if draw.random() < 0.5:
+        base, digits = draw.choice([("0x", "0123456789abcdefABCDEF_"), ("0o", "01234567_"), ("0b", "01_")])
+        return draw.choice(["", "-"]) + base + "".join(draw.choices(digits, k=draw.choice([0, 1, 5, 17, 20, 33, 66, 130])))
+    escapes = [f"\\U{draw.choice([0x41, 0x10FFFF, 0x110000, 0xD800, 0xFFFFFFFF]):08x}", f"\\u{draw.choice([0x41, 0xD83D, 0xDE00, 0xE000]):04x}", "\\x4", "\\x41"]
+    return "'" + "".join(draw.choices([*escapes, "a"], k=draw.randrange(4))) + "'"
+
+
+def test_random_tokens_never_fail(spark):
+    draw = random.Random(12)
+    cells = ["[" + ", ".join(some_token(draw) for _ in range(draw.randrange(1, 4))) + "]" for _ in range(500)]
+    wanted = [expected(c) for c in cells]
+    assert read(spark, cells) == wanted
+    assert 100 < wanted.count(None) < 400
+
+
 def test_random_literals_and_damaged_ones(spark):
     draw = random.Random(11)
     cells = [repr([some_value(draw) for _ in range(draw.randrange(4))]) for _ in range(400)]

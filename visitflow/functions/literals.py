@@ -23,11 +23,14 @@ QUOTED = r"""'[^']*+'|"[^"]*+\""""
 # What a plain cell has none of: escapes and control characters.
 NOT_PLAIN = r"[\\\x00-\x1f]"
 NESTING = 6
+# Digits that DECIMAL holds; a whole number of more is not read, since VARIANT would round it.
+MOST_DIGITS = 38
 
 
 def _plain_value(depth: int) -> str:
     """Pattern of a value whose quoted texts are written q, and whose numbers JSON writes the same way."""
-    scalar = r"q|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.])|(?:True|False|None)(?!\w)"
+    whole = rf"0|[1-9][0-9]{{0,{MOST_DIGITS - 1}}}+(?![0-9])"
+    scalar = rf"q|-?(?:{whole})(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.])|(?:True|False|None)(?!\w)"
     if not depth:
         return rf"(?:{scalar})"
     inner = _plain_value(depth - 1)
@@ -104,6 +107,11 @@ def swap_keyword(c: Column, outline: Column, text: Column, word: str) -> Column:
     )
 
 
+# Escapes that stand for no character: cut ones, code points past the last, and halves of a surrogate pair. A named
+# character would need the table of names.
+NO_CHARACTER = r"^\\(?:[xuUN]$|U(?!000[0-9a-fA-F]|0010)|(?:u|U0000)[dD][89a-fA-F])"
+
+
 def _code_point(hexadecimal: Column) -> Column:
     return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
 
@@ -113,7 +121,7 @@ def _unescaped(part: Column) -> Column:
     code = F.substring(part, 2, 1)
     simple = F.create_map(*[F.lit(x) for pair in SIMPLE_ESCAPES.items() for x in pair])
     return (
-        F.when(~part.startswith("\\"), part)
+        F.when(~part.startswith("\\") | part.rlike(NO_CHARACTER), part)
         .when(code.rlike("[0-7]"), _code_point(F.conv(F.substring(part, 2, 3), 8, 16)))
         .when(code.isin("x", "u", "U") & (F.length(part) > 2), _code_point(F.substring(part, 3, 8)))
         .when(code.isin("\r", "\n"), F.lit(""))
@@ -134,25 +142,41 @@ def _text_json(token: Column) -> Column:
     value = F.when(token.rlike("^[rR]"), body).otherwise(
         F.array_join(F.transform(parts, _unescaped), "")
     )
-    # A cut escape is an error in Python; a named character would need the table of names.
-    unreadable = ~token.rlike("^[rR]") & F.arrays_overlap(parts, F.array(*[F.lit(f"\\{c}") for c in "xuUN"]))
+    unreadable = ~token.rlike("^[rR]") & F.exists(parts, lambda part: part.rlike(NO_CHARACTER))
     marked = F.concat(F.lit(OPEN_TEXT), _json_text(value), F.lit(CLOSE_TEXT))
     return F.when(unreadable, F.lit(NO_TOKEN)).otherwise(marked)
 
 
+def _whole_number(digits: Column, base: int, width: int) -> Column:
+    """Decimal digits of a whole number in another base; null past :data:`MOST_DIGITS`.
+
+    Summed up ``width`` digits at a time, each of which fits 32 bits, with additions that give null where they overflow.
+    """
+    decimal = f"decimal({MOST_DIGITS},0)"
+    length = (F.ceil(F.length(digits) / width) * width).cast("int")
+    pieces = F.regexp_extract_all(F.lpad(digits, length, F.lit("0")), F.lit(f".{{{width}}}"), F.lit(0))
+    scale = F.lit(base**width).cast("decimal(11,0)")
+
+    def step(total: Column, piece: Column) -> Column:
+        return F.try_add(F.try_multiply(total, scale), F.conv(piece, base, 10).cast("decimal(11,0)")).cast(decimal)
+
+    return F.aggregate(pieces, F.lit(0).cast(decimal), step).cast("string")
+
+
 def _number_json(token: Column) -> Column:
     digits = F.replace(token, F.lit("_"), F.lit(""))
-    base = F.substring(digits, 2, 1)
+    base, rest = F.substring(digits, 2, 1), F.substring(digits, 3, 2**31 - 1)
+    plain = F.regexp_replace(F.regexp_replace(digits, r"^\.", "0."), r"\.(?![0-9])", ".0")
     number = (
-        F.when(base.isin("x", "X"), F.conv(F.substring(digits, 3, 64), 16, 10))
-        .when(base.isin("o", "O"), F.conv(F.substring(digits, 3, 64), 8, 10))
-        .when(base.isin("b", "B"), F.conv(F.substring(digits, 3, 64), 2, 10))
-        .otherwise(F.regexp_replace(F.regexp_replace(digits, r"^\.", "0."), r"\.(?![0-9])", ".0"))
+        F.when(base.isin("x", "X"), _whole_number(rest, 16, 8))
+        .when(base.isin("o", "O"), _whole_number(rest, 8, 10))
+        .when(base.isin("b", "B"), _whole_number(rest, 2, 32))
+        .otherwise(F.regexp_replace(plain, "^0+(?=[0-9])", ""))
     )
-    wrong = token.rlike(r"^0[0-9_]*[1-9][0-9_]*$|__|_$|_[.eE]|[.]_")
-    number = F.regexp_replace(number, "^0+(?=[0-9])", "")
+    wrong = token.rlike(r"^0[0-9_]*[1-9][0-9_]*$|__|_$|^(?!0[xX]).*(?:_[.eE]|[.]_)")
+    large = number.rlike(f"^[0-9]{{{MOST_DIGITS + 1},}}$")
     marked = F.concat(F.lit(OPEN_NUMBER), number, F.lit(CLOSE_NUMBER))
-    return F.when(wrong, F.lit(NO_TOKEN)).otherwise(marked)
+    return F.when(wrong | large | number.isNull(), F.lit(NO_TOKEN)).otherwise(marked)
 
 
 def _token_json(token: Column) -> Column:
@@ -193,7 +217,8 @@ def tokens_json(c: Column) -> Column:
 
     Read are escapes, raw texts, texts side by side, all number forms, keys that are numbers, trailing
     commas, and tuples of scalars, which become their text as it is written. Not read are named
-    characters, sets, bytes, complex numbers, other keys, and tuples with brackets inside.
+    characters, halves of surrogate pairs, whole numbers of more than 38 digits, sets, bytes, complex numbers,
+    other keys, and tuples with brackets inside.
     """
     tokens = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 

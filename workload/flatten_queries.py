@@ -413,7 +413,17 @@ DIRTY = [
     ("({'value': 'no list'},)", "", '{"a":"x"}], [{"a":"y"}', ""),
     ("[{'value': 'cut", "", "[1]", ""),
     (" ", "", "", ""),
+    ("[{'value': 0xfFfFfFfFfFfFfFfFfFfF}]", "1208925819614629174706175", "{}", ""),
+    (f"[{{'value': 0b{'1' * 66}}}, {{'value': 0o{'7' * 30}}}]", f"{2**66 - 1}, {8**30 - 1}", "", ""),
+    (r"[{'value': '\U0010FFFF \x41'}]", "\U0010ffff A", "", ""),
+    (r"[{'value': 'kept'}, {'value': '\U00110000'}]", "", "", ""),
+    (r"[{'value': '\ud800'}]", "", "", ""),
+    (f"[{{'value': -{'9' * 38}}}]", f"-{'9' * 38}", "", ""),
+    (f"[{{'value': {'9' * 42}}}]", "", "", ""),
+    (f"[{{'value': 0x{'f' * 4000}}}]", "", "", ""),
 ]
+UNPARSED = {"dimensions malformed": [8, 10, 15, 16, 18, 19], "dimensions no_list": [9],
+            "props malformed": [1, 2], "props no_object": [3, 9, 10]}
 
 
 def dirty_cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,16 +454,20 @@ def dirty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_json(read, [Leaf("props", ("a",))])
 
 
-@query(f"""
-    select "column", reason, count(*) as cells
-    from (select unnest(case event_id % {len(DIRTY)}
-              when 1 then ['props malformed'] when 2 then ['props malformed'] when 3 then ['props no_object']
-              when 8 then ['dimensions malformed']
-              when 9 then ['dimensions no_list', 'props no_object']
-              when 10 then ['dimensions malformed', 'props no_object'] end) as r from events),
-         lateral (select split_part(r, ' ', 1) as "column", split_part(r, ' ', 2) as reason)
-    group by all
-""")
+def _unparsed_sql() -> str:
+    kinds = " union all ".join(
+        f"select '{name.split()[0]}' as \"column\", '{name.split()[1]}' as reason, {k} as kind"
+        for name, held in UNPARSED.items()
+        for k in held
+    )
+    return f"""
+        select "column", reason, count(*) as cells
+        from events join ({kinds}) on event_id % {len(DIRTY)} = kind
+        group by all
+    """
+
+
+@query(_unparsed_sql())
 def unparsed_cells_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that give nothing, by column and reason."""
     return unparsed_cells(dirty_cells_of(spark, sf_dir), ["props"], ["dimensions"])
