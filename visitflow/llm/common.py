@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,18 +61,69 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def _character_class(kind: str) -> str:
-    """The characters up to U+024F of a Unicode category, escaped for a character class."""
-    return "".join(f"\\u{i:04x}" for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
-
-
 def _plain_characters() -> str:
     """The characters that texts are split by here, escaped for a character class: their lower case must lie there too."""
     kept = [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x130), *range(0x132, 0x250)]
     return "".join(f"\\u{i:04x}" for i in kept if all(ord(c) in kept for c in chr(i).lower()))
 
 
-_LETTERS, _NUMBERS = _character_class("L"), _character_class("N")
+class Memo:
+    """Ids of texts, made by ``make`` when they are new; kept in flat arrays of at most ``size`` entries.
+
+    Beyond that, entries that were not asked for since the last cut go, so common texts are never made again,
+    however many rare ones pass through.
+    """
+
+    def __init__(self, make: Callable[[str], list[int]], size: int):
+        self._make, self._size = make, size
+        self._clear()
+
+    def _clear(self) -> None:
+        self._known = pa.array([], pa.string())
+        self._sizes, self._ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U32)
+        self._used = np.zeros(0, dtype=bool)
+
+    def _cut(self) -> None:
+        if self._used.all():
+            self._clear()
+            return
+        self._ids = self._ids[np.repeat(self._used, self._sizes)]
+        self._known, self._sizes = self._known.filter(pa.array(self._used)), self._sizes[self._used]
+        self._used = np.zeros(len(self._sizes), dtype=bool)
+
+    def look_up(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(first, size, ids)``: the ids of each of the different ``texts`` are ``ids[first : first + size]``."""
+        if len(self._sizes) > self._size:
+            self._cut()
+        found = pc.index_in(texts, value_set=self._known)
+        new = texts.filter(found.is_null())
+        if len(new):
+            flat: list[int] = []
+            sizes = []
+            for text in new.to_pylist():
+                ids = self._make(text)
+                flat += ids
+                sizes.append(len(ids))
+            self._known = pa.concat_arrays([self._known, new])
+            self._sizes = np.concatenate([self._sizes, np.array(sizes, dtype=np.int64)])
+            self._ids = np.concatenate([self._ids, np.array(flat, dtype=U32)])
+            self._used = np.concatenate([self._used, np.zeros(len(new), dtype=bool)])
+        at = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self._sizes) - len(new), len(self._sizes))
+        self._used[at] = True
+        return (np.cumsum(self._sizes) - self._sizes)[at], self._sizes[at], self._ids
+
+
+#: Kinds of characters that the pre-tokenizer of the vocabulary tells apart.
+_SPACE, _LETTER, _NUMBER, _MARK = range(4)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(0x250, _MARK, dtype=np.uint8)
+    for i in range(0x250):
+        kinds[i] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(i))[0], _MARK)
+    kinds[[*range(0x09, 0x0E), 0x20]] = _SPACE
+    return kinds
 
 
 class WordTokenizer:
@@ -77,63 +131,141 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer never crosses white space, and its normalizer (NFC, lower case)
     works on each side of it alone, so a text's ids are its pieces' ids in a row. Texts of Latin
-    characters are split into pieces here, and the library's model encodes each piece that the memo
-    lacks; words with any other character go to the whole library, word by word. The memo is cleared
-    when it holds ``memo`` entries, so memory stays bounded and results do not depend on it.
+    characters are cut into pieces here, many texts at once, and the library's model encodes each piece that
+    is new; words with any other character go to the whole library, word by word. Memos of about ``memo`` entries a
+    generation hold what was encoded, so memory stays bounded and results do not depend on it.
     """
 
     #: Texts whose NFC form and lower case the library and Python agree on, character by character.
     _PLAIN = re.compile(f"[{_plain_characters()}]*")
-    #: The pre-tokenizer's pattern (fixed value of the vocabulary file) over those characters.
-    _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+    _KINDS = _kinds()
+    #: Endings that the pre-tokenizer's pattern cuts off behind an apostrophe (fixed values of the vocabulary file).
+    _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+    #: Characters of text that are cut at once.
+    CHUNK = 4 << 20
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
-        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._memo = memo
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The symbols that stand for the bytes of each character beyond ASCII; ASCII ones stand for themselves.
+        self._symbols = {i: alphabet.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x250)}
+        self._pieces = Memo(self._piece, memo)
+        self._others = Memo(self._other, memo)
         self.vocabulary_size = max(self._library.get_vocab(with_added_tokens=True).values()) + 1
 
-    def _piece(self, piece: str) -> bytes:
-        """Encode a new piece; the model's alphabet stands for bytes."""
-        symbols = piece if piece.isascii() else self._bytes.pre_tokenize_str(piece)[0][0]
-        ids = np.array([t.id for t in self._model.tokenize(symbols)], dtype=U32).tobytes()
-        self._pieces[piece] = ids
-        return ids
-
-    def _plain(self, text: str) -> bytes:
-        pieces = self._PIECES.findall(text.lower())
-        ids = list(map(self._pieces.get, pieces))
-        if None in ids:
-            known, learn = self._pieces, self._piece
-            ids = [known[p] if p in known else learn(p) for p in pieces]
-        return b"".join(ids)
-
-    def _other(self, word: str) -> bytes:
-        if word not in self._words:
-            ids = self._library.encode(word, add_special_tokens=False).ids
-            self._words[word] = np.array(ids, dtype=U32).tobytes()
-        return self._words[word]
+    def _piece(self, piece: str) -> list[int]:
+        """Encode a new piece; the model's alphabet stands for bytes, and white space has no ids."""
+        if piece[0] <= " ":
+            return []
+        return [t.id for t in self._model.tokenize(piece if piece.isascii() else piece.translate(self._symbols))]
+
+    def _other(self, word: str) -> list[int]:
+        return self._library.encode(word, add_special_tokens=False).ids
 
     def _is_plain(self, text: str) -> bool:
         return bool(self._PLAIN.fullmatch(text)) and "<|" not in text
 
+    def _bounds(self, data: np.ndarray) -> np.ndarray:
+        """Where the pieces, and the white space between them, begin in lower-case bytes; and the end."""
+        kinds = self._KINDS[np.minimum(data, 0x7F)]
+        wide = np.flatnonzero(data >= 0xC0)  # first bytes of two
+        kinds[wide] = self._KINDS[((data[wide].astype(np.int32) & 0x1F) << 6) | (data[wide + 1] & 0x3F)]
+        kinds[wide + 1] = kinds[wide]
+        begins = np.empty(len(data) + 1, dtype=bool)
+        begins[0] = begins[-1] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:-1])
+        begins[np.flatnonzero(kinds == _NUMBER)] = True  # each number alone
+        begins[wide + 1] = False
+        marks = np.flatnonzero(data[:-1] == 0x27)
+        marks = marks[begins[marks] & (kinds[marks + 1] == _LETTER)]  # a lone apostrophe before a letter
+        rest = np.concatenate([data, np.zeros(2, dtype=np.uint8)])
+        for ending in self._ENDINGS:
+            found = marks
+            for i, c in enumerate(ending.encode(), 1):
+                found = found[rest[found + i] == c]
+            begins[found + 1] = False
+            begins[found + 1 + len(ending)] = True
+        return np.flatnonzero(begins)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: pieces are looked up once each, and put in place together."""
+        encoded = [text.lower().encode() for text in texts]
+        joined = b"\n".join(encoded) + b"\n"  # no text is followed by the next one's piece
+        bounds = self._bounds(np.frombuffer(joined, dtype=np.uint8))
+        pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(joined))
+        told = pieces.dictionary_encode()
+        first, size, ids = self._pieces.look_up(told.dictionary)
+        which = told.indices.to_numpy()
+        counts = size[which]
+        after = np.cumsum(counts)
+        at = np.arange(after[-1]) + np.repeat(first[which] - after + counts, counts)
+        found = ids[at].tobytes()
+        ends = np.cumsum([len(e) + 1 for e in encoded])
+        tokens = np.concatenate([[0], after])[np.searchsorted(bounds, np.concatenate([[0], ends]))] * 4
+        return [found[a:b] for a, b in zip(tokens[:-1].tolist(), tokens[1:].tolist(), strict=True)]
+
+    def _whole_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the library has to read whole."""
+        told = pa.array(words, pa.string()).dictionary_encode()
+        first, size, ids = self._others.look_up(told.dictionary)
+        bounds = zip(first.tolist(), (first + size).tolist(), strict=True)
+        found = [ids[a:b].tobytes() for a, b in bounds]
+        return [found[i] for i in told.indices.to_pylist()]
+
+    def _parts(self, text: str) -> list[str]:
+        """The text, cut at white space into parts of about a chunk."""
+        if len(text) <= self.CHUNK:
+            return [text]
+        space = re.compile(r"\s")
+        parts, at = [], 0
+        while at < len(text):
+            cut = space.search(text, at + self.CHUNK)
+            end = cut.start() if cut else len(text)
+            parts.append(text[at:end])
+            at = end
+        return parts
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of UTF-8 texts."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if waiting:
+                for (i, _), ids in zip(waiting, self._plain([t for _, t in waiting]), strict=True):
+                    out[i].append(ids)
+                waiting.clear()
+                size = 0
+
+        for i, text in enumerate(texts):
+            whole = text.decode()
+            if self._is_plain(whole):
+                for part in self._parts(whole):
+                    waiting.append((i, part))
+                    size += len(part)
+                    if size >= self.CHUNK:
+                        flush()
+                continue
+            # Bytes split at ASCII white space only, which every Unicode definition agrees on.
+            words = [word.decode() for word in text.split()]
+            plain = [self._is_plain(w) for w in words]
+            for _, run in itertools.groupby(zip(plain, words, strict=True), key=lambda pair: pair[0]):
+                pairs = list(run)
+                if pairs[0][0]:
+                    out[i] += self._plain([" ".join(w for _, w in pairs)])
+                else:
+                    out[i] += self._whole_words([w for _, w in pairs])
+        flush()
+        return [b"".join(parts) for parts in out]
+
     def encode(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of a UTF-8 text."""
-        if len(self._pieces) + len(self._words) > self._memo:
-            self._pieces.clear()
-            self._words.clear()
-        whole = text.decode()
-        if self._is_plain(whole):
-            return self._plain(whole)
-        # Bytes split at ASCII white space only, which every Unicode definition agrees on.
-        words = [word.decode() for word in text.split()]
-        return b"".join([self._plain(w) if self._is_plain(w) else self._other(w) for w in words])
+        return self.encode_all([text])[0]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -144,3 +276,22 @@ def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
+
+
+def encoded_documents(
+    batches: Iterator[pa.RecordBatch], tokenizer: WordTokenizer, end_id: int
+) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Keys and 32-bit ids, with the end id, of rows of a key and a text; about a chunk of text at a time, in order."""
+    end = np.array([end_id], dtype=U32).tobytes()
+    keys: list[int | None] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+            if size >= tokenizer.CHUNK:
+                yield [(k, ids + end) for k, ids in zip(keys, tokenizer.encode_all(texts), strict=True)]
+                keys, texts, size = [], [], 0
+    yield [(k, ids + end) for k, ids in zip(keys, tokenizer.encode_all(texts), strict=True)]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import U32, bounded_batches, text_or_empty, utf8, word_tokenizer
+from visitflow.llm.common import bounded_batches, encoded_documents, text_or_empty, word_tokenizer
 
 WINDOW = 4096
 
@@ -156,16 +156,15 @@ def pack_documents(
     ``tokenizer`` is the path of a vocabulary file that the workers can open. A null or empty text has
     the end id alone. A null or repeated id is carried along, each row being a document of its own. An
     empty table gives no rows. Other columns are not read, so their names cannot clash. Sequence ids
-    hold the task's number above 32 bits: they are unique, not gapless. Memory: one Arrow batch, one
-    document's ids and ``max_open`` windows a task. A task that runs again packs the same rows the
+    hold the task's number above 32 bits: they are unique, not gapless. Memory: a chunk of texts of 4 MB, one
+    document's ids and ``max_open`` windows a task. Beyond ``max_open`` open windows, which takes as many fill levels in
+    use at once, documents are cut to fill windows up; that costs cuts, and no padding. A task that runs again packs the same rows the
     same way, if its input comes in the same order, as a scan's does.
     """
     bounded_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = SumOfSquaresPacker(window, max_open)
-        encode = word_tokenizer(tokenizer).encode
-        end = np.array([end_id], dtype=U32).tobytes()
         sequence_id = TaskContext.get().partitionId() << 32
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -183,9 +182,9 @@ def pack_documents(
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                packer.add(key, encode(text) + end)
+        for documents in encoded_documents(batches, word_tokenizer(tokenizer), end_id):
+            for key, ids in documents:
+                packer.add(key, ids)
             yield from rows()
         packer.finish()
         yield from rows()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import U32, bounded_batches, text_or_empty, utf8, word_tokenizer
+from visitflow.llm.common import U32, bounded_batches, encoded_documents, text_or_empty, word_tokenizer
 from visitflow.session import materialize
 
 MAGIC = b"VFT1"
@@ -172,13 +172,11 @@ def write_token_shards(
         part, number = TaskContext.get().partitionId(), 0
         library = word_tokenizer(tokenizer)
         width = 2 if max(library.vocabulary_size - 1, end_id) < 1 << 16 else 4
-        end = np.array([end_id], dtype=U32).tobytes()
         keys: list[int | None] = []
         documents: list[bytes] = []
         held = 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = library.encode(text) + end
+        for encoded in encoded_documents(batches, library, end_id):
+            for key, ids in encoded:
                 keys.append(key)
                 documents.append(ids)
                 held += len(ids) // 4
