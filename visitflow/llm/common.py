@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -55,6 +56,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Hadoop, whatever its scheme."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

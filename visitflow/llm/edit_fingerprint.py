@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import bounded_batches, text_or_empty
+from visitflow.llm.common import bounded_batches, release_shuffles, text_or_empty
 from visitflow.llm.components import connected_components
 from visitflow.session import materialize
 
@@ -129,16 +129,16 @@ class _Document:
         digest.update(put.encode())
         edited = self.walk.read(self.middle, self.walk.characters(put))[1].tobytes()
         return (
-            self.key, len(self.text), digest.hexdigest(), self.print, edited,
+            self.key, len(self.text), digest.digest(), self.print, edited,
             likeness(self.print, edited), likeness(self.print, following.print),
         )
 
 
 ROW_SCHEMA = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
-ROW_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+ROW_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def edited_fingerprints(
@@ -186,6 +186,7 @@ def edited_fingerprints(
         .mapInArrow(neighbours, f"{ROW_SCHEMA}, part long, edge string, edge_text string")
     )
     found = materialize(found, "edit-fingerprints")
+    release_shuffles(docs.sparkSession)  # the texts are sorted and read; nothing later needs them
 
     # Two rows a task: which task follows which, then the texts of the two that meet.
     firsts = found.where("edge = 'first'").select("part")
@@ -213,7 +214,8 @@ def edited_fingerprints(
                     [pa.array(c, k) for c, k in zip(zip(*out, strict=True), ROW_KINDS, strict=True)], names[:7]
                 )
 
-    return found.where("edge is null").select(*names[:7]).union(edges.mapInArrow(meet, ROW_SCHEMA))
+    rows = found.where("edge is null").select(*names[:7]).union(edges.mapInArrow(meet, ROW_SCHEMA))
+    return rows.withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
 
 
 def _group_links(prints: np.ndarray, others: np.ndarray | None, least: int) -> list[tuple[int, int]]:
@@ -249,38 +251,45 @@ def near_classes(
 
     Each band is a run of slots (the slots are random, so a band is a random sample of them); widths differ by
     one at most. Fingerprints that agree in a band are candidates, and every pair of them is verified: at least
-    ``threshold`` of all slots must agree. With more bands than slots that may differ, no near pair is missed. Equal fingerprints are one node. Only groups of two or more nodes carry
-    fingerprints along, and groups above ``tile`` nodes are compared tile against tile in several tasks.
-    A null id is never the smallest of a class that has another; a null fingerprint has a null class. A column
-    ``class_id`` that ``rows`` has already is replaced; one named ``print`` is not allowed.
+    ``threshold`` of all slots must agree. With more bands than slots that may differ, no near pair is missed. Equal
+    fingerprints are one node. Near fingerprints agree in many bands: groups of the same nodes, told by two sums of
+    hashes, are verified once. Only groups of two or more nodes carry fingerprints along, and groups above
+    ``tile`` nodes are compared tile against tile in several tasks. A null id is never the smallest of a class that has
+    another; a null fingerprint has a null class. A column ``class_id`` that ``rows`` has already is replaced; one
+    named ``print`` is not allowed.
     """
     nodes = rows.where(F.col(print_column).isNotNull()).groupBy(F.col(print_column).alias("print")).agg(
         F.min(F.col(id_column).cast("long")).alias("first_id")
     )
-    nodes = materialize(nodes.select(F.unhex(F.md5("print")).alias("node"), "print", "first_id"), "print-nodes")
+    # Numbered once, in the written table, so that rows of bands are two numbers.
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "first_id"), "print-nodes")
     ends = [F.expr(f"cast(octet_length(print) * {b} div {bands} as int)") for b in range(bands + 1)]
-    cut = [
-        F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("print", ends[b] + 1, ends[b + 1] - ends[b])).alias("key"))
-        for b in range(bands)
-    ]
-    keys = nodes.select("node", F.explode(F.array(*cut)).alias("k")).select("node", "k.band", "k.key")
-    groups = keys.groupBy("band", "key").count().where("count > 1")
+    cut = [F.xxhash64(F.lit(b), F.substring("print", ends[b] + 1, ends[b + 1] - ends[b])) for b in range(bands)]
+    keys = nodes.select("node", F.explode(F.array(*cut)).alias("key"))
+    shared = keys.groupBy("key").count().where("count > 1")
+    held = keys.join(shared, "key")
+    sets = held.groupBy("key").agg(
+        F.first("count").alias("count"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(1), F.col("node"))).alias("two"),
+    )
+    groups = sets.groupBy("count", "one", "two").agg(F.min("key").alias("key")).select("key")
     tiles = F.ceil(F.col("count") / tile).cast("int")
     members = (
-        keys.join(groups, ["band", "key"])
+        held.join(groups, "key")
         .withColumn("tiles", tiles)
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .join(nodes.select("node", "print"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
-            "band", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+            "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
             (F.col("mine") > F.col("other")).alias("second"), "node", "print",
         )
     )
-    place = ["band", "key", "low", "high"]
+    place = ["key", "low", "high"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, bool]] = []
+        held: list[tuple[int, bytes, bool]] = []
         group = None
 
         def links() -> Iterator[pa.RecordBatch]:
@@ -289,16 +298,16 @@ def near_classes(
             prints = np.frombuffer(b"".join(p for _, p, _ in held), np.uint8).reshape(len(held), -1)
             first = sum(not s for _, _, s in held)
             least = int(np.ceil(threshold * prints.shape[1] - 1e-9))
-            apart = group[2] != group[3]
+            apart = group[1] != group[2]
             found = _group_links(prints[:first], prints[first:] if apart else None, least)
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([held[k][0] for k in side], pa.binary()) for side in zip(*found, strict=True)], ["a", "b"]
+                    [pa.array([held[k][0] for k in side], pa.int64()) for side in zip(*found, strict=True)], ["a", "b"]
                 )
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for key, second, node, print_ in zip(zip(*columns[:4], strict=True), *columns[4:], strict=True):
+            for key, second, node, print_ in zip(zip(*columns[:3], strict=True), *columns[3:], strict=True):
                 if key != group:
                     yield from links()
                     held, group = [], key
@@ -309,7 +318,7 @@ def near_classes(
         members.repartition(*place)
         .sortWithinPartitions(*place, "second", "node")
         .select(*place, "second", "node", "print")
-        .mapInArrow(verify, "a binary, b binary")
+        .mapInArrow(verify, "a long, b long")
     )
     roots = connected_components(materialize(found, "print-links"))
     joined = nodes.join(roots, "node", "left").select("print", "first_id", F.coalesce("root", "node").alias("root"))
