@@ -11,6 +11,7 @@ from visitflow.operators.encode import (
     category_label,
     clamp_index,
     encode_categories,
+    hot_index,
     join_index,
     one_hot,
 )
@@ -112,6 +113,39 @@ def test_vocabulary(spark):
     assert [r["c"] for r in joined.orderBy("i").collect()] == [0, 0, 0, 2, 4, 4, 4, 1, 3]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_join_finds_exact_before_stripped_texts(spark, broadcast):
+    table = spark.createDataFrame([("a", 2), (" a", 3), ("b ", 4), ("", 0)], "_value string, _index bigint")
+    texts = ["a", " a", "a ", "b", "b ", " b", None, "nan", "zzz", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string").withColumn("_value", F.lit("kept"))
+    got = join_index(df, "c", table, 9, broadcast, hot=None if broadcast else {"a ": 2, "zzz": 9})
+    assert got.columns == ["i", "c", "_value"]
+    assert [r["c"] for r in got.orderBy("i").collect()] == [2, 3, 2, 9, 4, 9, 0, 0, 9, 0]
+
+
+def test_a_hot_value_fills_no_task(spark):
+    """Nine tenths of the rows hold one value: they are dealt evenly, and only the rest is joined by its text."""
+    table = spark.range(50_000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("_value"), (F.col("id") + 2).alias("_index"))
+    df = spark.range(0, 40_000, 1, 4).select(
+        "id", F.when(F.col("id") % 10 != 0, " v7 ").otherwise(F.concat(F.lit("v"), (F.col("id") * 2).cast("string"))).alias("c")
+    )
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hot = hot_index(df, "c", table, 1)
+        assert hot == {" v7 ": 9}
+        joined = join_index(df, "c", table, 1, hot=hot)
+        sizes = sorted(r["count"] for r in joined.where("c > 0").groupBy(F.spark_partition_id()).count().collect())
+        wrong = joined.where(F.col("c") != F.when(F.col("id") % 10 != 0, 9).when(F.col("id") < 25_000, F.col("id") * 2 + 2).otherwise(1))
+        assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+        assert wrong.count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_vocabulary_takes_fifteen_values_before_leaving_reserved_out(spark):
     counts = {f"v{i:02}": 100 - i for i in range(14)} | {"Unknown": 200, "tail": 1}
     spec = fit_vocabulary(column_of(spark, counts))["columns"]["c"]

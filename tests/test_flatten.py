@@ -171,6 +171,46 @@ def test_key_that_is_scalar_or_object(spark):
     ]
 
 
+def test_maps_stay_text(spark):
+    """Keys that are data are told by their counts: one column of JSON text, whatever their number."""
+    cells = [f'{{"m":{{"u{i}":{i}}},"k":{{"a":1}}}}' for i in range(150)] + ['{"m":{}}', '{"m":"text"}', "{}"]
+    got = flat(spark, cells)
+    assert got[7] == {"p_m": '{"u7":7}', "p_k_a": "1"}
+    assert got[150:] == [{"p_m": "", "p_k_a": ""}, {"p_m": "text", "p_k_a": ""}, {"p_m": "", "p_k_a": ""}]
+    # As many keys, each in several rows, are columns.
+    again = [f'{{"m":{{"u{i % 150}":{i}}}}}' for i in range(300)]
+    assert len(flat(spark, again)[0]) == 150
+    leaf = Leaf("p", ("m",), whole=True)
+    assert Leaf.from_dict(leaf.to_dict()) == leaf and Leaf.from_dict({"source": "p", "path": ["m"]}) == Leaf("p", ("m",))
+
+
+def test_a_cell_of_many_keys(spark, monkeypatch):
+    """200,000 keys in one cell: no name of them reaches the driver."""
+    df = spark.range(3).select(
+        F.concat(
+            F.lit('{"a":{"b":1},"m":{'),
+            F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit('"k'), i.cast("string"), F.lit('":1'))), ","),
+            F.lit("}}"),
+        ).alias("p")
+    )
+    collected = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda frame: collected.append(collect(frame)) or collected[-1])
+    leaves = discover_leaves(df, ["p"])
+    assert leaves == [Leaf("p", ("a", "b")), Leaf("p", ("m",), whole=True)]
+    assert sum(map(len, collected)) < 20
+    assert flatten_json(df, leaves).select(F.length("p_m") > 1_000_000).first()[0]
+
+
+def test_root_that_is_a_map(spark):
+    df = spark.createDataFrame([(f'{{"u{i}":{i}}}',) for i in range(120)], "p string")
+    leaves = discover_leaves(df, ["p"])
+    assert leaves == [Leaf("p", (), whole=True)]
+    assert flatten_json(df, leaves).first()["p"] == '{"u0":0}'
+    assert len(discover_leaves(df.limit(90), ["p"])) == 90
+    assert discover_leaves(df.limit(90), ["p"], most_keys=50) == leaves
+
+
 def test_name_collision_is_an_error(spark):
     with pytest.raises(ValueError, match="same column"):
         flat(spark, ['{"a_b":"1","a":{"b":"2"}}'])

@@ -12,6 +12,7 @@ from visitflow.operators.evaluate import (
     visitors_missing,
 )
 from visitflow.operators.model import PREDICTION, DenseLayer, DenseNet, fit_regressor, score, score_dense
+from visitflow.operators.prep import FeaturePrep, apply_prep
 from visitflow.plans.training import train_and_evaluate
 
 
@@ -96,6 +97,28 @@ def test_training(spark, sessions):
     assert report["test", "n"] == result.predictions.count() == 50
 
 
+def test_one_hot_training(spark):
+    """Each category's mean is predicted; wide vocabularies stay sparse; unknown and absent indices are clamped."""
+    rows = [(f"v{i}", f"{i:05}", float(i % 5 * 10 + i % 2), i % 5) for i in range(400)]
+    table = spark.createDataFrame(rows, "fullVisitorId string, visitId string, total_revenue double, c bigint")
+    fit = {"kind": "linear", "tol": 1e-12, "maxIter": 300}
+    result = train_and_evaluate(table, table.withColumn("c", F.when(F.col("c") != 4, F.col("c"))), indices={"c": 5}, **fit)
+    assert result.prep.features == ["c"] and result.left_out == []
+    scored = score(result.model, apply_prep(table, result.prep), floor=False)
+    means = {r[0]: r[1] for r in scored.groupBy("c").agg(F.avg(PREDICTION)).collect()}
+    assert means == pytest.approx({c: c * 10 + 0.5 for c in range(5)}, abs=1e-4)
+    assert "_features" not in scored.columns
+    wide = fit_regressor(table, ["c"], one_hot={"c": 6000}, **fit)
+    assert wide.stages[-1].numFeatures == 6000
+    r2 = regression_metrics(score(wide, table, floor=False), F.col(PREDICTION), F.col("total_revenue")).first()["r2"]
+    assert r2 > 0.99
+    prepared = apply_prep(table.select("visitId", (F.col("c") + 3).alias("c")), result.prep, ["visitId"])
+    assert {r["c"] for r in prepared.collect()} == {3, 4}
+    assert {r["c"] for r in apply_prep(table.drop("c"), result.prep).collect()} == {0}
+    again = FeaturePrep.from_dict(result.prep.to_dict())
+    assert again == result.prep and FeaturePrep.from_dict({"fill": {"x": 0.0}, "mean": {"x": 0.0}, "std": {"x": 1.0}}).indices == {}
+
+
 def test_dense_net(spark):
     rng = np.random.default_rng(7)
 
@@ -123,3 +146,5 @@ def test_dense_net(spark):
             h = np.maximum(h, 0)
         assert got[name] == pytest.approx(net.out_weight @ h + 0.25, rel=1e-4, abs=1e-4)
     assert min(r[PREDICTION] for r in score_dense(df, net, ["id"]).collect()) >= 0
+    absent = {r["id"]: r[PREDICTION] for r in score_dense(df.drop("c"), net, ["id"], floor=False).collect()}
+    assert absent["0"] == got["0"] and absent["5"] == got["5"] and absent["2"] != got["2"]

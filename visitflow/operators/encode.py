@@ -12,6 +12,8 @@ from visitflow.operators.clean import ID_COLUMNS, LABEL
 
 LITERAL_ENTRIES = 256  # larger vocabularies are joined, not written into the plan
 BROADCAST_BYTES = 64 << 20  # of texts and indices, before they are sent to every executor
+HOT_SALTS = 4096  # rows of frequent texts are dealt over so many keys
+SKETCH_ENTRIES, MOST_SKETCH_ENTRIES = 64, 1_000_000  # for each shuffle partition; at most, as Spark's sketch demands
 
 
 def _lookup_text(c: Column) -> Column:
@@ -52,7 +54,9 @@ def encode_categories(df: DataFrame, dictionary: dict) -> DataFrame:
 def _encode_by_join(df: DataFrame, name: str, entries: dict[str, int], others: int) -> DataFrame:
     table = df.sparkSession.createDataFrame(list(entries.items()), "_value string, _index bigint")
     size = sum(len(text.encode()) + 8 for text in entries)
-    return join_index(df, name, table, others, broadcast=size <= BROADCAST_BYTES)
+    if size <= BROADCAST_BYTES:
+        return join_index(df, name, table, others, broadcast=True)
+    return join_index(df, name, table, others, hot=hot_index(df, name, table, others))
 
 
 def fits_broadcast(table: DataFrame) -> bool:
@@ -61,22 +65,60 @@ def fits_broadcast(table: DataFrame) -> bool:
     return (size or 0) <= BROADCAST_BYTES
 
 
+def frequent_texts(df: DataFrame, name: str) -> list[str]:
+    """The texts of a column that may hold more than a share of 1 / (4 * shuffle partitions) of the rows.
+
+    One pass with a sketch of bounded size, which misses none of them; at most 8 for each partition.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = min(SKETCH_ENTRIES * partitions, MOST_SKETCH_ENTRIES)
+    texts = df.select(_lookup_text(F.col(f"`{name}`")).alias("text"))
+    found = texts.agg(
+        F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(text, {min(8 * partitions, tracked)}, {tracked})").alias("top")
+    ).first()
+    return [entry["item"] for entry in found["top"] or [] if entry["count"] * 4 * partitions >= found["rows"]]
+
+
+def hot_index(df: DataFrame, name: str, table: DataFrame, others: int) -> dict[str, int]:
+    """Index of each frequent text of a column, looked up in ``table`` (``_value``, ``_index``)."""
+    texts = frequent_texts(df, name)
+    if not texts:
+        return {}
+    frequent = df.sparkSession.createDataFrame([(t,) for t in texts], "text string").withColumn("stripped", trim_ws(F.col("text")))
+    asked = frequent.select(F.explode(F.array("text", "stripped")).alias("_value")).distinct()
+    found = {r["_value"]: r["_index"] for r in table.join(F.broadcast(asked), "_value").collect()}
+    return {r["text"]: found.get(r["text"], found.get(r["stripped"], others)) for r in frequent.collect()}
+
+
 def join_index(
-    df: DataFrame, name: str, table: DataFrame, others: int, broadcast: bool = False
+    df: DataFrame,
+    name: str,
+    table: DataFrame,
+    others: int,
+    broadcast: bool = False,
+    hot: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Dimension lookup by value: ``table`` has ``_value`` and ``_index``.
+    """Dimension lookup by value: ``table`` has ``_value``, each once, and ``_index``.
 
-    Set ``broadcast`` only for a table of checked size.
+    One join by the stripped text, which finds the entry of the text itself and that of the stripped one. Set
+    ``broadcast`` only for a table of checked size. For a shuffled join pass as ``hot`` the index of frequent texts, as
+    :func:`hot_index` gives it: their rows take it from a literal, and are dealt evenly instead of by text.
     """
-    hint = F.broadcast if broadcast else (lambda t: t)
-    exact = table.select(F.col("_value").alias("_v1"), F.col("_index").alias("_i1"))
-    stripped = table.select(F.col("_value").alias("_v2"), F.col("_index").alias("_i2"))
+    entries = F.map_from_entries(F.collect_list(F.struct("_value", "_index")))
+    keyed = table.groupBy(trim_ws(F.col("_value")).alias("_lookup_key")).agg(entries.alias("_lookup_entries"))
     text = _lookup_text(F.col(f"`{name}`"))
-    joined = df.join(hint(exact), text == F.col("_v1"), "left").join(
-        hint(stripped), trim_ws(text) == F.col("_v2"), "left"
+    key, known = trim_ws(text), F.lit(None).cast("bigint")
+    if hot:
+        known = F.try_element_at(F.from_json(F.lit(json.dumps(hot)), "map<string,bigint>"), text)
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SALTS)).cast("string")
+        key = F.when(known.isNull(), key).otherwise(F.concat(F.lit("\x00"), salt))  # what it finds, if anything, does not count
+    asked = df.withColumns({"_lookup_key": key, "_lookup_known": known})
+    joined = asked.join(F.broadcast(keyed) if broadcast else keyed, "_lookup_key", "left")
+    held = F.col("_lookup_entries")
+    index = F.coalesce(
+        F.col("_lookup_known"), F.try_element_at(held, text), F.try_element_at(held, F.col("_lookup_key")), F.lit(others)
     )
-    index = F.coalesce("_i1", "_i2", F.lit(others)).cast("bigint")
-    return joined.withColumn(name, index).drop("_v1", "_i1", "_v2", "_i2")
+    return joined.withColumn(name, index.cast("bigint")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def category_label(index: Column, index_to_value: dict[str, str]) -> Column:

@@ -6,12 +6,10 @@ then kept as parameters, so flattening itself is one row-local projection.
 
 from __future__ import annotations
 
-import re
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from visitflow.functions.hits import (
     categories_of,
@@ -31,7 +29,8 @@ from visitflow.functions.literals import (
     variant_text,
     variant_type,
 )
-from visitflow.operators.literals import parse_literals
+from visitflow.operators.literals import lost_reasons, observe_reasons, parse_literals
+from visitflow.session import materialize, temporary_tables
 
 # Columns taken over as they are, and columns that hold JSON objects.
 PASS_THROUGH = [
@@ -46,12 +45,19 @@ PASS_THROUGH = [
 JSON_COLUMNS = ["device", "geoNetwork", "totals", "trafficSource"]
 
 
+# An object with more different keys than this over the whole table is a map, not a set of columns; so is one with more than
+# the second number, of which most are in one row only.
+MOST_KEYS = 1000
+MAP_KEYS, SEEN_ONCE = 100, 0.5
+
+
 @dataclass(frozen=True)
 class Leaf:
-    """One flattened column: the path of a value inside a JSON cell."""
+    """One flattened column: the path of a value inside a JSON cell; ``whole`` for a map, which stays JSON text."""
 
     source: str
     path: tuple[str, ...]
+    whole: bool = False
 
     @property
     def column(self) -> str:
@@ -62,7 +68,7 @@ class Leaf:
 
     @staticmethod
     def from_dict(values: dict) -> Leaf:
-        return Leaf(values["source"], tuple(values["path"]))
+        return Leaf(values["source"], tuple(values["path"]), values.get("whole", False))
 
 
 def _json_path(path: tuple[str, ...]) -> str:
@@ -74,81 +80,110 @@ def _json_path(path: tuple[str, ...]) -> str:
     return "$" + "".join(parts)
 
 
-def _as_data_type(variant_schema: str) -> T.DataType:
-    """Type printed by ``schema_of_variant_agg``, read with Spark's own type parser."""
-    pieces = re.split(r"(`(?:[^`]|``)*`)", variant_schema)
-    ddl = "".join(p if p.startswith("`") else p.replace("OBJECT<", "STRUCT<") for p in pieces)
-    return T.DataType.fromDDL(ddl)
+def _entries(objects: DataFrame) -> DataFrame:
+    """``(source, path, value, kind)`` of each entry of ``(source, path, value)`` objects; the path ends with the key."""
+    found = objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("value").outer()).alias("entry"))
+    entries = found.where("entry.key is not null").select(
+        "source", F.array_append("path", F.col("entry.key")).alias("path"), F.col("entry.value").alias("value")
+    )
+    return entries.withColumn("kind", F.regexp_extract(variant_type(F.col("value")), "^[A-Z]+", 0))
+
+
+def key_counts(objects: DataFrame) -> DataFrame:
+    """``(source, path, kind, rows)``: in how many objects each key has a value of each kind; summed in each task first."""
+    return _entries(objects).groupBy("source", "path", "kind").agg(F.count(F.lit(1)).alias("rows"))
+
 
+def objects_in(objects: DataFrame) -> DataFrame:
+    """The objects that are values of ``(source, path, value)`` objects, one level further down."""
+    return _entries(objects).where("kind = 'OBJECT'").select("source", "path", "value")
 
-def _leaves_of(dtype: T.DataType, source: str, path: tuple[str, ...]) -> list[Leaf]:
-    if isinstance(dtype, T.StructType):
-        return [leaf for f in dtype.fields for leaf in _leaves_of(f.dataType, source, (*path, f.name))]
-    return [Leaf(source, path)]
 
+def cell_objects(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(source, path, value)`` of the JSON objects in ``columns``, with an empty path."""
+    allow_equal_keys(df.sparkSession)
+    parsed = df.select(*[parse_json_object(F.col(c)).alias(c) for c in columns])
+    each = [F.struct(F.lit(c).alias("source"), F.col(c).alias("value")) for c in columns]
+    rows = parsed.select(F.explode(F.array(*each)).alias("o")).where("o.value is not null")
+    return rows.select("o.source", F.array().cast("array<string>").alias("path"), "o.value")
+
+
+def _parents(counts: DataFrame) -> DataFrame:
+    """``(source, parent, keys, once)``: number of different keys of the objects at a path, and of those in one object only."""
+    keys = counts.groupBy("source", "path").agg(F.sum("rows").alias("rows"))
+    parent = F.slice("path", 1, F.size("path") - 1)
+    return keys.groupBy("source", parent.alias("parent")).agg(
+        F.count(F.lit(1)).alias("keys"), F.count_if(F.col("rows") == 1).alias("once")
+    )
 
-def _objects_at(v: Column, path: tuple[str, ...]) -> Column:
-    at = F.try_variant_get(v, _json_path(path), "variant") if path else v
-    return F.when(variant_type(at).startswith("OBJECT"), at)
 
+def is_map(keys: int, once: int, most_keys: int = MOST_KEYS) -> bool:
+    """Whether objects with so many different keys, so many of them in one object only, are maps."""
+    return keys > most_keys or (keys > min(MAP_KEYS, most_keys) and once > SEEN_ONCE * keys)
 
-def discover_leaves(df: DataFrame, columns: list[str] | None = None) -> list[Leaf]:
+
+def discover_leaves(
+    df: DataFrame, columns: list[str] | None = None, most_keys: int = MOST_KEYS
+) -> list[Leaf]:
     """All keys seen in the JSON cells of the whole table, in column order.
 
-    A key that is an object in some rows and a scalar in others gives both its
-    own column and the columns of the object; it takes one more pass.
+    Keys are rows, counted in Spark one level of nesting at a time. A map, whose keys are data rather than
+    columns, is told by its counts (:func:`is_map`) and becomes one column of JSON text, so the driver holds
+    at most ``most_keys`` names for each object that is none. A key that is an object in some
+    rows and a scalar in others gives both its own column and the columns of the object.
     """
-    allow_equal_keys(df.sparkSession)
     sources = [c for c in (columns or JSON_COLUMNS) if c in df.columns]
-    parsed = df.select(*[parse_json_object(F.col(c)).alias(c) for c in sources])
-    leaves: dict[tuple, Leaf] = {}
-    open_paths: list[tuple[str, tuple[str, ...]]] = [(c, ()) for c in sources]
-    while open_paths:
-        found = parsed.agg(
-            *[
-                F.schema_of_variant_agg(_objects_at(F.col(c), p)).alias(f"s{i}")
-                for i, (c, p) in enumerate(open_paths)
-            ]
-        ).first()
-        next_paths = []
-        for i, (source, path) in enumerate(open_paths):
-            if found[i] is None:
-                continue
-            dtype = _as_data_type(found[i])
-            if not isinstance(dtype, T.StructType):
-                continue  # no object in any row
-            for f in dtype.fields:
-                for leaf in _leaves_of(f.dataType, source, (*path, f.name)):
-                    leaves[(leaf.source, leaf.path)] = leaf
-            next_paths += [(source, p) for p in _varying_paths(dtype, path)]
-        open_paths = next_paths
-    return _checked(sorted(leaves.values(), key=lambda leaf: leaf.column))
-
-
-def _varying_paths(dtype: T.DataType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
-    if isinstance(dtype, T.StructType):
-        return [p for f in dtype.fields for p in _varying_paths(f.dataType, (*path, f.name))]
-    return [path] if isinstance(dtype, T.VariantType) else []
+    if not sources:
+        return []
+    leaves: set[Leaf] = set()
+    objects = cell_objects(df, sources)
+    while True:
+        with temporary_tables(df.sparkSession):
+            counts = materialize(key_counts(objects), "key-counts")
+            parents = _parents(counts).collect()
+            maps = [(r["source"], r["parent"]) for r in parents if is_map(r["keys"], r["once"], most_keys)]
+            schema = "source string, parent array<string>"
+            named = F.broadcast(df.sparkSession.createDataFrame(maps, schema))
+            parent = F.slice("path", 1, F.size("path") - 1)
+            kept = counts.withColumn("parent", parent).join(named, ["source", "parent"], "left_anti")
+            kinds: dict[tuple, set[str]] = {}
+            for r in kept.select("source", "path", "kind").collect():
+                kinds.setdefault((r["source"], tuple(r["path"])), set()).add(r["kind"])
+        leaves |= {Leaf(source, tuple(path), whole=True) for source, path in maps}
+        # Null says nothing beside an object.
+        leaves |= {Leaf(*at) for at, found in kinds.items() if found - {"OBJECT", "VOID"} or found == {"VOID"}}
+        if not any("OBJECT" in found for found in kinds.values()):
+            break
+        nested = objects_in(objects).withColumn("parent", parent)
+        objects = nested.join(named, ["source", "parent"], "left_anti").drop("parent")
+    return _checked(sorted(leaves, key=lambda leaf: (leaf.column, leaf.whole)))
 
 
 def _checked(leaves: list[Leaf]) -> list[Leaf]:
+    """One leaf for each column; two paths that give one column name are an error.
+
+    A path that holds maps in some rows and scalars in others is one column, which shows both.
+    """
     seen: dict[str, Leaf] = {}
     for leaf in leaves:
-        other = seen.setdefault(leaf.column.lower(), leaf)
-        if other is not leaf:
+        other = seen.get(leaf.column.lower())
+        if other and (other.source, other.path) != (leaf.source, leaf.path):
             raise ValueError(f"{other} and {leaf} give the same column name")
-    return leaves
+        seen[leaf.column.lower()] = leaf  # the whole one comes last
+    return list(seen.values())
 
 
-def leaf_text(at: Column, kind: Column) -> Column:
+def leaf_text(at: Column, kind: Column, whole: bool = False) -> Column:
     """Text of one leaf, given its value and type; absent, null, empty list and object give the empty text.
 
+    With ``whole`` an object gives its JSON text, an empty one the empty text.
     The type is looked up in each row: later data may hold another one here.
     """
     empty_list = (kind == "ARRAY<VOID>") & (variant_text(at) == "[]")
-    empty = kind.isNull() | kind.startswith("OBJECT") | (kind == "VOID") | empty_list
+    none = (kind == "OBJECT<>") if whole else kind.startswith("OBJECT")
+    empty = kind.isNull() | none | (kind == "VOID") | empty_list
     return (
-        F.when(kind == "STRING", variant_text(at))
+        F.when((kind == "STRING") | (kind.startswith("OBJECT") & ~empty), variant_text(at))
         .when(empty, F.lit(""))
         .otherwise(text_of_type(at, kind))
     )
@@ -166,7 +201,7 @@ def _with_leaf_texts(parsed: DataFrame, kept: list[Column | str], leaves: list[L
     found = parsed.select(*kept, *values)
     typed = found.withColumns({f"_kind{i}": variant_type(F.col(f"_at{i}")) for i in range(len(leaves))})
     texts = [
-        leaf_text(F.col(f"_at{i}"), F.col(f"_kind{i}")).alias(leaf.column) for i, leaf in enumerate(leaves)
+        leaf_text(F.col(f"_at{i}"), F.col(f"_kind{i}"), leaf.whole).alias(leaf.column) for i, leaf in enumerate(leaves)
     ]
     return typed.select(*kept, *texts)
 
@@ -241,20 +276,32 @@ def spread_categories(df: DataFrame, width: int, keep_array: bool = False) -> Da
     return spread if keep_array else spread.drop("categories_viewed")
 
 
-def flatten_sessions(df: DataFrame, leaves: list[Leaf], width: int | None = None) -> DataFrame:
-    """One flat row per session; ``width`` None keeps the categories as an array."""
+def flatten_sessions(
+    df: DataFrame, leaves: list[Leaf], width: int | None = None, observation: Observation | None = None
+) -> DataFrame:
+    """One flat row per session; ``width`` None keeps the categories as an array.
+
+    With an ``observation`` the action that reads the result also counts its rows and its lost cells by column and
+    reason (``observed_counts``) and, with a width, the ``sessions_past`` and ``categories_past`` it; nothing is
+    parsed again for that.
+    """
     sources = sorted({*(leaf.source for leaf in leaves), "totals"})
     kept = [c for c in PASS_THROUGH if c in df.columns]
+    literals = {"hits": "_cell", "customDimensions": "_dimensions"}
+    objects = {c: f"_{c}" for c in sources}
     parsed = df.select(
-        *kept,
-        F.col("hits"),
-        F.col("customDimensions"),
-        *[parse_json_object(F.col(c)).alias(f"_{c}") for c in sources],
+        *kept, *literals, *(sources if observation else []), *[parse_json_object(F.col(c)).alias(v) for c, v in objects.items()]
     )
-    parsed = parse_literals(parsed, {"hits": "_cell", "customDimensions": "_dimensions"})
+    parsed = parse_literals(parsed, literals)
+    if observation:
+        parsed = parsed.withColumns({f"_why_{c}": why for c, why in lost_reasons(objects, literals).items()})
     metrics = _hit_metrics(parsed, totals=F.col("_totals")).withColumn(
         "customDimensions", dimension_values(list_or_empty(F.col("_dimensions")))
     )
+    if observation:
+        past = F.greatest(F.col("total_category_viewed") - F.lit(width), F.lit(0)) if width is not None else F.lit(0)
+        more = {"sessions_past": F.count_if(past > 0), "categories_past": F.sum(past)}
+        metrics = observe_reasons(metrics, observation, {c: f"_why_{c}" for c in (*objects, *literals)}, **more)
     measured = ["customDimensions", "total_product_viewed", "average_price_product_viewed",
                 "total_category_viewed", "categories_viewed", "total_revenue"]
     flat = _with_leaf_texts(metrics, [*kept, *measured], leaves)

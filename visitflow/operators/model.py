@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from visitflow.session import shared_folder
 
 PREDICTION = "PredictedLogRevenue"
 SEED = 42
+HOT = "_hot_"  # before the name of a category's sparse vector
+MOST_NORMAL = 4096  # features that Spark solves by normal equations
 NET_BYTES = 512 << 20  # a larger net is no broadcast variable
 
 
@@ -34,17 +36,36 @@ def fit_regressor(
     kind: str = "gbt",
     seed: int = SEED,
     stop_frac: float = 0.1,
+    one_hot: dict[str, int] | None = None,
     **settings: object,
 ) -> PipelineModel:
     """Boosted trees or linear regression on prepared features.
 
     The trees stop early on the last ``stop_frac`` of the *training* rows, so
-    the validation split stays unseen.
+    the validation split stays unseen. ``one_hot`` gives the vocabulary size of index columns (limited to it, as
+    ``apply_prep`` does): each becomes a sparse vector of that size, so wide vocabularies cost what a row holds.
     """
-    assembler = VectorAssembler(inputCols=features, outputCol="_features")
+    sizes = one_hot or {}
+    features = [c for c in features if c not in sizes]
+    # The sizes are known: as metadata, they spare the encoder a pass over the data.
+    train = train.withColumns(
+        {
+            c: F.col(f"`{c}`").cast("double").alias(c, metadata={"ml_attr": {"type": "nominal", "num_vals": size}})
+            for c, size in sizes.items()
+        }
+    )
+    stages = []
+    if sizes:
+        vectors = [f"{HOT}{c}" for c in sizes]
+        stages.append(OneHotEncoder(inputCols=list(sizes), outputCols=vectors, dropLast=False))
+        features = [*features, *vectors]
+    stages.append(VectorAssembler(inputCols=features, outputCol="_features"))
     if kind == "linear":
-        model = LinearRegression(featuresCol="_features", labelCol=label, solver="normal", **settings)
-        return Pipeline(stages=[assembler, model]).fit(train)
+        # The normal equations are dense and limited in width; all values of a category add up to the intercept.
+        wide = sizes or len(features) > MOST_NORMAL
+        options = {"solver": "l-bfgs" if wide else "normal", **settings}
+        model = LinearRegression(featuresCol="_features", labelCol=label, **options)
+        return Pipeline(stages=[*stages, model]).fit(train)
     if kind != "gbt":
         raise ValueError(f"unknown regressor {kind!r}")
     context = train.sparkSession.sparkContext
@@ -60,16 +81,15 @@ def fit_regressor(
         validationIndicatorCol="_stop",
         **options,
     )
-    return Pipeline(stages=[assembler, model]).fit(marked)
+    return Pipeline(stages=[*stages, model]).fit(marked)
 
 
 def score(model: PipelineModel, df: DataFrame, floor: bool = True) -> DataFrame:
     """Add the predicted log revenue; negative predictions become 0 unless asked not to."""
     predicted = F.col("prediction")
-    return (
-        model.transform(df)
-        .withColumn(PREDICTION, floor_at_zero(predicted) if floor else predicted)
-        .drop("prediction", "_features")
+    return model.transform(df).select(
+        *[F.col(f"`{c}`") for c in df.columns if c != PREDICTION],
+        (floor_at_zero(predicted) if floor else predicted).alias(PREDICTION),
     )
 
 
@@ -125,7 +145,8 @@ def score_dense(
 ) -> DataFrame:
     """Score prepared rows with a fitted net, Arrow batch by Arrow batch.
 
-    The net goes to every executor once; only its inputs and ``keep`` reach Python.
+    The net goes to every executor once; only its inputs and ``keep`` reach Python. An index column that
+    is absent counts as 0 in every row, and an index past a table as its last.
     """
     if net.nbytes > NET_BYTES:
         raise ValueError(f"a net of {net.nbytes} bytes is too large to send to every executor")
@@ -145,7 +166,7 @@ def score_dense(
         *[F.col(f"`{c}`") for c in keep],
         *[F.col(f"`{c}`").cast("double").alias(f"_x_{c}") for c in net.numeric],
         *[
-            F.coalesce(F.col(f"`{c}`").cast("bigint"), F.lit(0)).alias(f"_i_{c}")
+            (F.coalesce(F.col(f"`{c}`").cast("bigint"), F.lit(0)) if c in df.columns else F.lit(0)).cast("bigint").alias(f"_i_{c}")
             for c in net.embeddings
         ],
     )

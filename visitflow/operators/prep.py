@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from visitflow.functions.numbers import clip, nan_to_null
 from visitflow.operators.clean import ID_COLUMNS, LABEL
+from visitflow.operators.encode import clamp_index
 from visitflow.operators.order_stats import SORTED_ROWS, exact_quantiles
 
 CLIP = 10.0
@@ -17,15 +18,16 @@ CLIP = 10.0
 
 @dataclass(frozen=True)
 class FeaturePrep:
-    """Fill value, mean and standard deviation of every feature."""
+    """Fill value, mean and standard deviation of every number; vocabulary size of every index, which stays as it is."""
 
     fill: dict[str, float]
     mean: dict[str, float]
     std: dict[str, float]
+    indices: dict[str, int] = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
-        return list(self.fill)
+        return [*self.fill, *self.indices]
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -76,10 +78,20 @@ def medians(
 
 
 def fit_prep(
-    train: DataFrame, features: list[str] | None = None, sorted_rows: int = SORTED_ROWS
+    train: DataFrame,
+    features: list[str] | None = None,
+    sorted_rows: int = SORTED_ROWS,
+    indices: dict[str, int] | None = None,
 ) -> FeaturePrep:
-    """Fill values (median of float columns, 0 else), then mean and population std."""
+    """Fill values (median of float columns, 0 else), then mean and population std.
+
+    ``indices`` gives the vocabulary size of columns that hold category indices; they are neither filled nor scaled.
+    """
+    indices = indices or {}
     names = numeric_features(train)[0] if features is None else features
+    names = [c for c in names if c not in indices]
+    if not names:
+        return FeaturePrep({}, {}, {}, indices)
     floats = [c for c in names if isinstance(train.schema[c].dataType, (T.FloatType, T.DoubleType))]
     centre = medians(train, floats, sorted_rows)
     fill = {c: float(centre.get(c) or 0.0) for c in names}
@@ -90,19 +102,26 @@ def fit_prep(
     mean = {c: float(stats[f"m{i}"] or 0.0) for i, c in enumerate(names)}
     # A constant column is centred only.
     std = {c: float(stats[f"s{i}"] or 1.0) for i, c in enumerate(names)}
-    return FeaturePrep(fill, mean, std)
+    return FeaturePrep(fill, mean, std, indices)
 
 
 def apply_prep(
     df: DataFrame, prep: FeaturePrep, keep: list[str] | None = None, bound: float = CLIP
 ) -> DataFrame:
-    """Align, fill, scale and clip the features; row-local."""
+    """Align, fill, scale and clip the numbers, limit indices to their vocabulary; row-local.
+
+    A number that is absent here is its fill value; an absent or missing index is 0, one past the vocabulary its last.
+    """
     kept = [c for c in ([*ID_COLUMNS, LABEL] if keep is None else keep) if c in df.columns]
+    clamped = [
+        (clamp_index(F.col(f"`{c}`"), size) if c in df.columns else F.lit(0)).cast("bigint").alias(c)
+        for c, size in prep.indices.items()
+    ]
     aligned = df.select(
-        *[F.col(f"`{c}`") for c in kept], *align_columns(df, prep.features, prep.fill)
+        *[F.col(f"`{c}`") for c in kept], *align_columns(df, list(prep.fill), prep.fill), *clamped
     )
     scaled = [
         clip((_filled(c, prep.fill[c]) - F.lit(prep.mean[c])) / F.lit(prep.std[c]), bound).alias(c)
-        for c in prep.features
+        for c in prep.fill
     ]
-    return aligned.select(*[F.col(f"`{c}`") for c in kept], *scaled)
+    return aligned.select(*[F.col(f"`{c}`") for c in kept], *scaled, *[F.col(f"`{c}`") for c in prep.indices])

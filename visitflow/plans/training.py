@@ -32,10 +32,13 @@ def train_and_evaluate(
     max_train: int | None = None,
     label: str = LABEL,
     seed: int = SEED,
+    indices: dict[str, int] | None = None,
     **settings: object,
 ) -> Training:
     """Time split, preparation fitted on the train part, model, evaluation.
 
+    ``indices`` gives the vocabulary size of columns of category indices, which enter the model one-hot.
+
     The prepared train rows are written once, so the iterations of the model
     read a table of features and not the lineage behind it; it is deleted after them.
     """
@@ -43,10 +46,10 @@ def train_and_evaluate(
         train_table = first_rows(train_table, max_train)
     train, validation = time_split(train_table, train_frac)
     features, left_out = numeric_features(train)
-    prep = fit_prep(train, features)
+    prep = fit_prep(train, features, indices=indices)
     with temporary_tables(train_table.sparkSession):
         ready = materialize(apply_prep(train, prep), "train-features")
-        model = fit_regressor(ready, prep.features, label, kind, seed, **settings)
+        model = fit_regressor(ready, prep.features, label, kind, seed, one_hot=prep.indices, **settings)
     validated = score(model, apply_prep(validation, prep), floor=False)
     tested = score(model, apply_prep(test_table, prep))
     return Training(

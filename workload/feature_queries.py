@@ -12,6 +12,7 @@ from visitflow.operators.encode import (
     category_label,
     encode_categories,
     fits_broadcast,
+    hot_index,
     join_index,
     one_hot,
 )
@@ -287,6 +288,22 @@ def encode_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded
 
 
+@query(ENCODED_SQL)
+def encode_by_shuffled_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup as it runs for a vocabulary too large to broadcast: frequent values apart, the rest joined by shuffle."""
+    spec = materialize(vocabulary_spec(category_counts(spark, sf_dir)), "vocabulary")
+    index = materialize(value_index(spec), "vocabulary-index")
+    categories = encoded = category_table(spark, sf_dir)
+    others = {r["column"]: r["others_index"] for r in spec.select("column", "others_index").collect()}
+    for name in CATEGORIES:
+        lookup = index.filter(F.col("column") == name).select(
+            F.col("value").alias("_value"), F.col("index").alias("_index")
+        )
+        hot = hot_index(categories, name, lookup, others[name])
+        encoded = join_index(encoded, name, lookup.hint("merge"), others[name], hot=hot)
+    return encoded
+
+
 @query(f"""
     select p_partkey, case p_type when 0 then '__NONE__' else coalesce(
         (select value from ({WITH_VOCABULARY} select value from kept where "column" = 'p_type' and index = e.p_type)),

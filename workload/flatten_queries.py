@@ -19,9 +19,12 @@ from visitflow.operators.flatten import (
     Leaf,
     add_hit_metrics,
     category_width,
+    cell_objects,
     discover_leaves,
     flatten_json,
     flatten_sessions,
+    key_counts,
+    objects_in,
     spread_categories,
 )
 from visitflow.operators.literals import parse_literals, unparsed_cells
@@ -153,6 +156,36 @@ def flatten_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_json(cells, discover_leaves(cells, ["props", "detail"]))
 
 
+@query("""
+    select unnest(['props', 'props', 'props', 'props']) as source, unnest(['k', 'm', 'm.a', 'n']) as path,
+           unnest(['BIGINT', 'OBJECT', 'BOOLEAN', 'VOID']) as kind, unnest([count(*), count(*), count(*), count(*) filter (event_type = 'view')]) as rows
+    from events
+    union all
+    select 'props', 'n', case event_type when 'click' then 'STRING' when 'purchase' then 'DECIMAL' else 'ARRAY' end, count(*)
+    from events where event_type <> 'view' group by all
+""")
+def key_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each key of JSON cells has a value of each kind, two levels deep."""
+    kind = F.col("event_type")
+    n = F.when(kind == "view", "null").when(kind == "click", '"1"').when(kind == "purchase", "1.5").otherwise("[1]")
+    cell = F.concat(F.lit('{"k":'), F.col("event_id").cast("string"), F.lit(',"m":{"a":true},"n":'), n, F.lit("}"))
+    objects = cell_objects(spread_rows(table(spark, sf_dir, "events")).select(cell.alias("props")), ["props"])
+    inner = objects_in(objects)
+    rows = key_counts(objects).unionByName(key_counts(inner))
+    return rows.select("source", F.array_join("path", ".").alias("path"), "kind", "rows")
+
+
+@query("""
+    select event_id, event_type as cell_kind, '{"u' || event_id || '":' || user_id || '}' as "cell_byUser" from events
+""")
+def map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object whose keys are data is found by its key counts, and stays one column of JSON text."""
+    user = F.concat(F.lit('{"u'), F.col("event_id").cast("string"), F.lit('":'), F.col("user_id").cast("string"), F.lit("}"))
+    cell = F.concat(F.lit('{"kind":"'), F.col("event_type"), F.lit('","byUser":'), user, F.lit("}"))
+    cells = spread_rows(table(spark, sf_dir, "events")).select("event_id", cell.alias("cell"))
+    return flatten_json(cells, discover_leaves(cells, ["cell"]))
+
+
 @query("""
     select c_custkey, case when c_mktsegment = 'BUILDING' then ''
                            when c_mktsegment = 'MACHINERY' then r_name || ', ' || n_name
@@ -467,7 +500,10 @@ def _unparsed_sql() -> str:
     """
 
 
-@query(_unparsed_sql())
+UNPARSED_SQL = _unparsed_sql()
+
+
+@query(UNPARSED_SQL)
 def unparsed_cells_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that give nothing, by column and reason."""
     return unparsed_cells(dirty_cells_of(spark, sf_dir), ["props"], ["dimensions"])

@@ -28,6 +28,7 @@ from visitflow.operators.model import (
 )
 from visitflow.operators.prep import apply_prep, fit_prep, numeric_features, split_features
 from visitflow.operators.split import first_rows, sample_rows, time_split
+from visitflow.operators.vocab import fit_vocabulary, vocab_sizes
 from visitflow.plans.pipeline import FittedPipeline, fit_pipeline, fit_transform
 from visitflow.plans.training import train_and_evaluate
 from visitflow.session import new_table_path
@@ -371,15 +372,18 @@ def _model_sql(coded: list[str], rest: str = "") -> str:
     """
 
 
-def _logs_rounded(features: DataFrame) -> DataFrame:
+def logs_rounded(features: DataFrame) -> DataFrame:
     return features.withColumns({c.strip('"'): F.round(c.strip('"'), 6) for c in LOGGED})
 
 
-@query(_model_sql([*CODED, *SINGLE_VALUED], ", totals_visits"))
+MODEL_INPUT_SQL = _model_sql([*CODED, *SINGLE_VALUED], ", totals_visits")
+
+
+@query(MODEL_INPUT_SQL)
 def model_input_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sessions through the fitted pipeline to the model input, all columns."""
     _, result = fit_transform(event_sessions(spark, sf_dir))
-    return _logs_rounded(result)
+    return logs_rounded(result)
 
 
 @query(_model_sql(CODED))
@@ -388,7 +392,7 @@ def saved_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = event_sessions(spark, sf_dir)
     path = new_table_path(spark, "pipeline")
     fit_pipeline(raw, drop_low_variance=True).save(spark, path)
-    return _logs_rounded(FittedPipeline.load(spark, path).transform(raw))
+    return logs_rounded(FittedPipeline.load(spark, path).transform(raw))
 
 
 @query("""
@@ -538,3 +542,71 @@ def dense_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
     scored = score_dense(lines, small_net(), keys, dtype=np.float64)
     return scored.withColumn(PREDICTION, F.round(PREDICTION, 6))
+
+
+ONE_HOT_SQL = f"""
+    with every as (select e.*, event_type from ({SPLIT_SQL}) e join events on visitId = event_id::varchar),
+         rows as (select * replace (row_number() over (order by visitId) as rn, count(*) over () as n)
+                  from every where visitor % 4 <> 0),
+         fit as (select event_type, avg(total_revenue) as p from rows where rn <= floor(n * 0.9) group by 1),
+         val as (select total_revenue, p from rows join fit using (event_type) where rn > floor(n * 0.9)),
+         visitors as (select fullVisitorId, sum(total_revenue) as a, sum(greatest(p, 0)) as p
+                      from every join fit using (event_type) where visitor % 4 = 0 group by 1)
+"""
+
+
+@query(
+    f"select section, metric, round(value, 4) as value from ({ONE_HOT_SQL}"
+    + _report_sql("validation", "select * from val", "p", "total_revenue")
+    + " union all "
+    + _report_sql("test", "select * from visitors", "p", "a")
+    + ")"
+)
+def one_hot_training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted vocabulary, one-hot into a sparse linear fit: it predicts the mean of each category."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("visitId"), F.col("event_type").alias("kind"))
+    rows = event_rows(spark, sf_dir).select("fullVisitorId", "visitId", "total_revenue", "visitor").join(events, "visitId")
+    dictionary = fit_vocabulary(rows, ["kind"])
+    coded = encode_categories(rows, dictionary)
+    parts = [coded.where(c).drop("visitor") for c in (F.col("visitor") % 4 != 0, F.col("visitor") % 4 == 0)]
+    fit = {"kind": "linear", "indices": vocab_sizes(dictionary), "tol": 1e-12, "maxIter": 500}
+    return train_and_evaluate(*parts, **fit).report.withColumn("value", F.round("value", 4))
+
+
+@query("""
+    with rows as (select event_id, event_type, case when event_type <> 'error' then event_id % 7 end as place, user_id from events),
+         prep as (select avg(user_id) as m, stddev_pop(user_id) as s from rows where event_type <> 'view'),
+         inputs as (select event_id, [[0.5, -0.5], [0.25, 0.125], [-1.0, 2.0], [1.5, 0.5], [0.0, 1.0]][1 + least(4, coalesce(place, 0))] as e,
+                           0.75 as f, greatest(-10, least(10, (user_id - m) / s)) as x from rows, prep),
+         hidden as (select event_id, greatest(0, ((0.5 * e[1] + 0.25 * e[2] + 0.125 * f + 2 * x + 0.1) - 0.5) / sqrt(4 + 1e-5) * 1.5 + 0.05) as h1,
+                           greatest(0, ((-0.5 * e[1] + e[2] + 0.0625 * f - x - 0.2) - 0.25) / sqrt(0.25 + 1e-5) * 0.75 + 0.3) as h2 from inputs)
+    select cast(event_id as string) as "visitId", round(greatest(0, 0.8 * h1 - 0.3 * h2 + 0.4), 6) as "PredictedLogRevenue" from hidden
+""")
+def embedding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preparation of numbers and category indices, one category column absent, into a net with embeddings."""
+    place = F.when(F.col("event_type") != "error", F.col("event_id") % 7)
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("visitId"), "event_type", F.col("user_id").alias("visitor"), place.alias("place")
+    )
+    prep = fit_prep(rows.where("event_type <> 'view'"), ["visitor", "place"], indices={"place": 5, "absent": 3})
+    net = DenseNet(
+        numeric=["visitor"],
+        embeddings={
+            "place": np.array([[0.5, -0.5], [0.25, 0.125], [-1.0, 2.0], [1.5, 0.5], [0.0, 1.0]]),
+            "absent": np.array([[0.75], [9.0], [9.0]]),
+        },
+        layers=[
+            DenseLayer(
+                weight=np.array([[0.5, 0.25, 0.125, 2.0], [-0.5, 1.0, 0.0625, -1.0]]),
+                bias=np.array([0.1, -0.2]),
+                gamma=np.array([1.5, 0.75]),
+                beta=np.array([0.05, 0.3]),
+                running_mean=np.array([0.5, 0.25]),
+                running_var=np.array([4.0, 0.25]),
+            )
+        ],
+        out_weight=np.array([0.8, -0.3]),
+        out_bias=0.4,
+    )
+    scored = score_dense(apply_prep(rows, prep, ["visitId"]), net, ["visitId"], dtype=np.float64)
+    return scored.withColumn(PREDICTION, F.round(PREDICTION, 6))
