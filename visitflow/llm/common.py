@@ -6,6 +6,7 @@ import gc
 import itertools
 import os
 import re
+import time
 import unicodedata
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -57,9 +58,14 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done: it does so once their plans are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs that are done, which it does once their plans are collected as garbage.
+
+    The first collection lets go of what Python and Spark's queues still held, the second of the plans.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
