@@ -261,8 +261,10 @@ def near_classes(
     nodes = rows.where(F.col(print_column).isNotNull()).groupBy(F.col(print_column).alias("print")).agg(
         F.min(F.col(id_column).cast("long")).alias("first_id")
     )
-    # Numbered once, in the written table, so that rows of bands are two numbers.
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "first_id"), "print-nodes")
+    # Numbered once, in the written table, so that rows of bands are two numbers. The hash of a number is as unique, and
+    # in random order: components would take many rounds along chains of ascending ones.
+    number = F.xxhash64(F.monotonically_increasing_id())
+    nodes = materialize(nodes.select(number.alias("node"), "print", "first_id"), "print-nodes")
     ends = [F.expr(f"cast(octet_length(print) * {b} div {bands} as int)") for b in range(bands + 1)]
     cut = [F.xxhash64(F.lit(b), F.substring("print", ends[b] + 1, ends[b + 1] - ends[b])) for b in range(bands)]
     keys = nodes.select("node", F.explode(F.array(*cut)).alias("key"))
