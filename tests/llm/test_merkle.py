@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from visitflow.llm.merkle import archive_layout, fixity_audit, merkle_levels, warc_record
+from visitflow.llm.queries import QUERIES
 
 PAGES = "page_id long, url string, html string, key string, file string, offset string"
 
@@ -24,7 +25,7 @@ def test_layout_is_gapless_and_ordered(spark):
         start.setdefault(r.file, place)
         assert r.file == place // 40_000 and r.offset == place - start[r.file]
         place += r.length
-    record = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Target-URI: http://x/7\r\nContent-Type: text/html\r\n"
+    record = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: http://x/7\r\nContent-Type: text/html\r\n"
     body = "é" * (7 * 37 % 900)
     record = f"{record}Content-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
     assert (len(record), hashlib.sha256(record).hexdigest()) in {(r.length, r.digest) for r in laid}
@@ -67,3 +68,15 @@ def test_equal_and_empty_replicas(spark):
     assert nothing.count() == 0
     assert fixity_audit(nothing, nothing).count() == 0
     assert {r.status for r in fixity_audit(primary, nothing).collect()} == {"missing"}
+
+
+def test_query_with_null_and_repeated_ids(spark, tmp_path):
+    """Null and repeated ids are records of their own: only planted damage is found, each once."""
+    rows = [(k, f"http://x/{k}", "é" * (k % 40)) for k in range(300)]
+    rows += [(None, "a", "b"), (None, "a", "b"), (68, "again", "x"), (68, "again", "x"), (72, "again", "y"), (0, "twice", "z")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(str(tmp_path / "pages.parquet"))
+    found = QUERIES["op3_merkle_fixity"](spark, str(tmp_path)).collect()
+    kinds = {7: "changed", 11: "missing", 17: "changed", 23: "changed", 29: "extra"}
+    expected = [(k, kinds[k % 61]) for k, _, _ in rows if k is not None and k % 61 in kinds]
+    assert sorted((r.page_id, r.status) for r in found) == sorted(expected)
+    assert len({(r.file, r.offset) for r in found}) == len(found)

@@ -24,13 +24,19 @@ RANGE_BYTES = 64 << 10
 FANOUT = 16
 
 
-def warc_record(id_column: str = "page_id", url_column: str = "url", body_column: str = "html") -> Column:
+#: Date of records whose pages say none; the format demands one.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def warc_record(
+    id_column: str = "page_id", url_column: str = "url", body_column: str = "html", date: str = NO_DATE
+) -> Column:
     """A page as a WARC resource record; null urls and bodies are empty, a null id is the word null."""
     body = F.coalesce(F.col(body_column).cast("string"), F.lit(""))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
         F.coalesce(F.col(id_column).cast("string"), F.lit("null")),
-        F.lit(">\r\nWARC-Target-URI: "),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
         F.coalesce(F.col(url_column).cast("string"), F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         F.octet_length(body).cast("string"),
@@ -70,22 +76,25 @@ def running_total(rows: DataFrame, order: list[Column], value: str) -> DataFrame
 
 
 def archive_layout(
-    pages: DataFrame, record: Column, id_column: str = "page_id", file_bytes: int = FILE_BYTES
+    pages: DataFrame, record: Column, id_column: str = "page_id", file_bytes: int = FILE_BYTES, also: dict[str, Column] | None = None
 ) -> DataFrame:
     """``id, file, offset, length, digest`` of each page's record in an archive in ascending order of ids.
 
+    ``also`` gives further columns of the page by name, which go along with its record's place.
+
     Null ids come first; pages of one id go by their record's hash and by their place. A file begins with the first
     record whose place in the archive passes a multiple of ``file_bytes``; a record lies in one file. Records are
     hashed where they are read: the shuffle carries a hash and a length each, no page.
     """
+    also = also or {}
     records = pages.select(
-        F.col(id_column).cast("long").alias("id"), record.cast("binary").alias("record")
-    ).select("id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+        F.col(id_column).cast("long").alias("id"), record.cast("binary").alias("record"), *[c.alias(n) for n, c in also.items()]
+    ).select("id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *also)
     records = records.withColumn("at", F.monotonically_increasing_id())
     placed = running_total(records, [F.col("id").asc_nulls_first(), F.col("digest"), F.col("at")], "length")
     placed = placed.withColumn("file", F.expr(f"before div {file_bytes}")).drop("at")
     starts = placed.groupBy("file").agg(F.min("before").alias("file_start"))
-    return placed.join(starts, "file").select("id", "file", (F.col("before") - F.col("file_start")).alias("offset"), "length", "digest")
+    return placed.join(starts, "file").select("id", "file", (F.col("before") - F.col("file_start")).alias("offset"), "length", "digest", *also)
 
 
 def _parents(nodes: DataFrame, size: int | None) -> DataFrame:

@@ -13,7 +13,7 @@ from visitflow.llm.conversation_repair import damaged, repair_reports
 from visitflow.llm.edit_fingerprint import edited_fingerprints, near_classes
 from visitflow.llm.language_id import fit_languages, held_out, identify_languages
 from visitflow.llm.line_dedup import keep_bitmaps, kept_lines, kept_text
-from visitflow.llm.merkle import archive_layout, fixity_audit, warc_record
+from visitflow.llm.merkle import NO_DATE, archive_layout, fixity_audit, warc_record
 from visitflow.llm.packing import pack_documents
 from visitflow.llm.piece_codec import encode_and_decode
 from visitflow.llm.quality import language_references, quality_verdicts
@@ -53,50 +53,67 @@ def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: A bit turned over in a record's first byte, and a lost record: so the second replica differs.
-TURNED, LOST, OUT_OF = 7, 11, 61
+#: What befalls a page's record in the second replica, by the remainder of its id: a bit of its first byte turned over, the
+#: record lost, its last four bytes cut off, two bytes more, and a record beside it that the first replica does not have.
+TURNED, LOST, SHORTER, LONGER, ADDED, OUT_OF = 7, 11, 17, 23, 29, 61
 
 
 @query
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged records of a replica of all pages, found by descending the trees.
 
-    The replica is the archive of the same pages in which, by page id, some records have one bit turned over and some are lost.
+    The replica holds, at the place of each page's record, the record as its own damage left it. Repeated and null ids
+    are records of their own; a null id is never damaged.
     """
-    primary = materialize(archive_layout(table(spark, sf_dir, "pages"), warc_record()), "archive")
-    kind = F.col("page_id") % OUT_OF
-    pages = table(spark, sf_dir, "pages").where(F.coalesce(kind != LOST, F.lit(True)))
-    record = F.when(kind == TURNED, F.concat(F.lit("w"), F.substring(warc_record(), 2, 2**31 - 1))).otherwise(warc_record())
-    held = pages.select(F.col("page_id").alias("id"), F.sha2(record.cast("binary"), 256).alias("digest"))
-    # What the replica holds at each place of the archive's index.
-    replica = primary.drop("digest").join(held, "id").select("id", "file", "offset", "length", "digest")
-    found = fixity_audit(primary, replica)
+    record, kind = warc_record(), F.coalesce(F.col("page_id") % OUT_OF, F.lit(-1))
+    held = (
+        F.when(kind == TURNED, F.concat(F.lit("w"), F.substring(record, 2, 2**31 - 1)))
+        .when(kind == SHORTER, F.substring(record, F.lit(1), F.char_length(record) - 4))
+        .when(kind == LONGER, F.concat(record, F.lit("\r\n")))
+        .otherwise(record)
+        .cast("binary")
+    )
+    also = {"kind": kind, "held_length": F.octet_length(held).cast("long"), "held_digest": F.sha2(held, 256)}
+    laid = materialize(archive_layout(table(spark, sf_dir, "pages"), record, also=also), "archive")
+    place = ["id", "file"]
+    kept = laid.where(F.col("kind") != LOST).select(*place, "offset", F.col("held_length").alias("length"), F.col("held_digest").alias("digest"))
+    added = laid.where(F.col("kind") == ADDED).select(
+        *place, F.col("offset") + 1, F.lit(5).cast("long"), F.sha2(F.lit("added").cast("binary"), 256)
+    )
+    found = fixity_audit(laid, kept.unionAll(added))
     return found.select(
-        "file", "offset", F.col("id").alias("page_id"), "length", "status", F.col("digest").alias("sha256"),
+        "file", "offset", F.col("id").alias("page_id"), "length", "status", F.coalesce("digest", F.lit("")).alias("sha256"),
         F.coalesce("replica_digest", F.lit("")).alias("replica_sha256"),
     )
 
 
 ORACLES["op3_merkle_fixity"] = f"""
     with records as (
-        select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
-               || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+        select page_id, coalesce(page_id % {OUT_OF}, -1) as kind, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+               || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), 'null') || '>' || chr(13) || chr(10)
+               || 'WARC-Date: {NO_DATE}' || chr(13) || chr(10)
                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
                || 'Content-Type: text/html' || chr(13) || chr(10)
                || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10)
                || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record
         from pages),
-    placed as (
-        select *, octet_length(encode(record)) as length,
-               coalesce(sum(octet_length(encode(record))) over (order by page_id rows between unbounded preceding and 1 preceding), 0)
-                   as place
+    held as (
+        select *, octet_length(encode(record)) as length, sha256(record) as digest,
+               sha256(case kind when {TURNED} then 'w' || substr(record, 2) when {SHORTER} then substr(record, 1, length(record) - 4)
+                                when {LONGER} then record || chr(13) || chr(10) else record end) as held_digest
         from records),
-    filed as (select *, cast(place // {64 << 20} as bigint) as file from placed)
-    select file, cast(place - min(place) over (partition by file) as bigint) as "offset", page_id, cast(length as bigint) as length,
-           case page_id % {OUT_OF} when {LOST} then 'missing' else 'changed' end as status, sha256(record) as sha256,
-           case page_id % {OUT_OF} when {LOST} then '' else sha256('w' || substr(record, 2)) end as replica_sha256
-    from filed
-    qualify page_id % {OUT_OF} in ({TURNED}, {LOST})
+    placed as (
+        select *, coalesce(sum(length) over (order by page_id nulls first, digest rows between unbounded preceding and 1 preceding), 0) as place
+        from held),
+    filed as (
+        select *, cast(place // {64 << 20} as bigint) as file,
+               cast(place - min(place) over (partition by place // {64 << 20}) as bigint) as "offset"
+        from placed)
+    select file, "offset", page_id, cast(length as bigint) as length, case kind when {LOST} then 'missing' else 'changed' end as status,
+           digest as sha256, case kind when {LOST} then '' else held_digest end as replica_sha256
+    from filed where kind in ({TURNED}, {LOST}, {SHORTER}, {LONGER})
+    union all
+    select file, "offset" + 1, page_id, 5, 'extra', '', sha256('added') from filed where kind = {ADDED}
 """
 
 
