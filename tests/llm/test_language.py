@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from visitflow.llm import language_id
@@ -85,3 +86,41 @@ def test_prediction_reads_no_label(spark, sf):
     plain = identify_languages(docs, model).orderBy("doc_id").collect()
     other = identify_languages(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None)), model)
     assert other.orderBy("doc_id").collect() == plain
+
+
+def test_fifty_thousand_language_codes(spark):
+    """Noise in the language column: the codes of the most rows are learned, and no more reach the driver."""
+    rows = [(k, "the cat and the dog", "en") for k in range(40)] + [(k, "le chat et le chien", "fr") for k in range(30)]
+    noise = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("zzz qqq").alias("text"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(noise)
+    model = fit_languages(docs, most_languages=40)
+    assert len(model.languages) == 40 and {"en", "fr"} < set(model.languages)
+    assert [lang for lang, _ in model.predict(["the dog", "le chien"])] == ["en", "fr"]
+
+
+def test_whole_query_against_brute_force(spark, sf):
+    """Model and predictions of the query, from the formula over dictionaries of counts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    counts, texts = {}, {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 or r.lang is None or not r.text:
+            continue
+        buckets = ngrams([r.text])[0].tolist()
+        if buckets:
+            counts.setdefault(r.lang, Counter()).update(buckets)
+            texts[r.lang] = texts.get(r.lang, 0) + 1
+    langs = sorted(counts)
+    totals = {lang: sum(counts[lang].values()) + 0.5 * BUCKETS for lang in langs}
+    found = {r.doc_id: r for r in QUERIES["op2_naive_bayes_language"](spark, sf).collect()}
+    for r in docs[:80]:
+        grams = Counter(ngrams([r.text or ""])[0].tolist())
+        if not grams:
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        logs = [
+            math.log(texts[lang] / sum(texts.values())) + sum(n * math.log((counts[lang][b] + 0.5) / totals[lang]) for b, n in grams.items())
+            for lang in langs
+        ]
+        best = max(logs)
+        assert found[r.doc_id].lang_pred == langs[logs.index(best)]
+        assert found[r.doc_id].score == pytest.approx(1 / sum(math.exp(x - best) for x in logs), abs=1e-6)

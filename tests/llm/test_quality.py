@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import statistics
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from visitflow.llm import quality
 from visitflow.llm.quality import (
@@ -179,3 +181,53 @@ def test_query(spark, sf):
         assert not (r.base_failed and r.kept)
     good = [r for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
     assert np.mean([r.kept for r in good]) > 0.97
+
+
+def test_fifty_thousand_language_codes(spark, monkeypatch):
+    """Codes without evidence are filtered in Spark: only languages with a reference reach the driver."""
+    monkeypatch.setattr(quality, "LANGUAGES_AT_ONCE", 50)
+    draw = random.Random(8)
+    vocabulary = invented(draw, 2000)
+    good = [(k, drawn(draw, vocabulary, 200), "xx") for k in range(60)]
+    text = drawn(draw, vocabulary, 60)
+    noise = spark.range(50_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, text).otherwise("short").alias("text"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("lang")
+    )
+    docs = spark.createDataFrame(good, "doc_id long, text string, lang string").unionByName(noise).repartition(4)
+    references = language_references(docs)
+    assert references.languages == ["xx"]
+    monkeypatch.setattr(quality, "MOST_LANGUAGES", 1)
+    more = docs.unionByName(docs.where("lang = 'xx'").limit(30).withColumn("lang", F.lit("yy")))
+    assert language_references(more).languages == ["xx"]
+
+
+def brute_margin(values, deviations, expected):
+    if not values:
+        return expected
+    middle = statistics.median_low(values)
+    deviation = max(quality.LEAST_DEVIATION, 1.4826 * statistics.median_low(abs(v - middle) for v in values))
+    return (len(values) * (middle + deviations * deviation) + quality.MIN_JUDGED * expected) / (len(values) + quality.MIN_JUDGED)
+
+
+def test_margins_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    references = language_references(docs)
+    by_word, by_class = {}, []
+    for r in docs.collect():
+        metrics = base_metrics(r.text or "")
+        if quality.base_failed(metrics[0], metrics[4]):
+            continue
+        distances, n = references.word_distances(plain_words(r.text)), len(plain_words(r.text))
+        if distances is not None:
+            k = int(distances.argmin())
+            by_word.setdefault(k, []).append(distances[k] - references.by_chance(k, n))
+        found = references.class_distances(r.text)
+        if found is not None:
+            k = int(found[0].argmin())
+            by_class.append(found[0][k] - quality.by_chance(references.classes[k], found[1]))
+    assert references.class_margin == pytest.approx(brute_margin(by_class, 7.0, 0.22), abs=0.01)
+    everything = [v for values in by_word.values() for v in values]
+    for k, margin in enumerate(references.margins):
+        of_all = brute_margin(everything, 3.5, references.expected_margin(k))
+        assert margin == pytest.approx(brute_margin(by_word.get(k, []), 3.5, of_all), abs=0.01)
+    assert len(everything) > 100

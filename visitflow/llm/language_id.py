@@ -28,8 +28,12 @@ SMOOTHING = 0.5
 #: Characters whose n-grams are held at once; longer texts are read in pieces of this length.
 CHUNK = 1 << 18
 
-#: The broadcast matrix may have so many bytes (400 languages).
-MOST_BYTES = 200 << 20
+#: So many languages are learned at most, those of the most rows: a broadcast matrix of 200 MB.
+MOST_LANGUAGES = 400
+
+#: Languages whose counts a task holds before it sends them on, and languages of a batch that are counted in full arrays.
+LANGUAGES_AT_ONCE = 64
+FEW_LANGUAGES = 16
 
 UNDETERMINED = "und"
 
@@ -117,9 +121,14 @@ class LanguageModel:
         return out
 
 
-def fit_languages(docs: DataFrame, text_column: str = "text", language_column: str = "lang") -> LanguageModel:
+def fit_languages(
+    docs: DataFrame, text_column: str = "text", language_column: str = "lang", most_languages: int = MOST_LANGUAGES
+) -> LanguageModel:
     """Learn from every row whose language is not null and whose text has a letter.
 
+    If the column holds more than ``most_languages`` values, those of the most rows are learned, so noise in it costs
+    neither the driver nor the broadcast.
+
     Counts leave a task as (language, bucket, count), summed there first, so the shuffle and the model do not
     grow with the rows but with languages times buckets. No such row gives a model that knows no language.
     """
@@ -127,6 +136,15 @@ def fit_languages(docs: DataFrame, text_column: str = "text", language_column: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for name, counts in sums.items():
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], ["lang", "bucket", "n"]
+                )
+            sums.clear()
+
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             order = {name: k for k, name in enumerate(dict.fromkeys(names))}
@@ -136,29 +154,37 @@ def fit_languages(docs: DataFrame, text_column: str = "text", language_column: s
                 buckets, owners = ngrams(parts)
                 owners = np.asarray(rows)[owners]
                 with_letter[owners] = True
-                found = np.bincount(kinds[owners] * BUCKETS + buckets, minlength=len(order) * BUCKETS)
+                mixed = kinds[owners] * BUCKETS + buckets
+                if len(order) <= FEW_LANGUAGES:
+                    counts = np.bincount(mixed, minlength=len(order) * BUCKETS)
+                    keys = np.flatnonzero(counts)
+                    counts = counts[keys]
+                else:
+                    keys, counts = np.unique(mixed, return_counts=True)
+                edges = np.searchsorted(keys, np.arange(len(order) + 1) * BUCKETS)
                 for name, k in order.items():
                     # The place behind the last bucket counts texts.
                     mine = sums.setdefault(name, np.zeros(BUCKETS + 1, dtype=np.int64))
-                    mine[:BUCKETS] += found[k * BUCKETS : (k + 1) * BUCKETS]
+                    part = slice(edges[k], edges[k + 1])
+                    mine[keys[part] - k * BUCKETS] += counts[part]
             for name, k in order.items():
                 if name in sums:
                     sums[name][BUCKETS] += int((with_letter & (kinds == k)).sum())
-        for name, counts in sums.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], ["lang", "bucket", "n"]
-            )
+            if len(sums) > LANGUAGES_AT_ONCE:
+                yield from sent()
+        yield from sent()
 
     rows = docs.where(F.col(language_column).isNotNull() & F.col(text_column).isNotNull()).select(
-        F.col(text_column).cast("string"), F.col(language_column).cast("string")
+        F.col(text_column).cast("string").alias(text_column), F.col(language_column).cast("string").alias(language_column)
     )
+    often = rows.groupBy(F.col(language_column).alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    # Cut in each task before it meets: at most so many names reach the driver.
+    learned = [r["name"] for r in often.orderBy(F.desc("rows"), "name").limit(most_languages).collect()]
+    rows = rows.where(F.col(language_column).isin(learned))
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = sums.toArrow()
     names = table["lang"].to_pylist()
     languages = sorted(set(names))
-    if len(languages) * BUCKETS * 8 > MOST_BYTES:
-        raise ValueError(f"{len(languages)} languages make too large a matrix to broadcast")
     place = {name: k for k, name in enumerate(languages)}
     counts = np.zeros((BUCKETS + 1, len(languages)), dtype=np.float64)
     counts[table["bucket"].to_numpy(), [place[name] for name in names]] = table["n"].to_numpy()

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from visitflow.llm.common import bounded_batches
 from visitflow.llm.unicode_table import categories, characters
+from visitflow.session import materialize
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -37,8 +38,8 @@ COMMON_WORDS = 50
 MIN_CHARACTERS = 200
 MIN_COUNTED_WORDS = 20
 
-#: A document farther than this from every language is rejected. The distance of words is fixed only where too
-#: few documents say how far they lie; it widens for texts of fewer words than ``FULL_WORDS``.
+#: How far from every language a document may lie before any document says how far they lie; measured distances outweigh
+#: it as they come. The distance of words widens for texts of fewer words than ``FULL_WORDS``.
 MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.435
 FULL_WORDS = 80
@@ -48,17 +49,23 @@ FULL_WORDS = 80
 MIN_REFERENCE_CHARACTERS = 10 * MIN_CHARACTERS
 MIN_REFERENCE_WORDS = 10 * FULL_WORDS
 
-#: A margin is the median and so many robust deviations (the usual limit of a modified z-score), of so many
-#: documents at least; many copies must not shrink the deviation to nothing.
-DEVIATIONS = 3.5
+#: At most so many languages have a reference, those of the most words: about 2 kB each in a broadcast.
+MOST_LANGUAGES = 5000
+
+#: A margin is the median and so many robust deviations: for words the usual limit of a modified z-score; twice that for
+#: classes, whose distances have long tails, since a text of many numbers or signs may be good. It counts as much as
+#: what is expected without measurement once ``MIN_JUDGED`` documents are measured, and more beyond. Many copies must
+#: not shrink the deviation to nothing.
+WORD_DEVIATIONS, CLASS_DEVIATIONS = 3.5, 7.0
 MIN_JUDGED = 100
 LEAST_DEVIATION = 0.01
 
 #: Steps of a distance of 1 in which documents are counted for medians.
 STEPS = 2048
 
-#: Entries of a task's word counts before they are sent on.
+#: Entries of a task's word counts, and languages, before they are sent on.
 COUNTED_AT_ONCE = 300_000
+LANGUAGES_AT_ONCE = 2_000
 SENT_AT_ONCE = 20_000
 
 #: Characters whose classes are looked up at once.
@@ -136,6 +143,15 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (divergence(p) + divergence(q)) / 2)))
 
 
+def by_chance(shares: np.ndarray, n: int) -> float:
+    """About how far ``n`` draws from a distribution lie from it.
+
+    A value that is expected more than once adds 1 / (8 ln 2 n) to the divergence, one that is not there
+    half of its share.
+    """
+    return float(np.sqrt(np.minimum(1 / (8 * np.log(2) * n), shares / 2).sum()))
+
+
 @dataclass
 class References:
     """By language: its class distribution, and its common words with their shares and that of all others."""
@@ -144,19 +160,34 @@ class References:
     classes: list[np.ndarray]
     words: list[list[bytes]]
     shares: list[np.ndarray]
-    #: How far words may lie beyond chance, by language; None: too few documents say it.
-    margins: list[float | None] | None = None
+    #: How far words may lie beyond chance, by language, and classes.
+    margins: list[float] | None = None
+    class_margin: float | None = None
 
     def __post_init__(self) -> None:
         self._index = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(self.words)))}
         self._places = [np.array([self._index[w] for w in words], dtype=np.int64) for words in self.words]
 
-    def class_distance(self, text: str) -> float | None:
-        """Distance to the nearest language, or None if the text is too short or no language is known."""
+    def class_distances(self, text: str) -> tuple[np.ndarray, int] | None:
+        """Distance to each language and the number of characters, or None if they are too few or no language is known."""
         counts = class_counts(text)
-        if not self.languages or counts.sum() < MIN_CHARACTERS:
+        n = int(counts.sum())
+        if not self.languages or n < MIN_CHARACTERS:
             return None
-        return min(jensen_shannon(counts / counts.sum(), r) for r in self.classes)
+        return np.array([jensen_shannon(counts / n, r) for r in self.classes]), n
+
+    def class_distance(self, text: str) -> float | None:
+        """Distance to the nearest language, or None."""
+        found = self.class_distances(text)
+        return None if found is None else float(found[0].min())
+
+    def near_classes(self, found: tuple[np.ndarray, int] | None) -> bool:
+        """Whether characters of these distances are near a language, or say nothing."""
+        if found is None:
+            return True
+        if self.class_margin is None:
+            return float(found[0].min()) <= MAX_CLASS_DISTANCE
+        return any(d <= by_chance(self.classes[k], found[1]) + self.class_margin for k, d in enumerate(found[0]))
 
     def word_distances(self, words: list[bytes]) -> np.ndarray | None:
         """Distance to each language, or None if the words are too few or no language is known."""
@@ -176,39 +207,35 @@ class References:
         return None if distances is None else min(1.0, float(distances.min()))
 
     def by_chance(self, language: int, n: int) -> float:
-        """About how far ``n`` words drawn from a language's own distribution lie from it.
+        """About how far ``n`` words of a language lie from it."""
+        return by_chance(self.shares[language], n)
 
-        A word that is expected more than once adds 1 / (8 ln 2 n) to the divergence, one that is not there
-        half of its share.
-        """
-        return float(np.sqrt(np.minimum(1 / (8 * np.log(2) * n), self.shares[language] / 2).sum()))
+    def expected_margin(self, language: int) -> float:
+        """How far beyond chance words may lie before any document is measured."""
+        return MAX_WORD_DISTANCE - self.by_chance(language, FULL_WORDS)
 
     def allowed(self, language: int, n: int) -> float:
         """How far ``n`` words may lie from a language."""
-        margin = self.margins[language] if self.margins else None
-        if margin is not None:
-            return self.by_chance(language, n) + margin
-        return MAX_WORD_DISTANCE + max(0.0, self.by_chance(language, n) - self.by_chance(language, FULL_WORDS))
+        margin = self.margins[language] if self.margins else self.expected_margin(language)
+        return self.by_chance(language, n) + margin
 
     def near_words(self, distances: np.ndarray | None, n: int) -> bool:
         """Whether ``n`` words of these distances are near a language, or say nothing."""
         return distances is None or any(d <= self.allowed(k, n) for k, d in enumerate(distances))
 
 
-def _enough(total: int, longest: int, least: int, least_besides: int) -> bool:
-    return total >= least and total - longest >= least_besides
-
-
 def language_references(
     docs: DataFrame, text_column: str = "text", language_column: str = "lang", common_words: int = COMMON_WORDS
 ) -> References:
-    """Histograms of every language over all documents that pass the base rules, and the margins of its words.
+    """Histograms of every language over all documents that pass the base rules, and the margins of distances.
 
     Rows with a null text or language say nothing. A language of less evidence than the minimum has no reference, so
-    its documents are judged by the others; if no language has enough, there are no references. Words are counted in each task first; then their
-    sums are, by language and word, and the commonest of each language are cut in each task before they meet.
-    To the driver come ``common_words`` words and a few class counts per language. A second pass counts how far
-    all documents lie from them (see :func:`word_margins`).
+    its documents are judged by the others; if no language has enough, there are no references; beyond
+    ``MOST_LANGUAGES``, those of the most words have one. Words are counted in each task first; then their sums are, by
+    language and word. Evidence is filtered in Spark before anything is ranked, and the commonest words of each
+    language are cut in each task before they meet, so whatever codes the language column holds, to the driver come
+    ``common_words`` words and a few class counts for each of a bounded number of languages. A second pass counts
+    how far all documents lie from them (see :func:`margins`).
     """
     bounded_batches(docs.sparkSession)
 
@@ -232,6 +259,17 @@ def language_references(
                         ["lang", "class", "word", "n"],
                     )
             words.clear()
+            rows = [(lang, k, int(n)) for lang, counts in classes.items() for k, n in enumerate(counts)]
+            rows += [(lang, len(CLASSES), n) for lang, n in totals.items()]  # the places behind the classes: all words,
+            rows += [(lang, len(CLASSES) + 1 + k, n) for lang, most in longest.items() for k, n in enumerate(most)]  # and the longest
+            if rows:
+                lang, number, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lang, pa.string()), pa.array(number, pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array(n, pa.int64())],
+                    ["lang", "class", "word", "n"],
+                )
+            for held in (classes, totals, longest):
+                held.clear()
 
         for batch in batches:
             for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -244,18 +282,9 @@ def language_references(
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
                 most = longest.get(lang, (0, 0))
                 longest[lang] = (max(most[0], len(found)), max(most[1], len(text)))
-            if sum(map(len, words.values())) > COUNTED_AT_ONCE:
+            if sum(map(len, words.values())) > COUNTED_AT_ONCE or len(totals) > LANGUAGES_AT_ONCE:
                 yield from sums()
         yield from sums()
-        rows = [(lang, k, int(n)) for lang, counts in classes.items() for k, n in enumerate(counts)]
-        rows += [(lang, len(CLASSES), n) for lang, n in totals.items()]  # the places behind the classes: all words,
-        rows += [(lang, len(CLASSES) + 1 + k, n) for lang, most in longest.items() for k, n in enumerate(most)]  # and the longest
-        if rows:
-            lang, number, n = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(number, pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array(n, pa.int64())],
-                ["lang", "class", "word", "n"],
-            )
 
     rows = docs.where(F.col(text_column).isNotNull() & F.col(language_column).isNotNull()).select(
         F.col(text_column).cast("string"), F.col(language_column).cast("string")
@@ -265,58 +294,68 @@ def language_references(
         .groupBy("lang", "class", "word")
         .agg(F.when(F.col("class") > len(CLASSES), F.max("n")).otherwise(F.sum("n")).alias("n"))
     )
-    # Class counts and words are one ranking each, so one pass over the corpus gives both.
-    rank = F.row_number().over(Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word", "class"))
-    table = sums.withColumn("rank", rank).where(F.col("rank") <= max(common_words, len(CLASSES) + 3)).toArrow().to_pylist()
-    by_language: dict[str, list[dict]] = {}
-    for row in table:
-        by_language.setdefault(row["lang"], []).append(row)
+    sums = materialize(sums, "language-sums")  # one row for each language and word; read three times
+    told = sums.where(F.col("word").isNull())
+    characters_, words_, most_words, most_characters = (
+        F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+        for test in (F.col("class") < len(CLASSES), *(F.col("class") == len(CLASSES) + k for k in range(3)))
+    )
+    evidence = told.groupBy("lang").agg(
+        characters_.alias("characters"), words_.alias("words"), most_words.alias("most_words"), most_characters.alias("most_characters")
+    )
+    enough = (
+        (F.col("words") >= MIN_REFERENCE_WORDS) & (F.col("words") - F.col("most_words") >= FULL_WORDS)
+        & (F.col("characters") >= MIN_REFERENCE_CHARACTERS) & (F.col("characters") - F.col("most_characters") >= MIN_CHARACTERS)
+    )
+    known = materialize(evidence.where(enough).orderBy(F.desc("words"), "lang").limit(MOST_LANGUAGES).select("lang", "words"), "languages")
+    kept = sums.join(F.broadcast(known), "lang")  # at most MOST_LANGUAGES rows
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    common = kept.where(F.col("word").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= common_words)
+    by_language: dict[str, tuple[int, np.ndarray, list]] = {
+        r["lang"]: (r["words"], np.zeros(len(CLASSES)), []) for r in known.collect()
+    }
+    for row in kept.where(F.col("class") < len(CLASSES)).select("lang", "class", "n").toArrow().to_pylist():
+        by_language[row["lang"]][1][row["class"]] = row["n"]
+    for row in common.select("lang", "rank", "word", "n").toArrow().to_pylist():
+        by_language[row["lang"]][2].append((row["rank"], row["word"], float(row["n"])))
     languages, classes, words, shares = [], [], [], []
-    for lang, mine in sorted(by_language.items()):
-        counts = np.zeros(len(CLASSES) + 3)
-        for row in mine:
-            if row["word"] is None:
-                counts[row["class"]] = row["n"]
-        counts, longest_words, longest_characters = counts[:-2], counts[-2], counts[-1]
-        if not _enough(int(counts[-1]), int(longest_words), MIN_REFERENCE_WORDS, FULL_WORDS):
-            continue
-        if not _enough(int(counts[:-1].sum()), int(longest_characters), MIN_REFERENCE_CHARACTERS, MIN_CHARACTERS):
-            continue
+    for lang, (total, counts, found) in sorted(by_language.items()):
         languages.append(lang)
-        common = sorted((r for r in mine if r["word"] is not None), key=lambda r: r["rank"])[:common_words]
-        classes.append(counts[:-1] / max(1.0, counts[:-1].sum()))
-        words.append([row["word"] for row in common])
-        often = np.array([float(row["n"]) for row in common])
-        shares.append(np.append(often, counts[-1] - often.sum()) / max(1.0, counts[-1]))
+        classes.append(counts / counts.sum())
+        words.append([word for _, word, _ in sorted(found)])
+        often = np.array([n for *_, n in sorted(found)])
+        shares.append(np.append(often, total - often.sum()) / total)
     references = References(languages, classes, words, shares)
-    references.margins = word_margins(docs, references, text_column)
+    references.margins, references.class_margin = margins(docs, references, text_column)
     return references
 
 
-def _margin(steps: np.ndarray, counts: np.ndarray) -> float | None:
-    """Median and deviations of counted steps; None if they are of too few documents."""
-    if counts.sum() < MIN_JUDGED:
-        return None
+def _margin(steps: np.ndarray, counts: np.ndarray, deviations: float, expected: float) -> float:
+    """Median and deviations of counted steps, weighed by their documents against what is expected without any."""
+    n = counts.sum()
+    if not n:
+        return expected
 
     def median(values: np.ndarray) -> float:
         order = np.argsort(values)
-        return float(values[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)])
+        return float(values[order][np.searchsorted(np.cumsum(counts[order]), n / 2)])
 
     middle = median(steps)
     deviation = 1.4826 * median(np.abs(steps - middle)) / STEPS
-    return middle / STEPS + DEVIATIONS * max(LEAST_DEVIATION, deviation)
+    measured = middle / STEPS + deviations * max(LEAST_DEVIATION, deviation)
+    return float((n * measured + MIN_JUDGED * expected) / (n + MIN_JUDGED))
 
 
-def word_margins(docs: DataFrame, references: References, text_column: str = "text") -> list[float | None]:
-    """How far beyond chance the words of each language's documents may lie from it.
+def margins(docs: DataFrame, references: References, text_column: str = "text") -> tuple[list[float], float | None]:
+    """How far beyond chance the words of each language's documents may lie from it, and the classes of any.
 
     Every document that passes the base rules counts for the language nearest to it. Median and median deviation hold
-    while less than half of the documents are junk. A language of fewer than ``MIN_JUDGED`` documents takes the margin
-    of all. To the driver come counts by language and step.
+    while less than half of the documents are junk. A language of few documents leans on all documents, and these, if
+    they are few, on the fixed distances. To the driver come counts by language and step.
     """
     if not references.languages:
-        return []
-    sent = docs.sparkSession.sparkContext.broadcast(references)
+        return [], None
+    sent = docs.sparkSession.sparkContext.broadcast(references)  # at most MOST_LANGUAGES of about 2 kB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -330,6 +369,10 @@ def word_margins(docs: DataFrame, references: References, text_column: str = "te
                 if distances is not None:
                     k = int(distances.argmin())
                     found[k, round(STEPS * float(distances[k] - sent.value.by_chance(k, len(words))))] += 1
+                classes = sent.value.class_distances(text)
+                if classes is not None:
+                    k = int(classes[0].argmin())
+                    found[-1, round(STEPS * float(classes[0][k] - by_chance(sent.value.classes[k], classes[1])))] += 1
         if found:
             rows = [(k, step, n) for (k, step), n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["k", "step", "n"])
@@ -337,9 +380,11 @@ def word_margins(docs: DataFrame, references: References, text_column: str = "te
     texts = docs.where(F.col(text_column).isNotNull()).select(F.col(text_column).cast("string"))
     sums = texts.mapInArrow(count, "k long, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).toArrow()
     k, steps, counts = (sums.column(c).to_numpy() for c in ("k", "step", "n"))
-    of_all = _margin(steps, counts)
-    margins = [_margin(steps[k == i], counts[k == i]) for i in range(len(references.languages))]
-    return [of_all if margin is None else margin for margin in margins]
+    of_words, found = k >= 0, []
+    for i in range(len(references.languages)):
+        of_all = _margin(steps[of_words], counts[of_words], WORD_DEVIATIONS, references.expected_margin(i))
+        found.append(_margin(steps[k == i], counts[k == i], WORD_DEVIATIONS, of_all))
+    return found, _margin(steps[k == -1], counts[k == -1], CLASS_DEVIATIONS, MAX_CLASS_DISTANCE)
 
 
 def judge(text: str | None, references: References) -> tuple:
@@ -347,11 +392,12 @@ def judge(text: str | None, references: References) -> tuple:
     text = text or ""
     metrics = base_metrics(text)
     failed = base_failed(metrics[0], metrics[4])
-    by_class = None if failed else references.class_distance(text)
+    classes = None if failed else references.class_distances(text)
+    by_class = None if classes is None else float(classes[0].min())
     words = [] if failed else plain_words(text)
     distances = references.word_distances(words)
     by_word = None if distances is None else min(1.0, float(distances.min()))
-    kept = not failed and (by_class or 0.0) <= MAX_CLASS_DISTANCE and references.near_words(distances, len(words))
+    kept = not failed and references.near_classes(classes) and references.near_words(distances, len(words))
     return (*metrics, failed, by_class, by_word, kept)
 
 
@@ -370,11 +416,12 @@ SCHEMA = (
 def quality_verdicts(docs: DataFrame, references: References, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Metrics, distances and verdict of each row; a null text has no words and fails. Row-local.
 
-    Null and repeated ids are carried along; an empty table gives no rows; other columns are not read.
+    Null and repeated ids are carried along; an empty table gives no rows; other columns are not read. A text of any
+    length is judged whole; a task holds it and its words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(references)  # common words and classes: a few kB per language
+    sent = spark.sparkContext.broadcast(references)  # common words and classes: 2 kB for each of at most MOST_LANGUAGES
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
