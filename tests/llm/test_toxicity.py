@@ -1,10 +1,14 @@
 """Ordinal regression: likelihood, order of thresholds, held-out accuracy, odd input."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from visitflow.llm import toxicity
+from visitflow.llm.language_id import ngrams
 from visitflow.llm.queries import QUERIES
 from visitflow.llm.toxicity import BUCKETS, GRADES, OrdinalModel, _grades, fit_ordinal, fit_toxicity, keep_clean, sigmoid, toxicity_grades
 
@@ -93,3 +97,40 @@ def test_query(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(0 <= r.expected_severity <= GRADES - 1 and (r.grade > 0) == r.toxic for r in rows)
     assert np.mean([r.toxic == bool(labels[r.doc_id]) for r in rows if r.doc_id in labels]) > 0.9
+
+
+def test_whole_query_against_brute_force(spark, sf):
+    """Sample, features by log odds, grades, fit and every row's chances, recomputed with dictionaries."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    toxic = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.toxic is not None:
+            toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    grams = {doc: Counter(ngrams([text or ""], toxicity.ORDERS, BUCKETS)[0].tolist()) for doc, text in docs}
+    sample = sorted(doc for doc, text in docs if text is not None and doc in toxic)
+    texts = [sum(toxic[doc] == k for doc in sample) for k in (0, 1)]
+    holding = [Counter(b for doc in sample if toxic[doc] == k for b in grams[doc]) for k in (0, 1)]
+    ranked = []
+    for bucket in holding[0].keys() | holding[1].keys():
+        clean, bad = holding[0][bucket], holding[1][bucket]
+        odds = math.log((bad + 0.5) / (texts[1] + 1)) - math.log((clean + 0.5) / (texts[0] + 1))
+        if clean + bad >= toxicity.LEAST_TEXTS and abs(odds) >= toxicity.LEAST_LOG_ODDS:
+            ranked.append((-abs(odds) * math.sqrt(clean + bad), bucket, odds))
+    chosen = {bucket: (i, odds > 0) for i, (_, bucket, odds) in enumerate(sorted(ranked)[: toxicity.MOST_FEATURES])}
+    assert len(chosen) > 20
+    cells = [(row, chosen[b][0], n, chosen[b][1]) for row, doc in enumerate(sample) for b, n in sorted(grams[doc].items()) if b in chosen]
+    hits = np.zeros(len(sample))
+    for row, _, n, marker in cells:
+        hits[row] += n * marker
+    grades = _grades(np.array([toxic[doc] > 0 for doc in sample]), hits)
+    row, feature, count = (np.array([c[i] for c in cells]) for i in range(3))
+    weights, thresholds = fit_ordinal(row, feature, np.log1p(count), grades, len(chosen))
+    found = {r.doc_id: r for r in QUERIES["op5_ordinal_toxicity"](spark, sf).collect()}
+    assert len(found) == len(docs)
+    for doc, _ in docs:
+        score = sum(weights[chosen[b][0]] * math.log1p(n) for b, n in grams[doc].items() if b in chosen)
+        above = [1 / (1 + math.exp(min(500, t - score))) for t in thresholds]
+        assert found[doc].p_toxic == pytest.approx(above[0], abs=2e-3)
+        assert found[doc].expected_severity == pytest.approx(sum(above), abs=5e-3)
+        if abs(above[0] - 0.5) > 0.01:
+            assert found[doc].toxic == (above[0] >= 0.5)

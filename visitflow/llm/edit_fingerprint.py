@@ -322,7 +322,9 @@ def near_classes(
         .select(*place, "second", "node", "print")
         .mapInArrow(verify, "a long, b long")
     )
-    roots = connected_components(materialize(found, "print-links"))
+    links = materialize(found, "print-links")
+    release_shuffles(rows.sparkSession)  # bands and their fingerprints are compared
+    roots = connected_components(links)
     joined = nodes.join(roots, "node", "left").select("print", "first_id", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("class_id"))
     member = joined.select("print", "root").join(least, "root").select("print", "class_id")
