@@ -125,7 +125,7 @@ def test_revenue_fallback(spark):
 
 def test_spread_categories(spark):
     df = spark.createDataFrame([(["a", "b"], 2), ([], 0)], "categories_viewed array<string>, total_category_viewed bigint")
-    assert category_width(df) == 2
+    assert category_width(df) == 2 and category_width(df, most=1) == 1
     rows = spread_categories(df, 2).select("categories_viewed_0", "categories_viewed_1").collect()
     assert [tuple(r) for r in rows] == [("a", "b"), ("", "")]
 

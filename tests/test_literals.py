@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from visitflow.functions.literals import is_plain_literal, literal_outline, parse_json_object
+from visitflow.functions.literals import is_plain_literal, parse_json_object, plain_outline
 from visitflow.operators.flatten import Leaf, flatten_json
 from visitflow.operators.literals import parse_literals, unparsed_cells
 
@@ -120,7 +120,7 @@ def test_random_literals_and_damaged_ones(spark):
 def test_plain_cells_take_the_short_way(spark):
     cells = ["[{'a': '1', 'b': True, 'c': None, 'd': \"Men's True Tee\", 'e': [1, 2.5]}]", "[]", r"['\n']"]
     df = spark.createDataFrame([(c,) for c in cells], "c string")
-    plain = [r[0] for r in df.select(is_plain_literal(F.col("c"), literal_outline(F.col("c")))).collect()]
+    plain = [r[0] for r in df.select(is_plain_literal(plain_outline(F.col("c")))).collect()]
     assert plain == [True, True, False]
     deep = "[" * 9 + "{'a': None}" + "]" * 9
     assert read(spark, [deep]) == [expected(deep)]

@@ -1,8 +1,7 @@
 r"""Cells that hold JSON objects or Python literals, read as VARIANT.
 
-A plain Python list literal (no escapes, no control characters, keywords after a
-comma, colon or bracket) becomes JSON text by a few replacements. Any other cell is
-cut into tokens, each token becomes its JSON, and the tokens are put together again;
+A plain Python list literal (no escapes, no control characters) becomes JSON text by
+a few replacements. Any other cell is cut into tokens, each token becomes its JSON, and the tokens are put together again;
 that costs more and is done for such cells only. Objects with equal keys keep the last
 value, which needs the session setting of :func:`allow_equal_keys`.
 """
@@ -11,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +19,8 @@ from visitflow.functions.binding import let
 from visitflow.functions.text import trim_ws
 
 QUOTED = r"""'[^']*+'|"[^"]*+\""""
-# What a plain cell has none of: escapes and control characters.
-NOT_PLAIN = r"[\\\x00-\x1f]"
+# A quoted text of a plain cell; with an escape or a control character it is none.
+PLAIN_QUOTED = r"""'[^'\\\x00-\x1f]*+'|"[^"\\\x00-\x1f]*+\""""
 NESTING = 6
 # Digits that DECIMAL holds; a whole number of more is not read, since VARIANT would round it.
 MOST_DIGITS = 38
@@ -42,7 +41,6 @@ def _plain_value(depth: int) -> str:
 # A whole list literal; one that is nested deeper is read token by token.
 PLAIN_LIST = rf"^ *+(?=\[){_plain_value(NESTING)} *+$"
 KEYWORDS = {"True": "true", "False": "false", "None": "null"}
-BEFORE_KEYWORD = [": ", ", ", "["]
 
 # Tokens of a literal. A tuple without brackets inside is one token.
 TEXT = r"""(?:'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+")"""
@@ -74,37 +72,25 @@ def literal_outline(c: Column) -> Column:
     return F.regexp_replace(c, f"(?s){QUOTED}", "q")
 
 
-def _removed(text: Column, word: str) -> Column:
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+def plain_outline(c: Column) -> Column:
+    """The cell with a ``q`` for each quoted text without escapes; another leaves a quote, which no plain cell has."""
+    return F.regexp_replace(c, PLAIN_QUOTED, "q")
 
 
-def _told_apart(c: Column, outline: Column, word: str) -> Column:
-    """Whether a keyword follows a comma, a colon or a bracket wherever it is outside quotes, and nowhere inside."""
-    places = [before + word for before in BEFORE_KEYWORD]
-    outside = reduce(and_, [_removed(c, p) == _removed(outline, p) for p in places])
-    at_places = sum((_removed(outline, p) / len(p) for p in places), F.lit(0.0))
-    return outside & (at_places == _removed(outline, word) / len(word))
+def is_plain_literal(outline: Column) -> Column:
+    """Whether a cell of this plain outline is JSON but for its keywords and its kind of quotes."""
+    return outline.rlike(PLAIN_LIST)
 
 
-def is_plain_literal(c: Column, outline: Column) -> Column:
-    """Whether a few replacements make JSON of the cell, given its outline."""
-    plain = ~c.rlike(NOT_PLAIN) & outline.rlike(PLAIN_LIST)
-    for word in KEYWORDS:
-        apart = _removed(c, word) == _removed(outline, word)  # none inside quotes
-        plain = plain & (~F.contains(outline, F.lit(word)) | apart | _told_apart(c, outline, word))
-    return plain
+def swap_keyword(text: Column, outline: Column, word: str) -> Column:
+    """Write a keyword outside quotes as its JSON word in ``text``, a plain cell whose outline may still have it.
 
-
-def swap_keyword(c: Column, outline: Column, text: Column, word: str) -> Column:
-    """Write a keyword of a plain cell as its JSON word in ``text``, which is the cell so far."""
-    swapped = text
-    for before in BEFORE_KEYWORD:
-        swapped = F.replace(swapped, F.lit(before + word), F.lit(before + KEYWORDS[word]))
-    return (
-        F.when(~F.contains(outline, F.lit(word)), text)
-        .when(_removed(c, word) == _removed(outline, word), F.replace(text, F.lit(word), F.lit(KEYWORDS[word])))
-        .otherwise(swapped)
-    )
+    Each match begins where the last one ended, and takes quoted texts whole.
+    """
+    first, rest = word[0], word[1:]
+    skipped = rf"""[^'"{first}]++|'[^']*+'|"[^"]*+"|{first}(?!{rest})"""
+    swapped = F.regexp_replace(text, rf"\G((?:{skipped})*+){word}", f"$1{KEYWORDS[word]}")
+    return F.when(F.contains(outline, F.lit(word)), swapped).otherwise(text)
 
 
 # Escapes that stand for no character: cut ones, code points past the last, and halves of a surrogate pair. A named
@@ -244,15 +230,15 @@ def literal_to_json(c: Column) -> Column:
     """
 
     def swap(outline: Column, word: str) -> Callable[[Column], Column]:
-        return lambda text: swap_keyword(c, outline, text, word)
+        return lambda text: swap_keyword(text, outline, word)
 
     def by_outline(outline: Column) -> Column:
         text = c
         for word in KEYWORDS:
             text = let(text, swap(outline, word))
-        return F.when(is_plain_literal(c, outline), text).when(~is_blank(c), tokens_json(c))
+        return F.when(is_plain_literal(outline), text).when(~is_blank(c), tokens_json(c))
 
-    return let(literal_outline(c), by_outline)
+    return let(plain_outline(c), by_outline)
 
 
 def parse_literal(c: Column) -> Column:

@@ -48,6 +48,7 @@ JSON_COLUMNS = ["device", "geoNetwork", "totals", "trafficSource"]
 # An object with more different keys than this over the whole table is a map, not a set of columns; so is one with more than
 # the second number, of which most are in one row only.
 MOST_KEYS = 1000
+MOST_CATEGORIES = 1000  # columns that the categories of a session are spread over
 MAP_KEYS, SEEN_ONCE = 100, 0.5
 
 
@@ -251,9 +252,12 @@ def _hit_metrics(
     ).drop("_cell", "_fields", "_products", "_prices", "_revenue")
 
 
-def category_width(df: DataFrame) -> int:
-    """Largest number of categories in one session."""
-    return df.agg(F.max("total_category_viewed")).first()[0] or 0
+def category_width(df: DataFrame, most: int = MOST_CATEGORIES) -> int:
+    """Largest number of categories in one session, at most ``most``: one odd session must not make a table of any width.
+
+    ``categories_past`` counts what lies beyond.
+    """
+    return min(df.agg(F.max("total_category_viewed")).first()[0] or 0, most)
 
 
 def categories_past(df: DataFrame, width: int) -> DataFrame:

@@ -26,12 +26,13 @@ from visitflow.operators.model import (
     score,
     score_dense,
 )
+from visitflow.operators.net import fit_net
 from visitflow.operators.prep import apply_prep, fit_prep, numeric_features, split_features
 from visitflow.operators.split import first_rows, sample_rows, time_split
 from visitflow.operators.vocab import fit_vocabulary, vocab_sizes
 from visitflow.plans.pipeline import FittedPipeline, fit_pipeline, fit_transform
 from visitflow.plans.training import train_and_evaluate
-from visitflow.session import new_table_path
+from visitflow.session import materialize, new_table_path
 from visitflow.sources.params import load_version, save_version, write_report
 from visitflow.sources.tables import (
     read_parts_relaxed,
@@ -610,3 +611,24 @@ def embedding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scored = score_dense(apply_prep(rows, prep, ["visitId"]), net, ["visitId"], dtype=np.float64)
     return scored.withColumn(PREDICTION, F.round(PREDICTION, 6))
+
+
+@query("""
+    select count(*) as rows, true as loss_falls, true as below_spread, true as repeats from events
+""")
+def net_training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A net fitted twice by distributed gradient steps: its loss falls below the labels' spread, and both fits are equal."""
+    rows = event_rows(spark, sf_dir).withColumn("total_revenue", F.col("total_revenue") + 10 * (F.col("visitor") % 3))
+    rows = rows.withColumn("group", F.col("visitor") % 3)
+    prep = fit_prep(rows, ["spend"], indices={"group": 3})
+    ready = materialize(apply_prep(rows, prep), "net-features")
+    fits = [fit_net(ready, prep, hidden=(16,), embedding=2, steps=12, learning_rate=0.1) for _ in range(2)]
+    errors = [e for e, _ in fits[0].history]
+    scored = score_dense(ready, fits[0].net, ["total_revenue"], floor=False, dtype=np.float64)
+    error = F.sqrt(F.avg((F.col(PREDICTION) - F.col("total_revenue")) ** 2))
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(errors[-1] < errors[0]).alias("loss_falls"),
+        (error < F.stddev_pop("total_revenue")).alias("below_spread"),
+        F.lit(fits[0].history == fits[1].history).alias("repeats"),
+    )
