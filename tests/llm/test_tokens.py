@@ -175,3 +175,19 @@ def test_packing_query(spark, library, sf):
     for r in got:
         fills[r.sequence_id] += r.length
     assert all(n == 4096 or n & (n - 1) == 0 for n in fills.values())  # no padding at all
+
+
+def test_many_mixed_texts_at_once(library, monkeypatch):
+    """Runs of plain and other words of many texts are looked up together, whatever the size of a chunk."""
+    draw = random.Random(9)
+    alphabet = ["plain ", "it's ", "日本 ", "Привет", "x1 ", "é ", "<|x|> ", "\n", "́", "🙂 ", "end."]
+    texts = ["".join(draw.choices(alphabet, k=draw.randrange(60))) for _ in range(300)]
+    expected = [encode(library, t).tobytes() for t in texts]
+    tokenizer = WordTokenizer(WORD_VOCABULARY)
+    calls = []
+    look_up = tokenizer._pieces.look_up
+    monkeypatch.setattr(tokenizer._pieces, "look_up", lambda found: calls.append(1) or look_up(found))
+    assert tokenizer.encode_all([t.encode() for t in texts]) == expected
+    assert len(calls) == 1
+    monkeypatch.setattr(tokenizer, "CHUNK", 40)
+    assert tokenizer.encode_all([t.encode() for t in texts]) == expected

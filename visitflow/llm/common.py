@@ -245,35 +245,41 @@ class WordTokenizer:
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
         out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, str]] = []
+        plain: list[tuple[int, int, str]] = []  # row, place in it, text; looked up together, a chunk at a time
+        others: list[tuple[int, int, str]] = []
         size = 0
 
-        def flush() -> None:
+        def put(queue: list[tuple[int, int, str]], row: int, text: str) -> None:
             nonlocal size
-            if waiting:
-                for (i, _), ids in zip(waiting, self._plain([t for _, t in waiting]), strict=True):
-                    out[i].append(ids)
-                waiting.clear()
-                size = 0
+            queue.append((row, len(out[row]), text))
+            out[row].append(b"")
+            size += len(text)
+            if size >= self.CHUNK:
+                flush()
 
-        for i, text in enumerate(texts):
+        def flush() -> None:
+            nonlocal size
+            for queue, encode in ((plain, self._plain), (others, self._whole_words)):
+                if queue:
+                    for (row, place, _), ids in zip(queue, encode([text for *_, text in queue]), strict=True):
+                        out[row][place] = ids
+                    queue.clear()
+            size = 0
+
+        for row, text in enumerate(texts):
             whole = text.decode()
             if self._is_plain(whole):
                 for part in self._parts(whole):
-                    waiting.append((i, part))
-                    size += len(part)
-                    if size >= self.CHUNK:
-                        flush()
+                    put(plain, row, part)
                 continue
             # Bytes split at ASCII white space only, which every Unicode definition agrees on.
             words = [word.decode() for word in text.split()]
-            plain = [self._is_plain(w) for w in words]
-            for _, run in itertools.groupby(zip(plain, words, strict=True), key=lambda pair: pair[0]):
-                pairs = list(run)
-                if pairs[0][0]:
-                    out[i] += self._plain([" ".join(w for _, w in pairs)])
+            for is_plain, run in itertools.groupby(words, key=self._is_plain):
+                if is_plain:
+                    put(plain, row, " ".join(run))
                 else:
-                    out[i] += self._whole_words([w for _, w in pairs])
+                    for word in run:
+                        put(others, row, word)
         flush()
         return [b"".join(parts) for parts in out]
 
