@@ -267,18 +267,17 @@ def near_classes(
     nodes = materialize(nodes.select(number.alias("node"), "print", "first_id"), "print-nodes")
     ends = [F.expr(f"cast(octet_length(print) * {b} div {bands} as int)") for b in range(bands + 1)]
     cut = [F.xxhash64(F.lit(b), F.substring("print", ends[b] + 1, ends[b + 1] - ends[b])) for b in range(bands)]
-    keys = nodes.select("node", F.explode(F.array(*cut)).alias("key"))
-    shared = keys.groupBy("key").count().where("count > 1")
-    held = keys.join(shared, "key")
-    sets = held.groupBy("key").agg(
-        F.first("count").alias("count"),
+    # One exchange of two numbers a band: groups are counted, and joined back, where it put them.
+    keys = nodes.select("node", F.explode(F.array(*cut)).alias("key")).repartition("key")
+    sets = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("count"),
         F.bit_xor(F.xxhash64("node")).alias("one"),
         F.bit_xor(F.xxhash64(F.lit(1), F.col("node"))).alias("two"),
     )
-    groups = sets.groupBy("count", "one", "two").agg(F.min("key").alias("key")).select("key")
+    groups = sets.where("count > 1").groupBy("count", "one", "two").agg(F.min("key").alias("key")).select("key", "count")
     tiles = F.ceil(F.col("count") / tile).cast("int")
     members = (
-        held.join(groups, "key")
+        keys.join(groups, "key")
         .withColumn("tiles", tiles)
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .join(nodes.select("node", "print"), "node")
