@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -21,6 +22,7 @@ from visitflow.sources.records import REASON, bad_records, only_good, read_recor
 
 ROWS_PER_FILE = 500_000
 FOOTER_READERS = 16
+ROWS_PER_TASK = 100_000  # of rows whose cells are parsed
 # Raw columns that are whole numbers.
 LONG_COLUMNS = ["date", "visitNumber", "visitStartTime"]
 
@@ -107,12 +109,13 @@ def rows_per_part(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread_rows(scan: DataFrame) -> DataFrame:
-    """Spread a small table scan over all cores before CPU-heavy parsing.
+    """Spread a table scan over all cores before CPU-heavy parsing, in tasks that grow in number, not in rows.
 
-    A table with enough splits, as any large one, is left as it is.
+    The rows are counted from the footers. A table with enough splits is left as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    tasks = max(cores, math.ceil(scan.count() / ROWS_PER_TASK))
+    return scan if scan.rdd.getNumPartitions() >= tasks else scan.repartition(tasks)
 
 
 def write_table(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
