@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from visitflow.functions.binding import let
 from visitflow.functions.literals import empty_list, is_truthy, variant_text, variant_type
 from visitflow.functions.numbers import float_or_zero
-from visitflow.functions.text import last_leaf, trim_ws
+from visitflow.functions.text import known_leaf, last_segment, trim_ws
 
 MICROS = 1e6  # money is in micros: 1e6 = 1 USD
 PURCHASE = "6"
@@ -24,6 +23,9 @@ REVENUE_KEYS = ["transactionRevenue", "totalTransactionRevenue", "productRevenue
 # shape: no object, no list, an entry that is no object.
 PRODUCTS = "array<struct<productPrice:string,localProductPrice:string,v2ProductCategory:string>>"
 HIT_FIELDS = f"array<struct<product:{PRODUCTS},eCommerceAction:struct<action_type:string>>>"
+PRICE_KEYS = ("productPrice", "localProductPrice")
+# Fields of the totals object that give the revenue when the hits give none.
+TOTAL_REVENUE_KEYS = ("transactionRevenue", "totalTransactionRevenue")
 # Texts whose meaning depends on the type they were parsed from.
 TYPED_TEXTS = ["0", "0.0", "-0.0", "false", "true", "[]", "{}"]
 
@@ -47,16 +49,14 @@ def _float_of(text: Column, v: Column) -> Column:
     )
 
 
-def _first_truthy(source: Column, first: str, second: str) -> Column:
-    """Float of ``first``, or of ``second`` when the first is missing, empty or 0."""
+def _field(source: Column, name: str) -> Column:
+    return F.try_variant_get(source, f"$.{name}", "variant")
 
-    def field(name: str) -> tuple[Column, Column]:
-        value = F.try_variant_get(source, f"$.{name}", "variant")
-        return variant_text(value), value
 
-    return F.when(is_truthy(*field(first)), _float_of(*field(first))).otherwise(
-        _float_of(*field(second))
-    )
+def _first_truthy(source: Column, names: tuple[str, str], texts: tuple[Column, Column]) -> Column:
+    """Float of the first field, whose text comes with it, or of the second when the first is missing, empty or 0."""
+    first, second = ((text, _field(source, name)) for name, text in zip(names, texts, strict=True))
+    return F.when(is_truthy(*first), _float_of(*first)).otherwise(_float_of(*second))
 
 
 def prices_usd(cell: Column, products: Column) -> Column:
@@ -75,7 +75,7 @@ def prices_usd(cell: Column, products: Column) -> Column:
 def _price_of_texts(product: Column) -> Column:
     first, second = product["productPrice"], product["localProductPrice"]
     text = F.when(first != "", first).otherwise(second)
-    return let(text, lambda t: F.when(trim_ws(t) != "", float_or_zero(t))) / MICROS
+    return F.when(trim_ws(text) != "", float_or_zero(text)) / MICROS
 
 
 def _typed_prices(cell: Column) -> Column:
@@ -85,7 +85,7 @@ def _typed_prices(cell: Column) -> Column:
     )
     return F.transform(
         F.flatten(lists),
-        lambda p: _first_truthy(p, "productPrice", "localProductPrice") / MICROS,
+        lambda p: _first_truthy(p, PRICE_KEYS, tuple(variant_text(_field(p, c)) for c in PRICE_KEYS)) / MICROS,
     )
 
 
@@ -97,8 +97,9 @@ def mean_or_zero(values: Column) -> Column:
 def categories_of(products: Column) -> Column:
     """Distinct last-leaf categories in text order."""
     objects = F.array_compact(products)
-    names = F.transform(objects["v2ProductCategory"], last_leaf)
-    return F.array_sort(F.array_distinct(names))
+    # Step by step, so that each segment is cut once.
+    names = F.transform(F.transform(objects["v2ProductCategory"], last_segment), known_leaf)
+    return F.sort_array(F.array_distinct(names))
 
 
 def is_purchase(hit: Column) -> Column:
@@ -132,14 +133,17 @@ def revenue_usd(cell: Column, fields: Column, keys: list[str] | None = None) ->
     return F.when(F.coalesce(any_purchase, F.lit(False)), micros / MICROS).otherwise(F.lit(0.0))
 
 
-def revenue_with_fallback(from_hits: Column, totals: Column) -> Column:
-    """Revenue of the hits, or of the totals object when the hits give 0."""
-    fallback = F.coalesce(
-        _first_truthy(totals, "transactionRevenue", "totalTransactionRevenue"), F.lit(0.0)
-    )
+def total_revenue_texts(totals: Column) -> list[Column]:
+    """Texts of the revenue fields of the totals object."""
+    return [F.try_variant_get(totals, f"$.{name}", "string") for name in TOTAL_REVENUE_KEYS]
+
+
+def total_revenue(totals: Column, texts: tuple[Column, Column]) -> Column:
+    """Revenue of the totals object in micros, given the texts of its fields."""
+    return F.coalesce(_first_truthy(totals, TOTAL_REVENUE_KEYS, texts), F.lit(0.0))
 
-    def choose(x: Column) -> Column:
-        usable = (x > 0) & ~F.isnan(x)
-        return F.when(usable, x / MICROS).otherwise(from_hits)
 
-    return F.when(from_hits == 0, let(fallback, choose)).otherwise(from_hits)
+def revenue_with_fallback(from_hits: Column, fallback: Column) -> Column:
+    """Revenue of the hits, or ``fallback``, that of the totals object, when the hits give 0."""
+    usable = (from_hits == 0) & (fallback > 0) & ~F.isnan(fallback)
+    return F.when(usable, fallback / MICROS).otherwise(from_hits)

@@ -26,7 +26,8 @@ def text_to_long(c: Column) -> Column:
     """Whole number in a text (``1.0`` counts), anything else null."""
     t = trim_ws(c)
     d = text_to_double(c)
-    return F.when(
+    # Most texts are plain whole numbers and need neither trimming nor the long pattern.
+    return F.when(c.rlike("^-?[0-9]{1,18}$"), c.try_cast("bigint")).when(
         t.rlike(NUMBER), F.coalesce(t.try_cast("bigint"), F.when(d == F.floor(d), d.try_cast("bigint")))
     )
 

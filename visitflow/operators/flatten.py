@@ -19,14 +19,16 @@ from visitflow.functions.hits import (
     products_of,
     revenue_usd,
     revenue_with_fallback,
+    total_revenue,
+    total_revenue_texts,
 )
 from visitflow.functions.literals import (
     allow_equal_keys,
     dimension_values,
     list_or_empty,
     parse_json_object,
+    print_depends,
     text_of_type,
-    variant_text,
     variant_type,
 )
 from visitflow.operators.literals import lost_reasons, observe_reasons, parse_literals
@@ -174,37 +176,38 @@ def _checked(leaves: list[Leaf]) -> list[Leaf]:
     return list(seen.values())
 
 
-def leaf_text(at: Column, kind: Column, whole: bool = False) -> Column:
-    """Text of one leaf, given its value and type; absent, null, empty list and object give the empty text.
+def leaf_text(at: Column, text: Column, kind: Column, whole: bool = False) -> Column:
+    """Text of one leaf, given its value, its text and, where the print depends on it, its type.
 
-    With ``whole`` an object gives its JSON text, an empty one the empty text.
-    The type is looked up in each row: later data may hold another one here.
+    Absent, null, empty list and object give the empty text. With ``whole`` an object gives its JSON text, an empty one
+    the empty text. The type is looked up in each row: later data may hold another one here.
     """
-    empty_list = (kind == "ARRAY<VOID>") & (variant_text(at) == "[]")
+    empty_list = (kind == "ARRAY<VOID>") & (text == "[]")
     none = (kind == "OBJECT<>") if whole else kind.startswith("OBJECT")
-    empty = kind.isNull() | none | (kind == "VOID") | empty_list
-    return (
-        F.when((kind == "STRING") | (kind.startswith("OBJECT") & ~empty), variant_text(at))
-        .when(empty, F.lit(""))
-        .otherwise(text_of_type(at, kind))
-    )
+    empty = text.isNull() | none | empty_list
+    as_is = kind.isNull() | (kind == "STRING") | kind.startswith("OBJECT")
+    return F.when(empty, F.lit("")).when(as_is, text).otherwise(text_of_type(at, kind, text))
 
 
 def _with_leaf_texts(parsed: DataFrame, kept: list[Column | str], leaves: list[Leaf]) -> DataFrame:
     """``kept`` and the text of each leaf of the parsed cells ``_<source>``.
 
-    Values and types are projected first, so each is looked up once.
+    Texts are projected first, then the types of those whose print depends on it.
     """
-    values = [
-        F.try_variant_get(F.col(f"_{leaf.source}"), _json_path(leaf.path), "variant").alias(f"_at{i}")
-        for i, leaf in enumerate(leaves)
-    ]
-    found = parsed.select(*kept, *values)
-    typed = found.withColumns({f"_kind{i}": variant_type(F.col(f"_at{i}")) for i in range(len(leaves))})
+    cells = sorted({f"_{leaf.source}" for leaf in leaves})
+
+    def at(leaf: Leaf, kind: str) -> Column:
+        return F.try_variant_get(F.col(f"_{leaf.source}"), _json_path(leaf.path), kind)
+
+    found = parsed.select(*kept, *cells, *[at(leaf, "string").alias(f"_text{i}") for i, leaf in enumerate(leaves)])
+    kinds = {
+        f"_kind{i}": F.when(print_depends(F.col(f"_text{i}")), variant_type(at(leaf, "variant"))) for i, leaf in enumerate(leaves)
+    }
     texts = [
-        leaf_text(F.col(f"_at{i}"), F.col(f"_kind{i}"), leaf.whole).alias(leaf.column) for i, leaf in enumerate(leaves)
+        leaf_text(at(leaf, "variant"), F.col(f"_text{i}"), F.col(f"_kind{i}"), leaf.whole).alias(leaf.column)
+        for i, leaf in enumerate(leaves)
     ]
-    return typed.select(*kept, *texts)
+    return found.withColumns(kinds).select(*kept, *texts)
 
 
 def flatten_json(df: DataFrame, leaves: list[Leaf]) -> DataFrame:
@@ -241,7 +244,10 @@ def _hit_metrics(
     )
     revenue = F.col("_revenue")
     if totals is not None:
-        revenue = revenue_with_fallback(revenue, totals)
+        texts = ("_total0", "_total1")
+        parts = parts.withColumns(dict(zip(texts, total_revenue_texts(totals), strict=True)))
+        parts = parts.withColumn("_fallback", F.when(revenue == 0, total_revenue(totals, tuple(F.col(c) for c in texts)))).drop(*texts)
+        revenue = revenue_with_fallback(revenue, F.col("_fallback"))
     return parts.withColumns(
         {
             "total_product_viewed": F.size("_products").cast("bigint"),
@@ -249,7 +255,7 @@ def _hit_metrics(
             "total_category_viewed": F.size("categories_viewed").cast("bigint"),
             "total_revenue": revenue,
         }
-    ).drop("_cell", "_fields", "_products", "_prices", "_revenue")
+    ).drop("_cell", "_fields", "_products", "_prices", "_revenue", "_fallback")
 
 
 def category_width(df: DataFrame, most: int = MOST_CATEGORIES) -> int:
