@@ -23,6 +23,7 @@ from visitflow.functions.hits import (
     total_revenue_texts,
 )
 from visitflow.functions.literals import (
+    LISTED,
     allow_equal_keys,
     dimension_values,
     list_or_empty,
@@ -31,7 +32,7 @@ from visitflow.functions.literals import (
     text_of_type,
     variant_type,
 )
-from visitflow.operators.literals import lost_reasons, observe_reasons, parse_literals
+from visitflow.operators.literals import listed_literals, lost_reasons, observe_reasons
 from visitflow.session import materialize, temporary_tables
 
 # Columns taken over as they are, and columns that hold JSON objects.
@@ -226,20 +227,21 @@ def add_hit_metrics(
 
     ``totals`` is the parsed totals object for the revenue fallback.
     """
-    return _hit_metrics(parse_literals(df, {"hits": "_cell"}), totals, revenue_keys)
+    return _hit_metrics(listed_literals(df, {"hits": "_cell"}), totals, revenue_keys)
 
 
 def _hit_metrics(
     parsed: DataFrame, totals: Column | None = None, revenue_keys: list[str] | None = None
 ) -> DataFrame:
-    """Metrics of the parsed cell in ``_cell``, which goes."""
-    fields = parsed.withColumn("_fields", hit_fields(F.col("_cell")))
+    """Metrics of the ``hits`` cell, listed in ``_cell``, which goes."""
+    cell, text = F.col("_cell"), F.when(F.col("_cell_read"), F.col("hits"))
+    fields = parsed.withColumn("_fields", hit_fields(cell, LISTED))
     listed = fields.withColumn("_products", products_of(F.col("_fields")))
     parts = listed.withColumns(
         {
-            "_prices": prices_usd(F.col("_cell"), F.col("_products")),
+            "_prices": prices_usd(cell, F.col("_products"), LISTED),
             "categories_viewed": categories_of(F.col("_products")),
-            "_revenue": revenue_usd(F.col("_cell"), F.col("_fields"), revenue_keys),
+            "_revenue": revenue_usd(cell, F.col("_fields"), revenue_keys, LISTED, text),
         }
     )
     revenue = F.col("_revenue")
@@ -255,7 +257,7 @@ def _hit_metrics(
             "total_category_viewed": F.size("categories_viewed").cast("bigint"),
             "total_revenue": revenue,
         }
-    ).drop("_cell", "_fields", "_products", "_prices", "_revenue", "_fallback")
+    ).drop("_cell", "_cell_read", "_fields", "_products", "_prices", "_revenue", "_fallback")
 
 
 def category_width(df: DataFrame, most: int = MOST_CATEGORIES) -> int:
@@ -302,11 +304,11 @@ def flatten_sessions(
     parsed = df.select(
         *kept, *literals, *(sources if observation else []), *[parse_json_object(F.col(c)).alias(v) for c, v in objects.items()]
     )
-    parsed = parse_literals(parsed, literals)
+    parsed = listed_literals(parsed, literals)
     if observation:
         parsed = parsed.withColumns({f"_why_{c}": why for c, why in lost_reasons(objects, literals).items()})
     metrics = _hit_metrics(parsed, totals=F.col("_totals")).withColumn(
-        "customDimensions", dimension_values(list_or_empty(F.col("_dimensions")))
+        "customDimensions", dimension_values(list_or_empty(F.col("_dimensions"), LISTED))
     )
     if observation:
         past = F.greatest(F.col("total_category_viewed") - F.lit(width), F.lit(0)) if width is not None else F.lit(0)
