@@ -118,6 +118,12 @@ def spread_rows(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= tasks else scan.repartition(tasks)
 
 
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether a join sends ``df`` to every executor, by Spark's size estimate."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 def write_table(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """New parquet table; never a folder that is being read."""
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)

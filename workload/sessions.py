@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.sources.tables import spread_rows
+from visitflow.sources.tables import is_broadcast, spread_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,17 +27,20 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+MOST_HITS = 3
+
+
 def _hits(n: Column, hit) -> Column:
-    """Python literal of ``n`` hits."""
-    numbers = F.sequence(F.lit(1), n.cast("int"))
-    return _text("[", F.array_join(F.transform(numbers, hit), ", "), "]")
+    """Python literal of ``n`` hits, 1 to :data:`MOST_HITS`; one that would hold a null is left out. Null for no number."""
+    each = [F.when(n >= i, hit(F.lit(i))) for i in range(1, MOST_HITS + 1)]
+    return F.when(n.isNotNull(), _text("[", F.concat_ws(", ", *each), "]"))
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw session columns, one session per event."""
     e = spread_rows(table(spark, sf_dir, "events"))
     kind, number = F.col("event_type"), F.col("event_id")
-    n_hits = 1 + F.pmod(number, F.lit(3))
+    n_hits = 1 + F.pmod(number, F.lit(MOST_HITS))
     cents = F.round(F.col("value") * 100).cast("bigint")
     micros = cents * 10000
 
@@ -89,14 +92,13 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of order lines: products with prices and part categories."""
-    lines = spread_rows(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag"
-        )
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag"
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
-    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    n_hits = 1 + F.pmod(F.col("l_linenumber"), F.lit(3))
+    # A join that shuffles deals the lines itself.
+    joined = (spread_rows(lines) if is_broadcast(parts) else lines).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    n_hits = 1 + F.pmod(F.col("l_linenumber"), F.lit(MOST_HITS))
     micros = F.round(F.col("l_extendedprice") * 100).cast("bigint") * 10000
     action = F.when(F.col("l_returnflag") == "R", F.lit("6")).otherwise(F.lit("2"))
 
